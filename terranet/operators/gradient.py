@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from terranet.operators.mesh import (
-    D_BOUNDARY, D_PERMEABLE, DOWN, EDGE_DOWN, EDGE_RIGHT, FACE, LEFT, R_PERMEABLE, RIGHT, UP,
+    D_PERMEABLE, DOWN, EDGE_DOWN, EDGE_RIGHT, FACE, LEFT, R_PERMEABLE, RIGHT, UP,
     V_PERMEABLE, bit,
 )
 from terranet.operators.stencil import TILE, TILE_KEYS, at_home, name, neighbourhood, spread_to_tiles
@@ -27,16 +27,21 @@ ACROSS: list[Offset] = [(0, -1), (1, 0), (0, 1), (-1, 0)]
 STEP = {RIGHT: (1, 0), UP: (0, -1), LEFT: (-1, 0), DOWN: (0, 1)}
 
 
-def _at(o: Offset) -> Column:
-    return F.col(name(*o))
+def _label(prefix: str, o: Offset) -> str:
+    return prefix + name(*o)[1:]
 
 
 def _h(o: Offset) -> Column:
-    return _at(o)["h"]
+    """Height at an offset, +inf where there is no cell."""
+    return F.col(_label("h", o))
+
+
+def _flag(o: Offset, mask: int) -> Column:
+    return F.col(_label("f", o)).bitwiseAND(F.lit(mask)) != 0
 
 
 def _below(a: Offset, b: Offset) -> Column:
-    """Point at offset a is lower than the one at b; both must exist."""
+    """Point at offset a is lower than the one at b."""
     return _h(a) <= _h(b) if a < b else _h(a) < _h(b)
 
 
@@ -44,71 +49,74 @@ def _add(a: Offset, b: Offset) -> Offset:
     return a[0] + b[0], a[1] + b[1]
 
 
-def _edge(o: Offset, direction: int) -> tuple[Column, int, int]:
-    """(owner cell, exists-bit, permeable-bit) of the edge leaving o in a direction."""
+def _all(conditions: list[Column]) -> Column:
+    return reduce(lambda p, q: p & q, conditions)
+
+
+def _pick(choices: list[tuple[Column, Column]], default: Column) -> Column:
+    out = default
+    for condition, value in reversed(choices):
+        out = F.when(condition, value).otherwise(out)
+    return out
+
+
+def _edge_flag(o: Offset, direction: int, right: int, down: int) -> Column:
+    """Bit of the edge leaving o in a direction; stored at its left or upper end."""
     owner = o if direction in (RIGHT, DOWN) else _add(o, STEP[direction])
-    if direction in (RIGHT, LEFT):
-        return _at(owner), EDGE_RIGHT, R_PERMEABLE
-    return _at(owner), EDGE_DOWN, D_PERMEABLE
+    return _flag(owner, right if direction in (RIGHT, LEFT) else down)
 
 
-def _has_edge(o: Offset, direction: int) -> Column:
-    owner, exists, _ = _edge(o, direction)
-    return bit(owner["flags"], exists)
+def _reach(o: Offset, direction: int) -> Column:
+    """Height of a neighbour along an edge, +inf where the edge is missing."""
+    return F.when(_edge_flag(o, direction, EDGE_RIGHT, EDGE_DOWN), _h(_add(o, STEP[direction]))).otherwise(
+        F.lit(float("inf")))
 
 
-def _vertex_pair() -> Column:
-    """Direction of the lowest neighbour if it is lower than the vertex, else -1."""
-    here = (0, 0)
-    choice = F.lit(-1)
-    for direction, step in STEP.items():
-        others = [d for d in STEP if d != direction]
-        lowest = reduce(
-            lambda p, q: p & q,
-            [~_has_edge(here, d) | _below(step, STEP[d]) for d in others],
-            _has_edge(here, direction) & _below(step, here))
-        choice = F.when(lowest, direction).otherwise(choice)
-    return F.when(bit(_at(here)["flags"], V_PERMEABLE), -1).otherwise(choice)
+def _reach_name(k: int, direction: int) -> str:
+    return f"reach{k}_{direction}"
 
 
-def _side_edge(k: int) -> tuple[Column, int]:
-    """Owner cell and permeable-bit of face side k."""
-    return [(_at((0, 0)), R_PERMEABLE), (_at((1, 0)), D_PERMEABLE),
-            (_at((0, 1)), R_PERMEABLE), (_at((0, 0)), D_PERMEABLE)][k]
+def _under(p: Column, at_p: Offset, q: Column, at_q: Offset) -> Column:
+    return p <= q if at_p < at_q else p < q
 
 
-def _side_region(k: int) -> Column:
-    return [_at((0, 0))["rr"], _at((1, 0))["dr"], _at((0, 1))["rr"], _at((0, 0))["dr"]][k]
+def _vertex_pair() -> Column:
+    """Direction of the lowest neighbour if it is lower than the vertex, else -1."""
+    reach = {d: F.col(_reach_name(0, d)) for d in STEP}
+    lowest = []
+    for d, step in STEP.items():
+        others = [_under(reach[d], step, reach[e], STEP[e]) for e in STEP if e != d]
+        lowest.append((_all([_under(reach[d], step, _h((0, 0)), (0, 0)), *others]), F.lit(d)))
+    return F.when(_flag((0, 0), V_PERMEABLE), -1).otherwise(_pick(lowest, F.lit(-1)))
 
 
 def _side_open(k: int) -> Column:
     """May this face pair with its side k: not permeable, and lower than the face across."""
-    across = bit(_at(ACROSS[k])["flags"], FACE)
     far = [CORNERS[(k + 2) % 4], CORNERS[(k + 3) % 4]]
     beyond = [_add(CORNERS[k], ACROSS[k]), _add(CORNERS[(k + 1) % 4], ACROSS[k])]
-    higher = reduce(lambda p, q: p | q, [
-        reduce(lambda p, q: p & q, [_below(f, b) for f in far]) for b in beyond])
-    owner, permeable = _side_edge(k)
-    return ~bit(owner["flags"], permeable) & (~across | higher)
+    lower = _all([_below(f, beyond[0]) for f in far]) | _all([_below(f, beyond[1]) for f in far])
+    owner, permeable = SIDE_EDGE[k]
+    return ~_flag(owner, permeable) & (~_flag(ACROSS[k], FACE) | lower)
+
+
+# cell that stores the edge of face side k, and its permeable-bit
+SIDE_EDGE = [((0, 0), R_PERMEABLE), ((1, 0), D_PERMEABLE), ((0, 1), R_PERMEABLE), ((0, 0), D_PERMEABLE)]
+
+
+def _outward(k: int) -> list[int]:
+    """Directions that leave a face from its corner k."""
+    return [d for d, step in STEP.items() if _add(CORNERS[k], step) not in CORNERS]
 
 
 def _taken_by_vertex(top: int, other: int) -> Column:
-    """The edge between two face corners is paired with its upper end (corner ``top``)."""
+    """Corner ``other`` is the lowest neighbour of corner ``top``, the face's highest."""
     t, b = CORNERS[top], CORNERS[other]
-    blocked = []
-    for direction, step in STEP.items():
-        end = _add(t, step)
-        if end not in CORNERS:
-            blocked.append(_has_edge(t, direction) & _below(end, b))
-    return ~bit(_at(t)["flags"], V_PERMEABLE) & ~reduce(lambda p, q: p | q, blocked)
+    return _all([_under(_h(b), b, F.col(_reach_name(top, d)), _add(t, STEP[d])) for d in _outward(top)])
 
 
 def _highest_corner() -> Column:
-    choice = F.lit(3)
-    for k in range(3):
-        above = reduce(lambda p, q: p & q, [_below(CORNERS[j], CORNERS[k]) for j in range(4) if j != k])
-        choice = F.when(above, k).otherwise(choice)
-    return choice
+    return _pick([(_all([_below(CORNERS[j], CORNERS[k]) for j in range(4) if j != k]), F.lit(k)) for k in range(3)],
+                 F.lit(3))
 
 
 def gradient(region: DataFrame, tile: int = TILE) -> DataFrame:
@@ -129,54 +137,61 @@ def gradient(region: DataFrame, tile: int = TILE) -> DataFrame:
     * ``rh``, ``xh``, ``dh``  heights of the other face corners, clockwise
     """
     wide = spread_to_tiles(region, -2, 3, tile)
-    value = F.struct("h", "flags", "rr", "dr")
-    g = neighbourhood(wide, value, -1, 2)
-    w, vid = F.col("w").cast("long"), F.col("vid")
-    has_face = bit("flags", FACE)
-    g = g.withColumns({
-        "vdir": _vertex_pair(),
-        "top": _highest_corner(),
-        "a_first": F.lit(None).cast("boolean"),
-        **{f"open{k}": _side_open(k) for k in range(4)},
-    })
+    # non-null fields and scalars keep the generated code of the comparisons short
+    solid = [F.coalesce(c, F.lit(v)).alias(c) for c, v in (("h", float("inf")), ("flags", 0), ("rr", 0), ("dr", 0))]
+    g = neighbourhood(wide, F.struct(*solid), -1, 2)
+    span = range(-1, 3)
+    cross = [(dx, dy) for dx in span for dy in span if dx in (0, 1) or dy in (0, 1)]
+    flagged = [(dx, dy) for dx, dy in cross if dx < 2 and dy < 2]
+    inf = F.lit(float("inf"))
+    kept = [*TILE_KEYS, "w", "x", "y", "vid", "h", "flags", "rr", "dr", "vr"]
+    g = g.select(
+        *kept, *[F.coalesce(F.col(name(*o))["h"], inf).alias(_label("h", o)) for o in cross],
+        *[F.coalesce(F.col(name(*o))["flags"], F.lit(0)).alias(_label("f", o)) for o in flagged],
+        F.coalesce(F.col(name(1, 0))["dr"], F.lit(0)).alias("east_dr"),
+        F.coalesce(F.col(name(0, 1))["rr"], F.lit(0)).alias("south_rr"))
+    needed = {(0, d) for d in STEP} | {(k, d) for k in range(4) for d in _outward(k)}
+    g = g.withColumns({_reach_name(k, d): _reach(CORNERS[k], d) for k, d in sorted(needed)})
+    g = g.withColumns({"vdir": _vertex_pair(), "top": _highest_corner(),
+                       **{f"open{k}": _side_open(k) for k in range(4)}})
     # the highest side joins the highest corner and the higher of its two neighbours
-    ahead_is_higher = F.lit(None).cast("boolean")
-    for t in range(4):
-        nxt, prv = CORNERS[(t + 1) % 4], CORNERS[(t + 3) % 4]
-        ahead_is_higher = F.when(F.col("top") == t, _below(prv, nxt)).otherwise(ahead_is_higher)
-    g = g.withColumn("a_first", ahead_is_higher)
     top = F.col("top")
-    side_ahead, side_back = top, (top + 3) % 4
-    taken = F.lit(None).cast("boolean")
-    for t in range(4):
-        taken = F.when(top == t, F.when(F.col("a_first"), _taken_by_vertex(t, (t + 3) % 4))
-                       .otherwise(_taken_by_vertex(t, (t + 1) % 4))).otherwise(taken)
+    is_top = [top == t for t in range(3)]
+    higher_ahead = [_below(CORNERS[(t + 3) % 4], CORNERS[(t + 1) % 4]) for t in range(4)]
+    g = g.withColumn("ahead", _pick(list(zip(is_top, higher_ahead[:3])), higher_ahead[3]))
+    taken = [F.when(F.col("ahead"), _taken_by_vertex(t, (t + 3) % 4)).otherwise(_taken_by_vertex(t, (t + 1) % 4))
+             for t in range(4)]
+    back = F.when(top == 0, 3).otherwise(top - 1)
     g = g.withColumns({
-        "fedge": F.when(has_face, F.when(F.col("a_first"), side_ahead).otherwise(side_back)),
-        "fsecond": F.when(has_face, F.when(F.col("a_first"), side_back).otherwise(side_ahead)),
-        "_taken": taken,
+        "first": F.when(F.col("ahead"), top).otherwise(back),
+        "second": F.when(F.col("ahead"), back).otherwise(top),
+        # a permeable vertex pairs with no edge
+        "taken": _pick(list(zip(is_top, taken[:3])), taken[3])
+        & (_pick(list(zip(is_top, [F.col(_label("f", c)) for c in CORNERS[:3]])), F.col(_label("f", CORNERS[3])))
+           .bitwiseAND(F.lit(V_PERMEABLE)) == 0),
     })
-    def open_at(side: str) -> Column:
-        return reduce(lambda acc, k: F.when(F.col(side) == k, F.col(f"open{k}")).otherwise(acc),
-                      range(4), F.lit(False))
-    g = g.withColumn("fside", F.when(has_face, F.when(open_at("fedge"), F.col("fedge"))
-                                     .when(open_at("fsecond") & ~F.col("_taken"), F.col("fsecond"))
-                                     .otherwise(F.lit(-1))))
-    ids = [vid - w, vid + 1, vid + w, vid - 1]
-    outer = [(-1 - _side_region(k)).cast("long") for k in range(4)]
-    beyond = [F.when(bit(_at(ACROSS[k])["flags"], FACE), ids[k]).otherwise(outer[k]) for k in range(4)]
-    own = lambda region: F.when(has_face, vid).otherwise((-1 - region).cast("long"))
-    g = g.withColumns({
-        "fnext": reduce(lambda acc, k: F.when(F.col("fside") == k, beyond[k]).otherwise(acc), range(4),
-                        F.lit(None).cast("long")),
-        "r_own": own(F.col("rr")),
-        "r_up": F.when(bit(_at((0, -1))["flags"], FACE), vid - w).otherwise((-1 - F.col("rr")).cast("long")),
-        "d_left": F.when(bit(_at((-1, 0))["flags"], FACE), vid - 1).otherwise((-1 - F.col("dr")).cast("long")),
-        "d_own": own(F.col("dr")),
-        "rh": _h((1, 0)), "xh": _h((1, 1)), "dh": _h((0, 1)),
-    }).select("frame_id", "tx", "ty", "w", "x", "y", "vid", "h", "flags", "rr", "dr", "vr", "vdir",
-              "fedge", "fsecond", "fside", "fnext", "r_own", "r_up", "d_left", "d_own", "rh", "xh", "dh")
-    return _with_critical_edges(g).filter(at_home(tile))
+    def is_open(side: str) -> Column:
+        return _pick([(F.col(side) == k, F.col(f"open{k}")) for k in range(3)], F.col("open3"))
+    g = g.withColumn("side", _pick([(is_open("first"), F.col("first")),
+                                    (is_open("second") & ~F.col("taken"), F.col("second"))], F.lit(-1)))
+    g = g.select(
+        *kept, "vdir", "first", "second", "side", "east_dr", "south_rr",
+        *[_flag(ACROSS[k], FACE).alias(f"face{k}") for k in range(4)],
+        _h((1, 0)).alias("rh"), _h((1, 1)).alias("xh"), _h((0, 1)).alias("dh"))
+    g = _with_critical_edges(g).filter(at_home(tile))
+    # the rest is row-local; it comes last so that no stage's code outgrows the JIT
+    w, vid = F.col("w").cast("long"), F.col("vid")
+    outside = lambda region: (-1 - F.col(region)).cast("long")
+    has_face = bit("flags", FACE)
+    across = [F.when(F.col(f"face{k}"), face).otherwise(outside(region)) for k, (face, region) in enumerate(
+        [(vid - w, "rr"), (vid + 1, "east_dr"), (vid + w, "south_rr"), (vid - 1, "dr")])]
+    return g.select(
+        *kept, "vdir", *[F.when(has_face, F.col(c)).alias(a) for c, a in
+                         (("first", "fedge"), ("second", "fsecond"), ("side", "fside"))],
+        F.when(has_face, _pick([(F.col("side") == k, across[k]) for k in range(4)], F.lit(None).cast("long"))).alias("fnext"),
+        F.when(has_face, vid).otherwise(outside("rr")).alias("r_own"), across[0].alias("r_up"),
+        across[3].alias("d_left"), F.when(has_face, vid).otherwise(outside("dr")).alias("d_own"),
+        "rh", "xh", "dh", "rcrit", "dcrit")
 
 
 def _with_critical_edges(g: DataFrame) -> DataFrame:
@@ -184,21 +199,23 @@ def _with_critical_edges(g: DataFrame) -> DataFrame:
     along_x = Window.partitionBy(*TILE_KEYS, "y").orderBy("x")
     along_y = Window.partitionBy(*TILE_KEYS, "x").orderBy("y")
 
-    def beside(col: str, axis: str, window, shift, delta: int) -> Column:
+    def beside(col: Column, axis: str, window, shift, delta: int) -> Column:
         return F.when(shift(axis).over(window) == F.col(axis) + delta, shift(col).over(window))
 
+    side = F.when(bit("flags", FACE), F.col("side"))
     g = g.withColumns({
-        "_vr": beside("vdir", "x", along_x, F.lead, 1), "_fl": beside("fside", "x", along_x, F.lag, -1),
+        "_vr": beside(F.col("vdir"), "x", along_x, F.lead, 1), "_fl": beside(side, "x", along_x, F.lag, -1),
     }).withColumns({
-        "_vd": beside("vdir", "y", along_y, F.lead, 1), "_fu": beside("fside", "y", along_y, F.lag, -1),
+        "_vd": beside(F.col("vdir"), "y", along_y, F.lead, 1), "_fu": beside(side, "y", along_y, F.lag, -1),
+        "_own": side,
     })
     def is_(col: str, value: int) -> Column:
         return F.coalesce(F.col(col) == value, F.lit(False))
     right = (bit("flags", EDGE_RIGHT) & ~bit("flags", R_PERMEABLE) & ~is_("vdir", RIGHT) & ~is_("_vr", LEFT)
-             & ~is_("fside", 0) & ~is_("_fu", 2))
+             & ~is_("_own", 0) & ~is_("_fu", 2))
     down = (bit("flags", EDGE_DOWN) & ~bit("flags", D_PERMEABLE) & ~is_("vdir", DOWN) & ~is_("_vd", UP)
-            & ~is_("fside", 3) & ~is_("_fl", 1))
-    return g.withColumns({"rcrit": right, "dcrit": down}).drop("_vr", "_fl", "_vd", "_fu")
+            & ~is_("_own", 3) & ~is_("_fl", 1))
+    return g.withColumns({"rcrit": right, "dcrit": down}).drop("_vr", "_fl", "_vd", "_fu", "_own")
 
 
 # ------------------------------------------------------------------ views of it

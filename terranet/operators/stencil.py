@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TILE = 256
-TILE_KEYS = ("frame_id", "tx", "ty")
+# rows are partitioned on the tile number alone, which no constant folding (say of a
+# fixed frame_id) can take out of the keys; windows and groups add the rest
+TILE_KEYS = ("tile_no", "frame_id", "tx", "ty")
 
 
 def _tiles(axis: str, low: int, high: int, tile: int) -> Column:
@@ -28,7 +30,7 @@ def spread_to_tiles(df: DataFrame, low: int, high: int, tile: int = TILE) -> Dat
     ``high`` after its last.  Adds tx, ty.
     """
     out = df.withColumn("tx", _tiles("x", low, high, tile)).withColumn("ty", _tiles("y", low, high, tile))
-    return out.repartition(*TILE_KEYS)
+    return out.withColumn("tile_no", F.xxhash64("frame_id", "tx", "ty")).repartition("tile_no")
 
 
 def at_home(tile: int = TILE) -> Column:
@@ -37,14 +39,10 @@ def at_home(tile: int = TILE) -> Column:
 
 
 def _shifted(axis: str, value: Column, k: int, window) -> Column:
-    """Value at ``axis + k``; NULL when that position has no row."""
+    """Value ``k`` rows on, if that row is at position ``axis + k``; else NULL."""
     shift = F.lead if k > 0 else F.lag
     pos = F.col(axis)
-    found = None
-    for step in range(abs(k), 0, -1):
-        hit = F.when(shift(pos, step).over(window) == pos + k, shift(value, step).over(window))
-        found = hit if found is None else F.coalesce(found, hit)
-    return found
+    return F.when(shift(pos, abs(k)).over(window) == pos + k, shift(value, abs(k)).over(window))
 
 
 def name(dx: int, dy: int) -> str:
@@ -56,9 +54,9 @@ def name(dx: int, dy: int) -> str:
 def neighbourhood(df: DataFrame, value: Column, low: int, high: int) -> DataFrame:
     """Add columns ``n_<dx>_<dy>`` holding ``value`` at every offset in [low, high]^2.
 
-    Needs rows spread to tiles.  Positions without a row give NULL; a diagonal
-    neighbour is seen only if the row between exists, which is always the case
-    for dense rasters.
+    Needs rows spread to tiles.  Positions without a row give NULL; a diagonal or
+    second neighbour is seen only if the cells between exist, which is always the
+    case for dense rasters.
     """
     offsets = range(low, high + 1)
     along_x = Window.partitionBy(*TILE_KEYS, "y").orderBy("x")
