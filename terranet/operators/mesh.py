@@ -194,7 +194,7 @@ def half_edges(region: DataFrame) -> DataFrame:
     halves = region.select("frame_id", F.explode(F.array_compact(F.array(*made))).alias("e")).select("frame_id", "e.*")
     inside = region.filter(bit("flags", FACE)).select("frame_id", F.col("vid").alias("face"), F.lit(True).alias("_in"))
     return halves.join(inside, ["frame_id", "face"], "left").withColumn(
-        "face", F.when("_in", F.col("face"))).select(
+        "face", F.when(F.col("_in"), F.col("face"))).select(
         "frame_id", "hid", "origin", "dest", "dir", "face", "status", "region_id")
 
 
