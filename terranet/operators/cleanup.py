@@ -66,7 +66,7 @@ def _settle_tile(links: pa.Table) -> pa.Table:
     names = np.unique(np.concatenate([a[mine_a], b[mine_b]]))
     index = lambda v, mine: np.where(mine, np.searchsorted(names, v), -1)
     values = settle_links(index(a, mine_a), index(b, mine_b), col("delta"))
-    return links.select(["frame_id", "saddle_id"]).append_column("delta", pa.array(values, type=pa.float64()))
+    return links.drop_columns(["mine_a", "mine_b"]).append_column("settled", pa.array(values, type=pa.float64()))
 
 
 def _settle_hubs(links: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -95,8 +95,8 @@ def clean_delta(links: DataFrame, tile: int = TILE) -> DataFrame:
     rows = links.select("frame_id", "w", "saddle_id", "sink_a", "sink_b", "delta")
     for end in "ab":
         sink = f"sink_{end}"
-        place = F.when(F.col(sink) >= 0, F.struct(F.expr(f"({sink} % w) div {tile}").alias("tx"),
-                                                  F.expr(f"({sink} div w) div {tile}").alias("ty")))
+        # tile number in one LONG: row of tiles, then column
+        place = F.when(F.col(sink) >= 0, F.expr(f"(({sink} div w) div {tile}) * 4294967296 + ({sink} % w) div {tile}"))
         if any_hub:
             rows = rows.join(known.withColumnRenamed("sink", sink), ["frame_id", sink], "left")
             place = F.when(F.col("hub").isNull(), place)
@@ -105,19 +105,25 @@ def clean_delta(links: DataFrame, tile: int = TILE) -> DataFrame:
             rows = rows.withColumn(f"home_{end}", place)
     rows = cut(rows.select("frame_id", "w", "saddle_id", "sink_a", "sink_b", "delta", "home_a", "home_b"), "links")
     homes = F.array_distinct(F.array_compact(F.array("home_a", "home_b")))
+    columns = ["frame_id", "saddle_id", "w", "sink_a", "sink_b", "delta", "home_a", "home_b"]
+    rows = rows.select(*columns)
+    schema = ("frame_id string, home long, saddle_id long, w int, sink_a long, sink_b long, delta double,"
+              " home_a long, home_b long, settled double")
     while True:
         copies = rows.withColumn("home", F.explode(homes)).select(
-            "frame_id", "home.tx", "home.ty", "saddle_id", "sink_a", "sink_b", "delta",
+            "frame_id", "home", *columns[1:],
             F.coalesce(F.col("home_a") == F.col("home"), F.lit(False)).alias("mine_a"),
             F.coalesce(F.col("home_b") == F.col("home"), F.lit(False)).alias("mine_b"))
-        settled = copies.groupBy("frame_id", "tx", "ty").applyInArrow(
-            _settle_tile, "frame_id string, saddle_id long, delta double")
-        settled = settled.groupBy("frame_id", "saddle_id").agg(F.min("delta").alias("_delta"))
-        new = rows.join(settled, ["frame_id", "saddle_id"], "left").withColumn("_old", F.col("delta")).withColumn(
-            "delta", F.coalesce("_delta", "delta")).drop("_delta")
+        settled = copies.groupBy("frame_id", "home").applyInArrow(_settle_tile, schema)
+        # the copies of a link differ in the settled value only
+        new = settled.groupBy("frame_id", "saddle_id").agg(
+            *[F.first(c).alias(c) for c in columns[2:] if c != "delta"], F.first("delta").alias("_old"),
+            F.min("settled").alias("delta"))
+        free = rows.filter(F.size(homes) == 0).withColumn("_old", F.col("delta"))
+        new = new.unionByName(free)
         if any_hub:
             new = _settle_hubs(new, hubs)
-        new = cut(new.select(*rows.columns, "_old"), "links")
+        new = cut(new.select(*columns, "_old"), "links")
         # a change inside one tile is settled; only links with ends in two places pass it on
         crossing = ~F.col("home_a").eqNullSafe(F.col("home_b"))
         outside = (F.col("sink_a") < 0) | (F.col("sink_b") < 0)

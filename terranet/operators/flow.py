@@ -114,7 +114,7 @@ class Flow:
 
 def flow(region: DataFrame, tile: int = TILE) -> Flow:
     """Gradient and both flows of a region: one shuffle, one written table."""
-    g = G.gradient(region, tile)
+    g = G.gradient_plan(region, tile)
     w, vid = F.col("w").cast("long"), F.col("vid")
     step = (F.when(F.col("vdir") == G.RIGHT, F.lit(1)).when(F.col("vdir") == G.UP, -w)
             .when(F.col("vdir") == G.LEFT, F.lit(-1)).when(F.col("vdir") == G.DOWN, w).otherwise(F.lit(0)))

@@ -16,7 +16,9 @@ from terranet.operators.mesh import (
     D_PERMEABLE, DOWN, EDGE_DOWN, EDGE_RIGHT, FACE, LEFT, R_PERMEABLE, RIGHT, UP,
     V_PERMEABLE, bit,
 )
+
 from terranet.operators.stencil import TILE, TILE_KEYS, at_home, name, neighbourhood, spread_to_tiles
+from terranet.plans.scratch import cut
 
 Offset = tuple[int, int]
 
@@ -120,10 +122,18 @@ def _highest_corner() -> Column:
 
 
 def gradient(region: DataFrame, tile: int = TILE) -> DataFrame:
-    """Pair every vertex and face, and flag the critical cells.
+    """Pair every vertex and face, and flag the critical cells; materialised.
+
+    Several operators read the result, and a filter on it must not be pushed into
+    the chain of expressions it comes from.
+    """
+    return cut(gradient_plan(region, tile).drop(*[c for c in TILE_KEYS if c != "frame_id"]), "gradient")
+
 
-    One row per region vertex (and per face, at its top-left vertex), still
-    partitioned by tile:
+def gradient_plan(region: DataFrame, tile: int = TILE) -> DataFrame:
+    """The gradient as a plan: one row per region vertex (and face, at its top-left vertex).
+
+    Rows are still partitioned by tile.  Columns:
 
     * ``vdir``   direction of the paired half-edge, -1 = unpaired
     * ``fside``  paired side of the face (0 top, 1 right, 2 bottom, 3 left), -1 =
@@ -136,7 +146,7 @@ def gradient(region: DataFrame, tile: int = TILE) -> DataFrame:
     * ``r_own``/``d_own``  the face here as seen from the right/down edge, -1-k if outer
     * ``rh``, ``xh``, ``dh``  heights of the other face corners, clockwise
     """
-    wide = spread_to_tiles(region, -2, 3, tile)
+    wide = spread_to_tiles(region.select("frame_id", "w", "x", "y", "h", "flags", "rr", "dr"), -2, 3, tile)
     # non-null fields and scalars keep the generated code of the comparisons short
     solid = [F.coalesce(c, F.lit(v)).alias(c) for c, v in (("h", float("inf")), ("flags", 0), ("rr", 0), ("dr", 0))]
     g = neighbourhood(wide, F.struct(*solid), -1, 2)
@@ -144,7 +154,7 @@ def gradient(region: DataFrame, tile: int = TILE) -> DataFrame:
     cross = [(dx, dy) for dx in span for dy in span if dx in (0, 1) or dy in (0, 1)]
     flagged = [(dx, dy) for dx, dy in cross if dx < 2 and dy < 2]
     inf = F.lit(float("inf"))
-    kept = [*TILE_KEYS, "w", "x", "y", "vid", "h", "flags", "rr", "dr", "vr"]
+    kept = [*TILE_KEYS, "w", "x", "y", "h", "flags", "rr", "dr"]
     g = g.select(
         *kept, *[F.coalesce(F.col(name(*o))["h"], inf).alias(_label("h", o)) for o in cross],
         *[F.coalesce(F.col(name(*o))["flags"], F.lit(0)).alias(_label("f", o)) for o in flagged],
@@ -180,13 +190,14 @@ def gradient(region: DataFrame, tile: int = TILE) -> DataFrame:
         _h((1, 0)).alias("rh"), _h((1, 1)).alias("xh"), _h((0, 1)).alias("dh"))
     g = _with_critical_edges(g).filter(at_home(tile))
     # the rest is row-local; it comes last so that no stage's code outgrows the JIT
-    w, vid = F.col("w").cast("long"), F.col("vid")
+    w = F.col("w").cast("long")
+    vid = F.col("y") * w + F.col("x")
     outside = lambda region: (-1 - F.col(region)).cast("long")
     has_face = bit("flags", FACE)
     across = [F.when(F.col(f"face{k}"), face).otherwise(outside(region)) for k, (face, region) in enumerate(
         [(vid - w, "rr"), (vid + 1, "east_dr"), (vid + w, "south_rr"), (vid - 1, "dr")])]
     return g.select(
-        *kept, "vdir", *[F.when(has_face, F.col(c)).alias(a) for c, a in
+        *kept, vid.alias("vid"), "vdir", *[F.when(has_face, F.col(c)).alias(a) for c, a in
                          (("first", "fedge"), ("second", "fsecond"), ("side", "fside"))],
         F.when(has_face, _pick([(F.col("side") == k, across[k]) for k in range(4)], F.lit(None).cast("long"))).alias("fnext"),
         F.when(has_face, vid).otherwise(outside("rr")).alias("r_own"), across[0].alias("r_up"),

@@ -95,10 +95,8 @@ def merge_tree_of(saddles: DataFrame, corners: DataFrame, cells: DataFrame, tile
     # --- total content of every chain: a chain feeds the chains its lowest edges end up in
     chain_paths = paths.select("frame_id", F.col("v").alias("cv"), F.col("b").alias("cb"), "path")
     own = sand.groupBy(*CHAIN).agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("inf").alias("inf"))
-    record = lambda p, i: F.forall(F.slice("path", 1, i), lambda q: _point(q) > _point(p))
     fed = own.join(chain_paths, CHAIN).select(
-        "frame_id", "total", "n", "inf",
-        F.explode(F.filter("path", lambda p, i: p["sid"].isNotNull() & record(p, i))).alias("p"))
+        "frame_id", "total", "n", "inf", F.explode(F.filter("path", lambda p: p["sid"].isNotNull())).alias("p"))
     content = fed.groupBy("frame_id", F.col("p.v").alias("v"), F.col("p.b").alias("b")).agg(
         F.sum("total").alias("total"), F.sum("n").alias("n"), F.sum("inf").alias("inf"))
 

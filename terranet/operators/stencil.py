@@ -30,7 +30,9 @@ def spread_to_tiles(df: DataFrame, low: int, high: int, tile: int = TILE) -> Dat
     ``high`` after its last.  Adds tx, ty.
     """
     out = df.withColumn("tx", _tiles("x", low, high, tile)).withColumn("ty", _tiles("y", low, high, tile))
-    return out.withColumn("tile_no", F.xxhash64("frame_id", "tx", "ty")).repartition("tile_no")
+    # a fixed number, or adaptive execution would fold the few bytes of a costly stage into few tasks
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.withColumn("tile_no", F.xxhash64("frame_id", "tx", "ty")).repartition(parts, "tile_no")
 
 
 def at_home(tile: int = TILE) -> Column:

@@ -183,8 +183,11 @@ def group_paths(hooks: DataFrame) -> DataFrame:
     """For every group the groups it later becomes part of, with the edge each hooked over.
 
     (frame_id, v, b, path): the path starts at the group itself and closes with
-    the final group, which has h = -inf.  Lists are concatenated by doubling, so
-    the number of rounds is logarithmic in the (already logarithmic) depth.
+    the final group, which has h = -inf.  Groups whose edge is higher than one
+    before them on the path are left out, since whatever is above such an edge is
+    above the earlier one too; so edges fall along a path, which keeps it short.
+    Lists are concatenated by doubling, so the number of rounds is logarithmic in
+    the (already logarithmic) depth.
     """
     here = F.struct("v", "b", "h", "x", "y", "sid")
     rows = cut(hooks.select("frame_id", "v", "b", F.when(F.col("sid").isNotNull(), F.array(here))
@@ -193,15 +196,18 @@ def group_paths(hooks: DataFrame) -> DataFrame:
     low = F.lit(float("-inf"))
     end = F.array(F.struct(F.col("nv").alias("v"), F.col("nb").alias("b"), low.alias("h"), low.alias("x"),
                            low.alias("y"), F.lit(None).cast("long").alias("sid"))).cast(_ELEMENT)
+    key = lambda p: F.struct(p["h"].alias("h"), p["x"].alias("x"), p["y"].alias("y"))
+    lowest = F.element_at("path", -1)
     while not is_empty(rows.filter("not done")):
         onward = rows.select("frame_id", F.col("v").alias("nv"), F.col("b").alias("nb"), F.col("path").alias("_path"),
                              F.col("nv").alias("_nv"), F.col("nb").alias("_nb"), F.col("done").alias("_done"))
         joined = rows.join(onward, ["frame_id", "nv", "nb"], "left")
         last = F.col("_path").isNull()
+        tail = F.when(F.size("path") == 0, F.col("_path")).otherwise(
+            F.filter("_path", lambda p: key(p) < key(lowest)))
         rows = cut(joined.select(
             "frame_id", "v", "b",
-            F.when(F.col("done"), F.col("path")).otherwise(F.concat("path", F.when(last, end).otherwise(F.col("_path"))))
-            .alias("path"),
+            F.when(F.col("done"), F.col("path")).otherwise(F.concat("path", F.when(last, end).otherwise(tail))).alias("path"),
             F.coalesce("_nv", "nv").alias("nv"), F.coalesce("_nb", "nb").alias("nb"),
             (F.col("done") | last | F.col("_done")).alias("done")), "paths")
     return rows.select("frame_id", "v", "b", "path")
