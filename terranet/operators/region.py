@@ -257,7 +257,7 @@ def data_regions(cells: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 def outlines(regions: DataFrame) -> DataFrame:
-    """Clockwise outer outline of every data area: (frame_id, region, pos, x, y), closed.
+    """Clockwise outer outline of every labelled set of faces: (frame_id, region, pos, x, y), closed.
 
     Border half-edges have a face of the area on their right and none on their
     left; at a pinch point the outline keeps to its own face.  Of an area's rings
@@ -269,18 +269,19 @@ def outlines(regions: DataFrame) -> DataFrame:
         F.struct((F.col("x") + sx).alias("sx"), (F.col("y") + sy).alias("sy"), F.lit(d).alias("dir"),
                  (F.col("x") + ox).alias("nx"), (F.col("y") + oy).alias("ny")) for sx, sy, d, ox, oy in sides])).alias("s")
     ).select("frame_id", "region", "s.*")
-    faces = regions.select("frame_id", F.col("x").alias("nx"), F.col("y").alias("ny"))
-    border = around.join(faces, ["frame_id", "nx", "ny"], "left_anti")
+    faces = regions.select("frame_id", "region", F.col("x").alias("nx"), F.col("y").alias("ny"))
+    border = around.join(faces, ["frame_id", "region", "nx", "ny"], "left_anti")
     step = lambda plus, minus: F.when(F.col("dir") == plus, 1).when(F.col("dir") == minus, -1).otherwise(0)
-    code = lambda x, y, d: (((y.cast("long") + 1) * F.lit(1 << 31) + x + 1) * 4 + d)
+    # the half-edge's place and direction; each belongs to one face, so to one region
+    code = lambda x, y, d: ((y.cast("long") * F.lit(1 << 31) + x) * 4 + d)
     border = border.withColumns({"ex": F.col("sx") + step(RIGHT, LEFT), "ey": F.col("sy") + step(DOWN, UP)}).withColumn(
         "id", code(F.col("sx"), F.col("sy"), F.col("dir")))
     border = cut(border, "border")
     # the next half-edge starts at this one's end; at pinch points the sharpest right turn wins
-    onward = border.select("frame_id", F.col("sx").alias("ex"), F.col("sy").alias("ey"), F.col("dir").alias("_dir"),
+    onward = border.select("frame_id", "region", F.col("sx").alias("ex"), F.col("sy").alias("ey"), F.col("dir").alias("_dir"),
                            F.col("id").alias("_id"))
     turn = (F.col("_dir") - F.col("dir") + 5) % 4
-    nxt = border.join(onward, ["frame_id", "ex", "ey"]).groupBy("frame_id", "id").agg(
+    nxt = border.join(onward, ["frame_id", "region", "ex", "ey"]).groupBy("frame_id", "id").agg(
         F.min(F.struct(turn.alias("t"), F.col("_id").alias("nxt"))).alias("n")).select("frame_id", "id", "n.nxt")
     ringed = rank_rings(nxt).join(border.select("frame_id", "region", "id", "sx", "sy"), ["frame_id", "id"])
     ringed = cut(ringed, "rings")
