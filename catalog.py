@@ -9,9 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from oracles import mesh_sql
-from terranet.operators import gradient as G, mesh as M, network as N, raster as R
+from terranet.functions.piecewise import corner_function, corner_volume, pl_scale, pl_sum
+from terranet.functions.points import to_real_volume
+from terranet.operators import gradient as G, mergetree as MT, mesh as M, network as N, raster as R, region as B
+from terranet.plans.components import bfs_distance
 from terranet.plans.extract import Network, extract_network
-from terranet.sources import tables
+from terranet.plans.scratch import cut, scratch_path
+from terranet.sources import grids as S, tables
 
 RASTER = {"emb": tables.embeddings_raster, "evt": tables.events_raster, "li": tables.lineitem_raster}
 QUERIES: dict = {}
@@ -164,8 +168,8 @@ def _(spark, sf):
     return M.half_edges(network(spark, sf, "emb").region)
 
 
-@query("mesh_faces", mesh_sql("emb", ["fc"], """SELECT frame_id, fid, min(fx)+0.5 AS x, min(fy)+0.5 AS y, max(h) AS h
-    FROM fc GROUP BY 1,2"""))
+@query("mesh_faces", mesh_sql("emb", ["fc"], """SELECT frame_id, fid, CAST(min(fx)+0.5 AS DOUBLE) AS x,
+    CAST(min(fy)+0.5 AS DOUBLE) AS y, max(h) AS h FROM fc GROUP BY 1,2"""))
 def _(spark, sf):
     return M.faces(network(spark, sf, "emb").region)
 
@@ -334,3 +338,274 @@ def _(spark, sf):
     LEFT JOIN (SELECT frame_id, max(delta) AS m FROM net WHERE NOT isinf(delta) GROUP BY 1) USING (frame_id)"""))
 def _(spark, sf):
     return N.significance_class(network(spark, sf, "evt").edges).select("frame_id", "id", "class", F.round("width", 6).alias("width"))
+
+
+# ------------------------------------------------------------- mesh, continued
+
+@query("mesh_pointers", mesh_sql("emb", ["half"], """SELECT a.frame_id, a.hid, b.hid AS twin, n.hid AS next FROM half a
+    JOIN half b ON b.frame_id=a.frame_id AND b.o=a.d AND b.d=a.o
+    LEFT JOIN half n ON n.frame_id=a.frame_id AND n.o=a.d AND n.dir=(a.dir+3)%4
+      AND NOT (a.dir=0 AND a.oy=a.hh-1 OR a.dir=1 AND a.ox=a.w-1 OR a.dir=2 AND a.oy=0 OR a.dir=3 AND a.ox=0)"""))
+def _(spark, sf):
+    region = network(spark, sf, "emb").region
+    return M.pointers(M.half_edges(region), region)
+
+
+@query("mesh_face_cycles", mesh_sql("emb", ["fe"], "SELECT frame_id, fid AS face, k AS pos, hid FROM fe"))
+def _(spark, sf):
+    region = network(spark, sf, "emb").region
+    return M.face_cycle(M.half_edges(region), region)
+
+
+@query("mesh_edge_between", mesh_sql("emb", ["half"], """SELECT s.frame_id, s.origin, s.dest, h.hid FROM spots2 s
+    LEFT JOIN half h ON h.o=s.origin AND h.d=s.dest""", """spots2 AS (SELECT 'emb' AS frame_id,
+    CAST(s_suppkey*64+s_nationkey AS BIGINT) AS origin, CAST(s_suppkey*64+s_nationkey+1 AS BIGINT) AS dest FROM supplier)"""))
+def _(spark, sf):
+    spots = supplier_spots(spark, sf).select("frame_id", (F.col("y").cast("long") * 64 + F.col("x")).alias("origin"))
+    pairs = spots.withColumn("dest", F.col("origin") + 1)
+    return M.edge_between(M.half_edges(network(spark, sf, "emb").region), pairs)
+
+
+@query("mesh_descending", mesh_sql("emb", ["half"], "SELECT frame_id, hid, op > dp AS is_descending FROM half"))
+def _(spark, sf):
+    region = network(spark, sf, "emb").region
+    return M.with_direction_of_slope(M.half_edges(region), region).select("frame_id", "hid", "is_descending")
+
+
+@query("leaf_vertices", mesh_sql("emb", ["vp"], """SELECT frame_id, vid FROM (SELECT frame_id, unnest([o, d]) AS vid FROM vp)
+    GROUP BY 1,2 HAVING count(*)=1"""))
+def _(spark, sf):
+    return G.leaf_vertices(network(spark, sf, "emb").flow.table)
+
+
+@query("leaf_faces", mesh_sql("emb", ["fp"], """SELECT frame_id, fid FROM (SELECT frame_id, unnest([fid, other]) AS fid FROM fp)
+    WHERE fid IS NOT NULL GROUP BY 1,2 HAVING count(*)=1"""))
+def _(spark, sf):
+    return G.leaf_faces(G.gradient(network(spark, sf, "emb").region))
+
+
+@query("hops_from_minima", mesh_sql("evt", ["minima", "half"], """SELECT frame_id, id, min(hops) AS hops FROM bfs GROUP BY 1,2""",
+    """bfs AS (SELECT frame_id, vid AS id, 0 AS hops FROM minima UNION
+    SELECT b.frame_id, h.d, b.hops+1 FROM bfs b JOIN half h ON h.frame_id=b.frame_id AND h.o=b.id WHERE b.hops<12)"""))
+def _(spark, sf):
+    net = network(spark, sf, "evt")
+    edges = cut(M.half_edges(net.region).select("frame_id", F.col("origin").alias("a"), F.col("dest").alias("b")))
+    return bfs_distance(edges, net.flow.minima().select("frame_id", F.col("vid").alias("id")), 12)
+
+
+# -------------------------------------------------------------------- boundaries
+
+@query("default_boundary", mesh_sql("evt", ["frames"], """SELECT frame_id AS boundary_id, pos, CASE WHEN pos IN (0,1,4) THEN 0 ELSE w-1 END AS x,
+    CASE WHEN pos IN (1,2) THEN 0 ELSE hh-1 END AS y FROM frames, (VALUES (0),(1),(2),(3),(4)) t(pos)"""))
+def _(spark, sf):
+    return B.default_boundary(RASTER["evt"](spark, sf)[1])[0]
+
+
+@query("rasterized_boundary", mesh_sql("evt", ["frames"], """SELECT frame_id AS boundary_id, CAST(p AS INTEGER) AS pos,
+    CAST(CASE WHEN p<hh THEN 0 WHEN p<hh+w-1 THEN p-hh+1 WHEN p<2*hh+w-2 THEN w-1 ELSE 2*hh+2*w-4-p END AS INTEGER) AS x,
+    CAST(CASE WHEN p<hh THEN hh-1-p WHEN p<hh+w-1 THEN 0 WHEN p<2*hh+w-2 THEN p-hh-w+2 ELSE hh-1 END AS INTEGER) AS y
+    FROM frames, range(0, 105) t(p)"""))
+def _(spark, sf):
+    return B.rasterize(*B.default_boundary(RASTER["evt"](spark, sf)[1]))[0]
+
+
+@query("rasterized_regions", mesh_sql("evt", ["frames"], """SELECT frame_id AS boundary_id, r AS region_id,
+    CASE WHEN r=0 THEN 0 ELSE hh+w-2 END AS start_pos, CASE WHEN r=0 THEN hh-1 ELSE 2*hh+w-3 END AS end_pos
+    FROM frames, (VALUES (0),(1)) t(r)"""))
+def _(spark, sf):
+    return B.rasterize(*B.default_boundary(RASTER["evt"](spark, sf)[1]))[1]
+
+
+@query("impermeable_regions", mesh_sql("evt", ["frames"], """SELECT frame_id AS boundary_id, r AS region_id,
+    CASE WHEN r=0 THEN 1 ELSE 3 END AS start_pos, CASE WHEN r=0 THEN 2 ELSE 0 END AS end_pos FROM frames, (VALUES (0),(1)) t(r)"""))
+def _(spark, sf):
+    return B.impermeable(B.default_boundary(RASTER["evt"](spark, sf)[1])[1])
+
+
+@query("clipped_critical", mesh_sql("evt", ["minima", "sad", "maxima"], """SELECT frame_id, 'minimum' AS kind, count(*) AS n FROM minima
+    GROUP BY 1 UNION ALL SELECT frame_id, 'saddle', count(*) FROM sad GROUP BY 1 UNION ALL
+    SELECT frame_id, 'maximum', count(*) FROM maxima GROUP BY 1"""))
+def _(spark, sf):
+    cells, frames = RASTER["evt"](spark, sf)
+    path, regions = B.rasterize(*B.default_boundary(frames))
+    region = M.clip(cells, frames, path.withColumnRenamed("boundary_id", "frame_id"), regions.withColumnRenamed("boundary_id", "frame_id"))
+    return G.critical(G.gradient(cut(region))).groupBy("frame_id", "kind").agg(F.count("*").alias("n"))
+
+
+_FACES = """vf AS MATERIALIZED (SELECT a.frame_id, a.x, a.y FROM cells a JOIN cells b ON b.x=a.x+1 AND b.y=a.y
+    JOIN cells c ON c.x=a.x AND c.y=a.y+1 JOIN cells d ON d.x=a.x+1 AND d.y=a.y+1)"""
+_AREAS = _FACES + """, flood AS (SELECT frame_id, x, y, x AS rx, y AS ry FROM vf UNION
+    SELECT f.frame_id, g.x, g.y, f.rx, f.ry FROM flood f, (VALUES (1,0),(-1,0),(0,1),(0,-1)) s(sx,sy), vf g
+      WHERE g.x=f.x+sx AND g.y=f.y+sy),
+    area AS MATERIALIZED (SELECT frame_id, x, y, min({'x':rx,'y':ry}) AS r FROM flood GROUP BY 1,2,3)"""
+
+
+@query("data_regions_li", mesh_sql("li", [], "SELECT frame_id, x, y, r.x AS rx, r.y AS ry FROM area", _AREAS))
+def _(spark, sf):
+    return B.data_regions(RASTER["li"](spark, sf)[0]).select("frame_id", "x", "y", F.col("region.x").alias("rx"), F.col("region.y").alias("ry"))
+
+
+@query("region_outlines_li")
+def _(spark, sf):
+    return B.outlines(B.data_regions(RASTER["li"](spark, sf)[0])).select(
+        "frame_id", F.col("region.x").alias("rx"), F.col("region.y").alias("ry"), "pos", "x", "y")
+
+
+@query("region_outlines_valid_li", mesh_sql("li", [], """SELECT 'li:'||r.x||':'||r.y AS boundary_id, true AS is_clockwise
+    FROM area GROUP BY r""", _AREAS))
+def _(spark, sf):
+    rings = B.outlines(B.data_regions(RASTER["li"](spark, sf)[0])).select(
+        F.concat_ws(":", "frame_id", "region.x", "region.y").alias("boundary_id"), "pos", "x", "y")
+    return B.is_clockwise(cut(rings))
+
+
+@query("closest_boundary_vertex", mesh_sql("emb", ["frames"], """SELECT point_id, 'emb' AS boundary_id, CAST(arg_min(pos, d2*1e6+pos) AS INTEGER) AS pos,
+    sqrt(CAST(min(d2) AS DOUBLE)) AS distance FROM (SELECT s_suppkey AS point_id, pos, power(x-s_nationkey,2)+power(y-s_suppkey,2) AS d2
+    FROM supplier, (SELECT pos, CASE WHEN pos IN (0,1,4) THEN 0 ELSE w-1 END AS x, CASE WHEN pos IN (1,2) THEN 0 ELSE hh-1 END AS y
+      FROM frames, (VALUES (0),(1),(2),(3),(4)) t(pos))) GROUP BY 1"""))
+def _(spark, sf):
+    points = spark.read.parquet(f"{sf}/supplier.parquet").select(
+        F.col("s_suppkey").alias("point_id"), F.lit("emb").alias("boundary_id"), F.col("s_nationkey").cast("int").alias("px"),
+        F.col("s_suppkey").cast("int").alias("py"))
+    return B.closest_to(B.default_boundary(RASTER["emb"](spark, sf)[1])[0], points)
+
+
+@query("cell_outlines_evt")
+def _(spark, sf):
+    net = network(spark, sf, "evt")
+    faces = net.flow.cell_faces().filter("cell >= 0").join(net.frames.select("frame_id", "width"), "frame_id")
+    return B.outlines(cut(faces.select("frame_id", F.col("cell").alias("region"), F.expr("cast(fid % width as int)").alias("x"),
+                                       F.expr("cast(fid div width as int)").alias("y")))).withColumnRenamed("region", "cell")
+
+
+# ----------------------------------------------------------- volumes, merge tree
+
+@query("corner_volumes", mesh_sql("evt", ["fc"], """SELECT frame_id, fid, sum(0.25*greatest(h-10000, 0)) AS volume FROM fc GROUP BY 1,2"""))
+def _(spark, sf):
+    rows = G.gradient(network(spark, sf, "evt").region).filter("fside is not null")
+    level = F.lit(10_000.0)
+    total = sum((corner_volume(F.col(c), level) for c in ("rh", "xh", "dh")), corner_volume(F.col("h"), level))
+    return rows.select("frame_id", F.col("vid").alias("fid"), total.alias("volume"))
+
+
+@query("cell_volume_functions", mesh_sql("evt", ["cornersum"], """SELECT frame_id, cell, h AS bp,
+    sum(0.25*h*n) OVER w AS c0, CAST(sum(-0.25*n) OVER w AS DOUBLE) AS c1 FROM cornersum
+    WINDOW w AS (PARTITION BY frame_id, cell ORDER BY h DESC) UNION ALL
+    SELECT DISTINCT frame_id, cell, 'Infinity'::DOUBLE, 0.0, 0.0 FROM cornersum"""))
+def _(spark, sf):
+    corners = network(spark, sf, "evt").flow.corners()
+    return pl_sum(corners.select("frame_id", "cell", pl_scale(corner_function(F.col("h")), F.col("n")).alias("f")), ["frame_id", "cell"])
+
+
+def tree_of(spark, sf, raster="evt"):
+    net = network(spark, sf, raster)
+    return MT.nodes(net.tree, net.flow.maxima())
+
+
+_PARENT = """above AS (SELECT r.frame_id, r.saddle_id, r.side, r.cell FROM reach r),
+    par AS (SELECT c.frame_id, c.saddle_id, arg_max(s.saddle_id, l.p) AS parent_id FROM sidecells c
+    JOIN sidecells t ON t.frame_id=c.frame_id JOIN sig s ON s.frame_id=t.frame_id AND s.saddle_id=t.saddle_id AND s.splits
+    JOIN links l ON l.frame_id=s.frame_id AND l.saddle_id=s.saddle_id
+    JOIN links m ON m.frame_id=c.frame_id AND m.saddle_id=c.saddle_id
+    WHERE c.side=0 AND l.p < m.p AND list_contains(t.members, c.members[1]) GROUP BY 1,2)"""
+
+
+@query("merge_tree_parents", mesh_sql("evt", ["sig", "sidecells", "links"], """SELECT s.frame_id, s.saddle_id AS node_id, p.parent_id
+    FROM sig s LEFT JOIN par p USING (frame_id, saddle_id) WHERE splits""", _PARENT))
+def _(spark, sf):
+    return tree_of(spark, sf).filter("kind = 'saddle'").select("frame_id", "node_id", "parent_id")
+
+
+@query("merge_tree_leaves", mesh_sql("evt", ["links"], """SELECT frame_id, cell AS node_id, arg_max(saddle_id, p) AS parent_id FROM (
+    SELECT frame_id, saddle_id, p, unnest([cell_a, cell_b]) AS cell FROM links WHERE cell_a<>cell_b) GROUP BY 1,2"""))
+def _(spark, sf):
+    return tree_of(spark, sf).filter("kind <> 'saddle'").select("frame_id", "node_id", "parent_id")
+
+
+@query("merge_tree_roots", mesh_sql("evt", ["sig", "sads"], """SELECT frame_id, arg_min(saddle_id, {'h':h,'x':x,'y':y}) AS node_id, min(h) AS h
+    FROM sig JOIN sads USING (frame_id, saddle_id) WHERE splits GROUP BY 1"""))
+def _(spark, sf):
+    return MT.root(tree_of(spark, sf)).select("frame_id", "node_id", "h")
+
+
+@query("merge_tree_children_evt")
+def _(spark, sf):
+    return MT.order_children(tree_of(spark, sf)).select("frame_id", "parent_id", "child_no", "kind", "node_id")
+
+
+@query("merge_tree_ancestors_evt")
+def _(spark, sf):
+    tree = cut(tree_of(spark, sf))
+    queries = tree.filter("kind <> 'saddle'").select("frame_id", "kind", "node_id", F.lit(15_000.0).alias("height"))
+    return MT.ancestor_at(tree, queries)
+
+
+@query("merge_tree_pruned_evt")
+def _(spark, sf):
+    return MT.pruned_tree(cut(tree_of(spark, sf)), 20_000.0).select("frame_id", "kind", "node_id", "parent_id", "h")
+
+
+@query("merge_tree_mask_evt", mesh_sql("evt", ["sig", "reach", "sads", "cellof"], """SELECT c.frame_id, 1 AS mask_id, CAST(c.fid % 24 AS INTEGER) AS x,
+    CAST(c.fid // 24 AS INTEGER) AS y FROM cellof c JOIN (SELECT DISTINCT r.frame_id, r.cell FROM reach r
+      JOIN (SELECT frame_id, arg_max(saddle_id, {'h':h,'x':x,'y':y}) AS saddle_id FROM sig JOIN sads USING (frame_id, saddle_id)
+        WHERE splits AND h<=15000 GROUP BY 1) t USING (frame_id, saddle_id)) m USING (frame_id, cell)"""))
+def _(spark, sf):
+    net, tree = network(spark, sf, "evt"), cut(tree_of(spark, sf))
+    wanted = tree.filter("kind = 'saddle' and h <= 15000").groupBy("frame_id").agg(
+        F.max_by("node_id", F.struct("h", "x", "y")).alias("node_id")).select("frame_id", F.lit(1).alias("mask_id"), F.lit("saddle").alias("kind"), "node_id")
+    return MT.subtree_mask(tree, net.flow.cell_faces(), net.frames, wanted)
+
+
+# ------------------------------------------------------------------ links, files
+
+@query("link_sequence_evt")
+def _(spark, sf):
+    return N.link_sequence(cut(network(spark, sf, "evt").edges)).select("frame_id", "link_id", "pos", "edge_id", "reversed", "attached")
+
+
+@query("link_points_evt")
+def _(spark, sf):
+    net = network(spark, sf, "evt")
+    return N.link_points(cut(N.link_sequence(cut(net.edges))), cut(net.points()))
+
+
+@query("reversed_legs_evt", mesh_sql("evt", ["net", "walk"], """SELECT p.frame_id, leg_id,
+    max(pos) OVER (PARTITION BY p.frame_id, leg_id) - pos AS pos, p.vid FROM pts p""", _PTS))
+def _(spark, sf):
+    return N.reverse_paths(network(spark, sf, "evt").points()).select("frame_id", "leg_id", "pos", "vid")
+
+
+@query("real_volumes_evt", mesh_sql("evt", ["net"], f"""SELECT frame_id, id, CASE WHEN NOT isinf(delta) THEN delta*2.5*4.0 END AS volume FROM (
+    SELECT frame_id, leg_id AS id, delta FROM net)"""))
+def _(spark, sf):
+    net = network(spark, sf, "evt")
+    scaled = S.with_resolution(net.frames, 2.5, 4.0)
+    return net.edges.join(scaled, "frame_id").select("frame_id", "id", F.when(
+        F.col("delta") < float("inf"), to_real_volume(F.col("delta"), F.col("x_res"), F.col("y_res"))).alias("volume"))
+
+
+def _round_trip(spark, sf, raster):
+    cells, frames = RASTER[raster](spark, sf)
+    path = scratch_path(spark, "grids")
+    S.write_esri_grid(cells, frames, path)
+    return S.read_series(*S.read_esri_grid(spark, f"{path}/frame_id=*", by="folder"))
+
+
+for _r in ("emb", "evt"):
+    query(f"esri_round_trip_{_r}", mesh_sql(_r, [], "SELECT frame_id, x, y, h FROM cells"))(
+        lambda spark, sf, r=_r: _round_trip(spark, sf, r)[0])
+
+
+@query("series_frames_evt", mesh_sql("evt", ["frames"], """SELECT frame_id, CAST(row_number() OVER (ORDER BY frame_id)-1 AS INTEGER) AS frame_no,
+    w AS width, hh AS height, 1.0::DOUBLE AS x_res, 1.0::DOUBLE AS y_res FROM frames"""))
+def _(spark, sf):
+    return _round_trip(spark, sf, "evt")[1]
+
+
+@query("boundary_round_trip", mesh_sql("emb", ["frames"], """SELECT frame_id AS boundary_id, pos, CASE WHEN pos IN (0,1,4) THEN 0 ELSE w-1 END AS x,
+    CASE WHEN pos IN (1,2) THEN 0 ELSE hh-1 END AS y FROM frames, (VALUES (0),(1),(2),(3),(4)) t(pos)"""))
+def _(spark, sf):
+    frames = RASTER["emb"](spark, sf)[1]
+    path = scratch_path(spark, "boundary")
+    S.write_boundary(*B.default_boundary(frames), path)
+    return S.read_boundary(spark, f"{path}/frame_id=*", frames, by="folder")[0]

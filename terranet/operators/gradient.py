@@ -296,3 +296,17 @@ def critical(g: DataFrame) -> DataFrame:
                          F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "h")
     return (rows(minima(g), "minimum", "vid").unionByName(rows(saddle_edges(g), "saddle", "saddle_id"))
             .unionByName(rows(maxima(g), "maximum", "fid")))
+
+
+def leaf_vertices(g: DataFrame) -> DataFrame:
+    """Vertices with exactly one incident edge that is paired with a vertex."""
+    w = F.col("w").cast("long")
+    step = _pick([(F.col("vdir") == RIGHT, F.lit(1)), (F.col("vdir") == UP, -w), (F.col("vdir") == LEFT, F.lit(-1))], w)
+    ends = g.filter("vdir >= 0").select("frame_id", F.explode(F.array(F.col("vid"), (F.col("vid") + step).cast("long"))).alias("vid"))
+    return ends.groupBy("frame_id", "vid").count().filter("count = 1").select("frame_id", "vid")
+
+
+def leaf_faces(g: DataFrame) -> DataFrame:
+    """Faces with exactly one side that is paired with a face."""
+    ends = g.filter("fside >= 0").select("frame_id", F.explode(F.array(F.col("vid"), F.col("fnext"))).alias("fid"))
+    return ends.filter("fid >= 0").groupBy("frame_id", "fid").count().filter("count = 1").select("frame_id", "fid")

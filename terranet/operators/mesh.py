@@ -266,3 +266,34 @@ def validate_mesh(half: DataFrame, region: DataFrame) -> DataFrame:
             .unionByName(missing(e, "dest", "destination missing", ids, "vid"))
             .unionByName(missing(e, "twin", "twin missing", known, "hid"))
             .unionByName(broken))
+
+
+def pointers(half: DataFrame, region: DataFrame) -> DataFrame:
+    """Twin of every half-edge, and its successor around an inside face (NULL at the outer face)."""
+    sizes = region.groupBy("frame_id").agg(F.first("w").alias("w"))
+    w = F.col("w")
+    return half.join(sizes, "frame_id").select(
+        "frame_id", "hid", twin(F.col("hid"), w).alias("twin"),
+        F.when(F.col("face").isNotNull(), next_in_face(F.col("hid"), w)).alias("next"))
+
+
+def face_cycle(half: DataFrame, region: DataFrame) -> DataFrame:
+    """Half-edges of every inside face in clockwise order: (frame_id, face, pos, hid).
+
+    The top side has position 0; the place in the cycle follows from the direction.
+    """
+    return half.filter("face is not null").select("frame_id", "face", ((4 - F.col("dir")) % 4).alias("pos"), "hid")
+
+
+def edge_between(half: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Half-edge from one vertex to another, for (frame_id, origin, dest); NULL if not adjacent."""
+    return pairs.join(half.select("frame_id", "origin", "dest", "hid"), ["frame_id", "origin", "dest"], "left")
+
+
+def with_direction_of_slope(half: DataFrame, region: DataFrame) -> DataFrame:
+    """Half-edges with ``is_descending``: the origin is the higher point."""
+    point = F.struct("h", "x", "y")
+    ends = region.select("frame_id", F.col("vid"), point.alias("p"))
+    return half.join(ends.withColumnsRenamed({"vid": "origin", "p": "_o"}), ["frame_id", "origin"]).join(
+        ends.withColumnsRenamed({"vid": "dest", "p": "_d"}), ["frame_id", "dest"]).select(
+        *half.columns, (F.col("_o") > F.col("_d")).alias("is_descending"))

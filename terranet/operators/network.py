@@ -224,3 +224,9 @@ def link_points(link_rows: DataFrame, points: DataFrame) -> DataFrame:
         "at", F.when(F.col("reversed"), F.col("steps") - F.col("pos")).otherwise(F.col("pos")))
     return rows.filter("first or at > 0").select(
         "frame_id", "link_id", (F.col("offset") + F.col("at")).alias("pos"), "x", "y", "h")
+
+
+def reverse_paths(points: DataFrame) -> DataFrame:
+    """The same paths walked backwards."""
+    length = points.groupBy("frame_id", "leg_id").agg(F.max("pos").alias("_last"))
+    return points.join(length, ["frame_id", "leg_id"]).withColumn("pos", F.col("_last") - F.col("pos")).drop("_last")
