@@ -432,8 +432,9 @@ def _(spark, sf):
     return G.critical(G.gradient(cut(region))).groupBy("frame_id", "kind").agg(F.count("*").alias("n"))
 
 
-_FACES = """vf AS MATERIALIZED (SELECT a.frame_id, a.x, a.y FROM cells a JOIN cells b ON b.x=a.x+1 AND b.y=a.y
-    JOIN cells c ON c.x=a.x AND c.y=a.y+1 JOIN cells d ON d.x=a.x+1 AND d.y=a.y+1)"""
+_FACES = """known AS MATERIALIZED (SELECT frame_id, x, y, CAST(y AS BIGINT)*1000000+x AS k FROM cells),
+    vf AS MATERIALIZED (SELECT frame_id, x, y FROM known WHERE k+1 IN (SELECT k FROM known)
+      AND k+1000000 IN (SELECT k FROM known) AND k+1000001 IN (SELECT k FROM known))"""
 _AREAS = _FACES + """, flood AS (SELECT frame_id, x, y, x AS rx, y AS ry FROM vf UNION
     SELECT f.frame_id, g.x, g.y, f.rx, f.ry FROM flood f, (VALUES (1,0),(-1,0),(0,1),(0,-1)) s(sx,sy), vf g
       WHERE g.x=f.x+sx AND g.y=f.y+sy),
