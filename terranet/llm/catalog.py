@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from terranet.llm import decontaminate, near, sketches, token_file
+from terranet.llm import decontaminate, near, sketches, token_file, warc
 
 QUERIES = {
     "op1_fingerprints": sketches.op1_fingerprints,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op3_token_files": token_file.op3_token_files,
     "op4_ngram_jaccard_join": near.op4_ngram_jaccard_join,
+    "op5_warc": warc.op5_warc,
 }
 ORACLES = {
     "op4_ngram_jaccard_join": near.OP4_SQL,
+    "op5_warc": warc.OP5_SQL,
 }
