@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terranet.llm import decontaminate, near, sketches, token_file, warc
+from terranet.llm import decontaminate, mixture, near, sketches, token_file, warc
 
 QUERIES = {
     "op1_fingerprints": sketches.op1_fingerprints,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_token_files": token_file.op3_token_files,
     "op4_ngram_jaccard_join": near.op4_ngram_jaccard_join,
     "op5_warc": warc.op5_warc,
+    "op7_mix_sources": mixture.op7_mix_sources,
 }
 ORACLES = {
     "op4_ngram_jaccard_join": near.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
+    "op7_mix_sources": mixture.OP7_SQL,
 }
