@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terranet.llm import decontaminate, mixture, near, sketches, token_file, warc
+from terranet.llm import decontaminate, mixture, near, pieces, sketches, token_file, warc
 
 QUERIES = {
     "op1_fingerprints": sketches.op1_fingerprints,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_token_files": token_file.op3_token_files,
     "op4_ngram_jaccard_join": near.op4_ngram_jaccard_join,
     "op5_warc": warc.op5_warc,
+    "op6_token_counts": pieces.op6_token_counts,
     "op7_mix_sources": mixture.op7_mix_sources,
 }
 ORACLES = {
