@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terranet.llm import decontaminate, mixture, near, pieces, sketches, token_file, warc
+from terranet.llm import decontaminate, mixture, near, pieces, site_tree, sketches, token_file, warc
 
 QUERIES = {
     "op1_fingerprints": sketches.op1_fingerprints,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_warc": warc.op5_warc,
     "op6_token_counts": pieces.op6_token_counts,
     "op7_mix_sources": mixture.op7_mix_sources,
+    "op8_html_extraction": site_tree.op8_html_extraction,
 }
 ORACLES = {
     "op4_ngram_jaccard_join": near.OP4_SQL,
