@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terranet.llm import decontaminate, line_crf, mixture, near, pieces, site_tree, sketches, token_file, warc
+from terranet.llm import decontaminate, line_crf, mixture, near, pieces, site_tree, sketches, token_file, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": sketches.op1_fingerprints,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_mix_sources": mixture.op7_mix_sources,
     "op8_html_extraction": site_tree.op8_html_extraction,
     "op9_quality_classifier": line_crf.op9_quality_classifier,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op4_ngram_jaccard_join": near.OP4_SQL,

@@ -156,7 +156,7 @@ def _placed(documents: DataFrame, block_words: int) -> tuple[DataFrame, DataFram
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = rows.withColumn("order", order)
     n = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")
-    joined = rows.alias("r").join(F.broadcast(sources).alias("s"), F.expr("r.source <=> s.source")).select(
+    joined = rows.alias("r").join(sources.alias("s"), F.expr("r.source <=> s.source")).select(
         "doc_id", "r.source", "size", "order", "source_size", "target", n.alias("n_blocks"))
     # the first 32 bits of the hash choose the block, so blocks follow each other in hash order
     place = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
