@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terranet.llm import words
 from terranet.llm.tables import read
+from terranet.plans.scratch import cut
 
 LEAST, COVERAGE = 5, 0.5
 BLOCK_WORDS = 1_000_000  # benchmark words compared in one pass over the documents
@@ -212,7 +213,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, least: int = LEAST,
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
     """The documents that contain no benchmark item.  A document with a null doc_id goes if any such one is contaminated."""
-    bad = contaminated(documents, benchmark, least, coverage).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = cut(contaminated(documents, benchmark, least, coverage).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
     return documents.join(bad, documents["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
 
 

@@ -151,17 +151,18 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
 def _placed(documents: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
     """Documents with their block and the source words before them, and the blocks."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = cut(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("key"))
+    rows = cut(rows.withColumn("no", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("source"))), "sizes")
     sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = rows.withColumn("order", order)
     n = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")
     joined = rows.alias("r").join(sources.alias("s"), F.expr("r.source <=> s.source")).select(
-        "doc_id", "r.source", "size", "order", "source_size", "target", n.alias("n_blocks"))
+        "doc_id", "r.source", "size", "key", "no", "order", "source_size", "target", n.alias("n_blocks"))
     # the first 32 bits of the hash choose the block, so blocks follow each other in hash order
     place = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
     joined = joined.withColumn("block", F.expr("n_blocks").cast("long") * place).withColumn("block", F.expr("block div 4294967296"))
-    within = Window.partitionBy("source", "block").orderBy("order", "doc_id", "size")
+    within = Window.partitionBy("source", "block").orderBy("order", "doc_id", "size", "key", "no")
     joined = joined.withColumn("before", F.sum("size").over(within) - F.col("size"))
     blocks = joined.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     over = Window.partitionBy("source").orderBy("block")
@@ -169,9 +170,9 @@ def _placed(documents: DataFrame, block_words: int) -> tuple[DataFrame, DataFram
 
 
 def mixed_documents(documents: DataFrame, shards: int | None = None, seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken, first_shard, second_shard, order.
+    """Per document: doc_id, source, size, source_size, target, taken, first_part, second_part, first_shard, second_shard, order, key, no.
 
-    ``taken`` counts repeats.  The shards are those that read the document's block in
+    ``taken`` counts repeats; the parts are the words of the two passes.  The shards are those that read the document's block in
     the first and in the second pass over its source, null where the pass ends before.
     Other columns are ignored.
     """
@@ -194,7 +195,38 @@ def mixed_documents(documents: DataFrame, shards: int | None = None, seed: int =
     begin = F.col("start") + F.col("before")
     part = lambda p: F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - p * F.col("source_size") - begin))
     return found.select("doc_id", "r.source", "size", "source_size", "target", (part(0) + part(1)).cast("long").alias("taken"),
-                        "first_shard", "second_shard", "order")
+                        part(0).cast("long").alias("first_part"), part(1).cast("long").alias("second_part"), "first_shard", "second_shard", "order", "key", "no")
+
+
+def mixture(documents: DataFrame, shards: int | None = None, seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of the mix, all columns of ``documents``, by output shard and shuffled inside it.
+
+    A document taken twice is two rows.  The one at the cut keeps its first words only,
+    and its n_chars, if there is such a column, is counted anew.
+    """
+    found = mixed_documents(documents, shards, seed, block_words)
+    passes = F.array(F.struct(F.col("first_part").alias("words"), F.col("first_shard").alias("shard")),
+                     F.struct(F.col("second_part").alias("words"), F.col("second_shard").alias("shard")))
+    drawn = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("no").alias("_no"), F.col("size").alias("_size"),
+                         F.posexplode(passes).alias("_pass", "_p")).filter("_p.words > 0")
+    drawn = drawn.select("_id", "_key", "_no", "_size", F.col("_p.words").alias("_words"), F.col("_p.shard").alias("_shard"),
+                         F.xxhash64(F.lit(seed), "_id", "_key", "_no", "_pass").alias("_place"))
+    names = [f"c{k}" for k in range(len(documents.columns))]
+    name = dict(zip(documents.columns, names))
+    rows = documents.toDF(*names).withColumns({"_id": F.col(name["doc_id"]).cast("long"), "_key": F.xxhash64(name["text"])})
+    rows = rows.withColumn("_no", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.col(name["source"]).cast("string"))))
+    joined = rows.alias("r").join(drawn.alias("d"), F.expr("r._id <=> d._id and r._key = d._key and r._no = d._no")).select(
+        "r.*", "_size", "_words", "_shard", "_place")
+    # pieces are words with the white space behind them; white space in front of the first is a piece too
+    pieces = F.split(name["text"], r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    lead = F.regexp_like(F.col(name["text"]), F.lit(r"^[\x20\x09-\x0D]")).cast("int")
+    short = F.rtrim(F.array_join(F.slice(pieces, F.lit(1), (F.col("_words") + lead).cast("int")), ""))
+    joined = joined.withColumn("_short", F.when(F.col("_words") < F.col("_size"), short))
+    if "n_chars" in name:
+        joined = joined.withColumn(name["n_chars"], F.when(F.col("_short").isNotNull(), F.char_length("_short").cast(
+            documents.schema["n_chars"].dataType)).otherwise(F.col(name["n_chars"])))
+    joined = joined.withColumn(name["text"], F.coalesce("_short", name["text"]))
+    return joined.repartitionByRange("_shard").sortWithinPartitions("_shard", "_place").select(*names).toDF(*documents.columns)
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
