@@ -244,7 +244,7 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 def _pick(doc_id: str) -> Column:
     """A key that is never null, for joins on doc_id."""
-    return F.coalesce(doc_id, F.lit(-(1 << 63))).alias("pick")
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("pick")
 
 
 def classes_of(documents: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -294,8 +294,10 @@ def one_of_each(documents: DataFrame, threshold: float = THRESHOLD, tolerance: f
     kept = classes.filter("copy_of <=> class_id").select("key", "cluster", _pick("copy_of"))
     # texts of one cluster can share the smallest doc_id only if that id is repeated
     kept = kept.groupBy("cluster", "pick").agg(F.min("key").alias("_key")).select("_key", F.col("pick").alias("_pick"))
-    keyed = documents.withColumns({"_key": F.unhex(F.md5(F.coalesce("text", F.lit("")))), "_pick": _pick("doc_id")})
-    return keyed.join(kept, ["_key", "_pick"]).dropDuplicates(["_key", "_pick"]).select(*[keyed[f"`{c}`"] for c in documents.columns])
+    names = [f"c{k}" for k in range(len(documents.columns))]
+    name = dict(zip(documents.columns, names))
+    keyed = documents.toDF(*names).withColumns({"_key": F.unhex(F.md5(F.coalesce(name["text"], F.lit("")))), "_pick": _pick(name["doc_id"])})
+    return keyed.join(kept, ["_key", "_pick"]).dropDuplicates(["_key", "_pick"]).select(*names).toDF(*documents.columns)
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,7 +306,8 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, md5(coalesce(text, '')) AS k, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+  SELECT doc_id, md5(coalesce(text, '')) AS k, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 cls AS (SELECT k, min(doc_id) AS copy_of, count(*) AS copies, any_value(w) AS w FROM words GROUP BY k),
 sh AS (SELECT DISTINCT k, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS s
        FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM cls WHERE len(w) > 0)),
