@@ -4,7 +4,7 @@ An id is cut into chunks, lowest bits first.  Level 0 holds the first chunk of
 every id; a bitmap per level tells which ids go on, and a rank directory counts
 the set bits before every 512th, so that the place of an id in the next level,
 and with it any single id, is found without decoding a block.  The widths of the
-levels are those that store the segment's ids in the fewest bits.
+levels, 4 or 8 bits, are those that store the segment's ids in the fewest bits.
 
 A file set is a Parquet table with one row per segment of whole documents: ids of
 the documents, their numbers of ids, and the levels.  ``part`` and ``first``
@@ -42,6 +42,9 @@ class Level:
 
 
 def _packed(values: np.ndarray, width: int) -> bytes:
+    if width == 4:
+        half = np.append(values, values[:len(values) % 2] * 0).astype(np.uint8)
+        return (half[::2] | half[1::2] << np.uint8(4)).tobytes()
     if width in (8, 16, 32):
         return values.astype(f"<u{width // 8}").tobytes()
     out = [np.packbits(((values[i:i + 65536, None] >> np.arange(width, dtype=values.dtype)) & values.dtype.type(1)).astype(np.uint8), bitorder="little")
@@ -50,6 +53,11 @@ def _packed(values: np.ndarray, width: int) -> bytes:
 
 
 def _unpacked(raw: bytes, width: int, n: int) -> np.ndarray:
+    if width == 4:
+        data = np.frombuffer(raw, np.uint8)
+        both = np.empty(2 * len(data), np.uint32)
+        both[::2], both[1::2] = data & 15, data >> 4
+        return both[:n]
     if width in (8, 16, 32):
         return np.frombuffer(raw, f"<u{width // 8}", n).astype(np.uint32)
     out = np.empty(n, np.uint32)
@@ -62,16 +70,16 @@ def _unpacked(raw: bytes, width: int, n: int) -> np.ndarray:
     return out
 
 
-def best_widths(ids: np.ndarray) -> list[int]:
+def best_widths(ids: np.ndarray, choices: tuple[int, ...] = (4, 8)) -> list[int]:
     """Level widths with the fewest bits in all, bitmaps included, from the histogram of id lengths."""
-    lengths = np.bincount(np.maximum(1, np.frexp(ids.astype(np.float64))[1]), minlength=2)
+    lengths = np.bincount(np.maximum(1, np.frexp(ids.astype(np.float32))[1]), minlength=2)
     top = len(lengths) - 1
     reach = np.append(np.cumsum(lengths[::-1])[::-1], 0)  # reach[b]: ids of b bits or more
     cost: list[tuple[int, list[int]]] = [(0, [])] * (top + 1)  # cost[b]: bits above b, for ids longer than b
     for b in range(top - 1, -1, -1):
         n = int(reach[b + 1])
-        cost[b] = min((n * (w + (b + w < top)) + cost[b + w][0], [w, *cost[b + w][1]]) for w in range(1, top - b + 1))
-    return cost[0][1] or [1]
+        cost[b] = min((n * (w + (b + w < top)) + cost[min(b + w, top)][0], [w, *cost[min(b + w, top)][1]]) for w in choices)
+    return cost[0][1] or [choices[0]]
 
 
 def encode(ids: np.ndarray, widths: list[int] | None = None) -> list[Level]:
