@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from terranet.llm import labelled, words
 from terranet.llm.tables import read
@@ -217,7 +217,7 @@ def good_documents(documents: DataFrame, model: Model | float, cut: float = CUT)
     names = [f"c{k}" for k in range(len(documents.columns))]
     rows = documents.toDF(*names)
     whole = rows.select(F.coalesce(names[documents.columns.index("text")], F.lit("")).alias("text"), *names)
-    kept = whole.mapInArrow(_score(shared), rows.schema.add("score", "double")).filter(F.col("score") >= cut)
+    kept = whole.mapInArrow(_score(shared), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])).filter(F.col("score") >= cut)
     return kept.select(*names).toDF(*documents.columns)
 
 

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from terranet.llm import words
 from terranet.llm.tables import read
@@ -101,7 +101,7 @@ def fingerprints(documents: DataFrame, k: int = K, text: str = "text") -> DataFr
                     [*part.columns, pa.array(map(to_text, found), pa.string()), pa.array([distinct_count(s, k) for s in found])],
                     [*kept, "fingerprint", "n_shingles"])
 
-    return rows.mapInArrow(fill, rows.schema.add("fingerprint", "string").add("n_shingles", "double"))
+    return rows.mapInArrow(fill, T.StructType([*rows.schema.fields, T.StructField("fingerprint", T.StringType()), T.StructField("n_shingles", T.DoubleType())]))
 
 
 def _blocks(ids: DataFrame, most: int) -> list[int]:
