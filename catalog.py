@@ -100,8 +100,13 @@ def _(spark, sf):
 
 
 _STEP = "(VALUES (0,1,0),(1,0,-1),(2,-1,0),(3,0,1)) s(dir,sx,sy)"
-_NBR = f"""nbr AS (SELECT a.frame_id, a.x, a.y, a.h, dir, b.x AS nx, b.y AS ny, b.h AS nh
-    FROM cells a, {_STEP}, cells b WHERE b.frame_id=a.frame_id AND b.x=a.x+sx AND b.y=a.y+sy)"""
+_KEYED = "known AS MATERIALIZED (SELECT *, CAST(y AS BIGINT)*1000000+x AS k FROM cells)"
+_NBR = f"""{_KEYED}, nbr AS (SELECT a.frame_id, a.x, a.y, a.h, dir, b.x AS nx, b.y AS ny, b.h AS nh
+    FROM (SELECT known.*, dir, k+sx+sy*1000000 AS far FROM known, {_STEP}) a JOIN known b ON b.frame_id=a.frame_id AND b.k=a.far)"""
+_SHADE = """SELECT a.frame_id, a.x, a.y,
+    CASE WHEN b.h IS NOT NULL AND c.h IS NOT NULL THEN least(b.h-c.h, 2.0) END + 1 AS shade FROM known a
+    LEFT JOIN known b ON b.frame_id=a.frame_id AND b.k=a.k+1000001
+    LEFT JOIN known c ON c.frame_id=a.frame_id AND c.k=a.k-1000001"""
 
 
 @query("neighbours", mesh_sql("emb", [], "SELECT * FROM nbr", _NBR))
@@ -109,18 +114,16 @@ def _(spark, sf):
     return R.neighbours(RASTER["emb"](spark, sf)[0])
 
 
-@query("steepest_neighbour", mesh_sql("evt", [], """SELECT frame_id, x, y, dir, nx, ny, nh, nh-h AS slope FROM (
-    SELECT *, row_number() OVER (PARTITION BY frame_id, x, y ORDER BY nh-h, nh, nx, ny) AS rn FROM nbr) WHERE rn=1""", _NBR))
-def _(spark, sf):
-    return R.steepest_neighbour(R.neighbours(RASTER["evt"](spark, sf)[0]))
-
-
-@query("hillshade", mesh_sql("emb", [], """SELECT a.frame_id, a.x, a.y,
-    CASE WHEN b.h IS NOT NULL AND c.h IS NOT NULL THEN least(b.h-c.h, 2.0) END + 1 AS shade FROM cells a
-    LEFT JOIN cells b ON b.frame_id=a.frame_id AND b.x=a.x+1 AND b.y=a.y+1
-    LEFT JOIN cells c ON c.frame_id=a.frame_id AND c.x=a.x-1 AND c.y=a.y-1"""))
-def _(spark, sf):
-    return R.hillshade(RASTER["emb"](spark, sf)[0])
+for _name, _r in (("steepest_neighbour", "evt"), ("steepest_neighbour_li", "li")):
+    query(_name, mesh_sql(_r, [], """SELECT frame_id, x, y, dir, nx, ny, nh, nh-h AS slope FROM (
+        SELECT *, row_number() OVER (PARTITION BY frame_id, x, y ORDER BY nh-h, nh, nx, ny) AS rn FROM nbr) WHERE rn=1""", _NBR))(
+        lambda spark, sf, r=_r: R.steepest_neighbour(R.neighbours(RASTER[r](spark, sf)[0])))
+query("steepest_neighbour_units", mesh_sql("evt", [], """SELECT frame_id, x, y, dir, nx, ny, nh, slope FROM (
+    SELECT *, row_number() OVER (PARTITION BY frame_id, x, y ORDER BY slope, nh, nx, ny) AS rn
+    FROM (SELECT *, (nh-h)/CASE WHEN dir IN (0,2) THEN 4.0::DOUBLE ELSE 2.0::DOUBLE END AS slope FROM nbr)) WHERE rn=1""", _NBR))(
+    lambda spark, sf: R.steepest_neighbour(R.neighbours(RASTER["evt"](spark, sf)[0]), S.with_resolution(RASTER["evt"](spark, sf)[1], 4.0, 2.0)))
+for _name, _r in (("hillshade", "emb"), ("hillshade_li", "li")):
+    query(_name, mesh_sql(_r, [], _SHADE, _KEYED))(lambda spark, sf, r=_r: R.hillshade(RASTER[r](spark, sf)[0]))
 
 
 @query("water", mesh_sql("li", [], "SELECT frame_id, x, y, 5000000.0-h AS depth FROM cells WHERE h < 5000000.0"))
@@ -132,6 +135,12 @@ _OUTLINE = """SELECT DISTINCT a.frame_id, a.x, a.y, a.h FROM {0} a, range(-1,2)
     WHERE b.frame_id=a.frame_id AND b.x=a.x+dx AND b.y=a.y+dy AND b.side<>a.side"""
 
 
+query("contour_li", mesh_sql("li", [], """SELECT DISTINCT a.frame_id, a.x, a.y, a.h
+    FROM (SELECT known.*, k+dx+dy*1000000 AS far FROM known, range(-1,2) p(dx), range(-1,2) q(dy)) a
+    JOIN known b ON b.frame_id=a.frame_id AND b.k=a.far WHERE (a.h<=5000000.0) <> (b.h<=5000000.0)""", _KEYED))(
+    lambda spark, sf: R.contour(RASTER["li"](spark, sf)[0], 5_000_000.0))
+
+
 @query("contour", mesh_sql("emb", [], _OUTLINE.format("s"), "s AS MATERIALIZED (SELECT *, h<=100000.0 AS side FROM cells)"))
 def _(spark, sf):
     return R.contour(RASTER["emb"](spark, sf)[0], 100_000.0)
@@ -384,13 +393,13 @@ def _(spark, sf):
     return G.leaf_faces(G.gradient(network(spark, sf, "emb").region))
 
 
-@query("hops_from_minima", mesh_sql("evt", ["minima", "half"], """SELECT frame_id, id, min(hops) AS hops FROM bfs GROUP BY 1,2""",
-    """bfs AS (SELECT frame_id, vid AS id, 0 AS hops FROM minima UNION
-    SELECT b.frame_id, h.d, b.hops+1 FROM bfs b JOIN half h ON h.frame_id=b.frame_id AND h.o=b.id WHERE b.hops<12)"""))
+# on a whole raster the hops are the distance along rows and columns
+@query("hops_from_minima", mesh_sql("evt", ["minima"], """SELECT v.frame_id, v.vid AS id,
+    CAST(min(abs(v.x-m.x)+abs(v.y-m.y)) AS INTEGER) AS hops FROM v JOIN minima m USING (frame_id) GROUP BY 1,2"""))
 def _(spark, sf):
     net = network(spark, sf, "evt")
     edges = cut(M.half_edges(net.region).select("frame_id", F.col("origin").alias("a"), F.col("dest").alias("b")))
-    return bfs_distance(edges, net.flow.minima().select("frame_id", F.col("vid").alias("id")), 12)
+    return bfs_distance(edges, net.flow.minima().select("frame_id", F.col("vid").alias("id")))
 
 
 # -------------------------------------------------------------------- boundaries
@@ -404,7 +413,7 @@ def _(spark, sf):
 @query("rasterized_boundary", mesh_sql("evt", ["frames"], """SELECT frame_id AS boundary_id, CAST(p AS INTEGER) AS pos,
     CAST(CASE WHEN p<hh THEN 0 WHEN p<hh+w-1 THEN p-hh+1 WHEN p<2*hh+w-2 THEN w-1 ELSE 2*hh+2*w-4-p END AS INTEGER) AS x,
     CAST(CASE WHEN p<hh THEN hh-1-p WHEN p<hh+w-1 THEN 0 WHEN p<2*hh+w-2 THEN p-hh-w+2 ELSE hh-1 END AS INTEGER) AS y
-    FROM frames, range(0, 105) t(p)"""))
+    FROM frames JOIN range(0, 100000) t(p) ON p <= 2*hh+2*w-4"""))
 def _(spark, sf):
     return B.rasterize(*B.default_boundary(RASTER["evt"](spark, sf)[1]))[0]
 

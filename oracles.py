@@ -10,10 +10,11 @@ RASTERS = {
     "emb": """cells AS MATERIALIZED (SELECT 'emb' AS frame_id, CAST(i-1 AS INTEGER) AS x, CAST(vec_id AS INTEGER) AS y,
         floor(CAST(embedding[i] AS DOUBLE)*1e6) AS h FROM embeddings, range(1,65) t(i))""",
     "evt": """filled AS (SELECT event_type AS frame_id, CAST(hour(ts) AS INTEGER) AS x,
-          CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS y,
+          CAST(date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) AS INTEGER) AS y,
           CAST(sum(CAST(value AS DECIMAL(12,2)))*100 AS DOUBLE) AS h FROM events GROUP BY 1,2,3),
         cells AS MATERIALIZED (SELECT t.frame_id, CAST(i AS INTEGER) AS x, CAST(j AS INTEGER) AS y, coalesce(f.h, 0.0) AS h
-          FROM (SELECT DISTINCT event_type AS frame_id FROM events) t, range(0,24) a(i), range(0,30) b(j)
+          FROM (SELECT DISTINCT event_type AS frame_id FROM events) t, range(0,24) a(i),
+          (SELECT unnest(range(0, date_diff('day', min(CAST(ts AS DATE)), max(CAST(ts AS DATE))) + 1)) AS j FROM events) b
           LEFT JOIN filled f ON f.frame_id=t.frame_id AND f.x=i AND f.y=j)""",
     "li": """cells AS MATERIALIZED (SELECT 'li' AS frame_id, CAST(l_suppkey AS INTEGER) AS x, CAST(l_partkey AS INTEGER) AS y,
         CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2)))*100 AS DOUBLE) AS h FROM lineitem GROUP BY 1,2,3)""",
@@ -28,8 +29,8 @@ MESH = {
         a.perm AS operm, least(a.vid,b.vid)*4 + CASE WHEN a.y=b.y THEN 0 ELSE 3 END AS eid, a.vid*4+dir AS hid,
         (a.x=b.x AND a.perm) AS eperm, (a.x=b.x AND a.perm) OR (a.y=b.y AND (a.y=0 OR a.y=a.hh-1)) AS erim,
         CASE WHEN a.y=0 THEN 0 ELSE 1 END AS ereg
-        FROM v a, (VALUES (0,1,0),(1,0,-1),(2,-1,0),(3,0,1)) s(dir,sx,sy), v b
-        WHERE b.frame_id=a.frame_id AND b.x=a.x+sx AND b.y=a.y+sy""",
+        FROM (SELECT v.*, dir, vid+sx+sy*w AS far FROM v, (VALUES (0,1,0),(1,0,-1),(2,-1,0),(3,0,1)) s(dir,sx,sy)
+          WHERE x+sx BETWEEN 0 AND w-1 AND y+sy BETWEEN 0 AND hh-1) a JOIN v b ON b.frame_id=a.frame_id AND b.vid=a.far""",
     "vp": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, o ORDER BY dp) AS rn FROM half WHERE NOT operm)
         WHERE rn=1 AND dp<op""",
     "fc": """SELECT f.frame_id, f.vid AS fid, f.x AS fx, f.y AS fy, f.w, f.hh, k, c.vid, c.p, c.h, c.x, c.y, c.perm

@@ -1,7 +1,6 @@
 """Operators on raster cells (frame_id, x, y, h); NULL h is nodata.
 
-Neighbourhood operators expect dense frames (a row for every position) and use
-one tile shuffle.
+A position without a row is nodata as well.  Neighbourhood operators use one tile shuffle.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from terranet.functions.points import point
-from terranet.operators.stencil import TILE, at_home, name, neighbourhood, spread_to_tiles
+from terranet.operators.stencil import TILE, at_home, name, scattered_neighbourhood, spread_to_tiles
 
 _EIGHT = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0)]
 # 4-neighbours counter-clockwise: right, up, left, down
@@ -20,7 +19,7 @@ _FOUR = [(1, 0), (0, -1), (-1, 0), (0, 1)]
 
 def _around(cells: DataFrame, value: Column, tile: int) -> DataFrame:
     """Cells with their 3x3 neighbourhood of ``value``."""
-    return neighbourhood(spread_to_tiles(cells, -1, 1, tile), value, -1, 1).filter(at_home(tile))
+    return scattered_neighbourhood(spread_to_tiles(cells, -1, 1, tile), value, -1, 1).filter(at_home(tile))
 
 
 def elevation_at(cells: DataFrame, coords: DataFrame) -> DataFrame:
@@ -54,11 +53,18 @@ def neighbours(cells: DataFrame, tile: int = TILE) -> DataFrame:
     return rows.select("frame_id", "x", "y", "h", F.explode(found).alias("n")).select("frame_id", "x", "y", "h", "n.*")
 
 
-def steepest_neighbour(nbrs: DataFrame) -> DataFrame:
-    """Neighbour with the smallest rise per distance; ties go to the lower point."""
-    away = F.sqrt(((F.col("nx") - F.col("x")) * (F.col("nx") - F.col("x"))
-                   + (F.col("ny") - F.col("y")) * (F.col("ny") - F.col("y"))).cast("double"))
-    rise = (F.col("nh") - F.col("h")) / away
+def steepest_neighbour(nbrs: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Neighbour with the smallest rise per distance; ties go to the lower point.
+
+    Distances are in cells, or in units with the resolution of ``frames``.  Nodata
+    cells, and cells with only such neighbours, have none.
+    """
+    nbrs = nbrs.filter("h is not null and nh is not null and not isnan(h) and not isnan(nh)")
+    dx, dy = (F.col("nx") - F.col("x")).cast("double"), (F.col("ny") - F.col("y")).cast("double")
+    if frames is not None:
+        nbrs = nbrs.join(frames.select("frame_id", "x_res", "y_res"), "frame_id")
+        dx, dy = dx * F.col("x_res"), dy * F.col("y_res")
+    rise = (F.col("nh") - F.col("h")) / F.sqrt(dx * dx + dy * dy)
     best = nbrs.groupBy("frame_id", "x", "y").agg(F.min(F.struct(
         rise.alias("slope"), point(F.col("nh"), F.col("nx"), F.col("ny")).alias("p"), "dir", "nx", "ny", "nh")).alias("b"))
     return best.select("frame_id", "x", "y", "b.dir", "b.nx", "b.ny", "b.nh", "b.slope")

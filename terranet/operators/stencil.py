@@ -53,6 +53,20 @@ def name(dx: int, dy: int) -> str:
     return f"n_{part(dx)}_{part(dy)}"
 
 
+def scattered_neighbourhood(df: DataFrame, value: Column, low: int, high: int) -> DataFrame:
+    """``neighbourhood`` for rasters with absent rows: every offset is looked up by position.
+
+    One window per tile, ordered by a combined position, with a range frame per offset.
+    """
+    line = 1 << 32
+    rows = df.withColumns({"_c": value, "_at": F.col("y").cast("long") * line + F.col("x")})
+    at = Window.partitionBy(*TILE_KEYS).orderBy("_at")
+    offsets = range(low, high + 1)
+    return rows.withColumns({
+        name(dx, dy): F.first("_c").over(at.rangeBetween(dy * line + dx, dy * line + dx)) for dx in offsets for dy in offsets
+    }).drop("_c", "_at")
+
+
 def neighbourhood(df: DataFrame, value: Column, low: int, high: int) -> DataFrame:
     """Add columns ``n_<dx>_<dy>`` holding ``value`` at every offset in [low, high]^2.
 

@@ -87,14 +87,15 @@ def grid_components(points: DataFrame, tile: int) -> DataFrame:
         "frame_id", "x", "y", F.coalesce("component", "r").alias("region"))
 
 
-def bfs_distance(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
-    """Hops from the nearest source along directed ``edges`` (frame_id, a, b), at most ``max_hops``.
+def bfs_distance(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Hops from the nearest source along directed ``edges`` (frame_id, a, b), for all that can be reached.
 
-    One join per hop with the newest frontier only.
+    One join per hop with the newest frontier only.  With ``max_hops`` nodes farther away are left out.
     """
     reached = cut(sources.select("frame_id", "id").distinct().withColumn("hops", F.lit(0)), "bfs")
-    frontier = reached
-    for hop in range(1, max_hops + 1):
+    frontier, hop = reached, 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         step = frontier.select("frame_id", F.col("id").alias("a")).join(edges, ["frame_id", "a"]).select(
             "frame_id", F.col("b").alias("id")).distinct()
         frontier = cut(step.join(reached, ["frame_id", "id"], "left_anti").withColumn("hops", F.lit(hop)), "bfs")

@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
-from terranet.operators import network as N
+from terranet.operators import network as N, region as B
 from terranet.operators.cleanup import clean_delta
 from terranet.operators.flow import Flow, flow
 from terranet.operators.mesh import clip, full_region
@@ -67,18 +67,27 @@ class Network:
 
 def extract_network(cells: DataFrame, frames: DataFrame, boundary: DataFrame | None = None,
                     regions: DataFrame | None = None, tile: int = TILE) -> Network:
-    """Network of every frame, inside a rasterised boundary if one is given.
+    """Network of every frame, inside its boundary (frame_id, pos, x, y) if boundaries are given.
 
-    Frames with nodata inside the region, or with a boundary that visits a point
-    twice or leaves the raster, go to ``rejects``; the others are not held up.
+    Boundaries are turned clockwise and rasterised first; ``regions`` (frame_id,
+    region_id, start_pos, end_pos) are their permeable parts, none if left out.
+    Frames with nodata inside the region, without a boundary, or with one that is
+    open, leaves the raster or visits a point twice, go to ``rejects``; the others are not
+    held up.
     """
     rejects = None
     if boundary is not None:
-        bad = bad_boundaries(boundary, frames)
-        rejects = bad
-        boundary = boundary.join(bad, "frame_id", "left_anti")
-        frames = frames.join(bad, "frame_id", "left_anti")
-        region = clip(cells.join(frames.select("frame_id"), "frame_id", "left_semi"), frames, boundary, regions)
+        if regions is None:
+            regions = boundary.select("frame_id", F.lit(0).alias("region_id"), F.col("pos").alias("start_pos"), F.col("pos").alias("end_pos")).limit(0)
+        bad = cut(bad_boundaries(boundary, frames), "rejects")
+        named = [d.join(bad, "frame_id", "left_anti").withColumnRenamed("frame_id", "boundary_id") for d in (boundary, regions)]
+        path, parts = B.rasterize(*B.make_clockwise(cut(named[0], "boundary"), named[1]))
+        crossing = B.repeated_points(path).select(F.col("boundary_id").alias("frame_id")).distinct().select(
+            "frame_id", F.lit("boundary visits a point twice").alias("error"))
+        rejects = cut(bad.unionByName(crossing), "rejects")
+        path, parts = (d.withColumnRenamed("boundary_id", "frame_id").join(rejects, "frame_id", "left_anti") for d in (path, parts))
+        frames = frames.join(rejects, "frame_id", "left_anti")
+        region = clip(cells.join(frames.select("frame_id"), "frame_id", "left_semi"), frames, path, parts)
     else:
         region = full_region(cells, frames)
     region = cut(region, "region")
@@ -93,11 +102,12 @@ def extract_network(cells: DataFrame, frames: DataFrame, boundary: DataFrame | N
 
 
 def bad_boundaries(boundary: DataFrame, frames: DataFrame) -> DataFrame:
-    """(frame_id, error) for boundaries that cannot be used."""
-    last = boundary.groupBy("frame_id").agg(F.max("pos").alias("_last"))
-    twice = boundary.join(last, "frame_id").filter("pos < _last").groupBy("frame_id", "x", "y").count().filter(
-        "count > 1").select("frame_id", F.lit("boundary visits a point twice").alias("error"))
+    """(frame_id, error) for frames whose boundary cannot be rasterised."""
+    ends = boundary.groupBy("frame_id").agg(
+        F.min_by(F.struct("x", "y"), "pos").alias("first"), F.max_by(F.struct("x", "y"), "pos").alias("last"), F.count("*").alias("n"))
+    open_ = ends.filter("first <> last or n < 4").select("frame_id", F.lit("boundary is not closed").alias("error"))
+    missing = frames.select("frame_id").join(ends, "frame_id", "left_anti").select("frame_id", F.lit("no boundary").alias("error"))
     outside = boundary.join(frames.select("frame_id", "width", "height"), "frame_id").filter(
         "x < 0 or y < 0 or x >= width or y >= height").select(
         "frame_id", F.lit("boundary leaves the raster").alias("error"))
-    return twice.unionByName(outside).groupBy("frame_id").agg(F.min("error").alias("error"))
+    return open_.unionByName(outside).unionByName(missing).groupBy("frame_id").agg(F.min("error").alias("error"))

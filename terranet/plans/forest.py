@@ -74,7 +74,7 @@ def jump(rows: DataFrame, exits: DataFrame, ref: str, hops: str | None = None) -
     Settled rows get a key of their own so they spread over all partitions
     instead of meeting on NULL; a small exits table is broadcast by its file size.
     """
-    key = F.when(waits(ref), F.expr(f"{ref} div 2")).otherwise(-1 - F.abs(F.hash(*rows.columns)).cast("long"))
+    key = F.when(waits(ref), F.expr(f"{ref} div 2")).otherwise(-1 - F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 62)))
     far = exits.select(F.col("frame_id"), F.col("id").alias("_key"), F.col("ref").alias("_ref"),
                        F.col("hops").alias("_hops"))
     out = rows.withColumn("_key", key).join(far, ["frame_id", "_key"], "left")

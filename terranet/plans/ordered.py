@@ -1,7 +1,6 @@
 """Prefix sums and next-row lookups within keys, safe for very large keys.
 
-A plain window puts all rows of a key into one task.  Where the largest key is
-within ``WINDOW_ROWS`` that is what runs.  Beyond it rows are range-partitioned
+A plain window puts all rows of a key into one task.  Here rows are range-partitioned
 on (key, order), each block is scanned on its own, and a small table with one row
 per (key, block) carries totals across blocks.
 """
@@ -12,12 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from terranet.plans.scratch import cut
 
-WINDOW_ROWS = 2_000_000
-
-
-def largest_key(df: DataFrame, keys: list[str]) -> int:
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
 
 def _blocks(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -30,9 +23,6 @@ def sums_before(df: DataFrame, keys: list[str], order: list[Column], cols: list[
 
     ``df`` must be materialised.
     """
-    if largest_key(df, keys) <= WINDOW_ROWS:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in cols})
     blocks = _blocks(df, keys, order)
     totals = blocks.groupBy(*keys, "_block").agg(*[F.sum(c).alias(c) for c in cols])
     over = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -48,8 +38,6 @@ def following(df: DataFrame, keys: list[str], order: list[Column], col: str, nam
 
     ``df`` must be materialised.
     """
-    if largest_key(df, keys) <= WINDOW_ROWS:
-        return df.withColumn(name, F.lead(col).over(Window.partitionBy(*keys).orderBy(*order)))
     blocks = _blocks(df, keys, order)
     inner = Window.partitionBy(*keys, "_block").orderBy(*order)
     local = blocks.withColumns({name: F.lead(col).over(inner), "_nth": F.row_number().over(inner)})

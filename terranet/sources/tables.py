@@ -32,16 +32,17 @@ def embeddings_raster(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 
 
 def events_raster(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """One 24x30 frame per event type: x = hour, y = day of the period, empty cells are 0."""
+    """One frame per event type: x = hour, y = day since the first event of the table, empty cells are 0."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_type", "value")
+    first, days = ev.agg(F.to_date(F.min("ts")), F.datediff(F.max("ts"), F.min("ts"))).first()
     filled = ev.select(
         F.col("event_type").alias("frame_id"),
         F.hour("ts").alias("x"),
-        F.datediff("ts", F.lit("2024-01-01")).alias("y"),
+        F.datediff("ts", F.lit(first)).alias("y"),
         F.col("value").cast("decimal(12,2)").alias("v"),
     ).groupBy("frame_id", "x", "y").agg((F.sum("v") * 100).cast("double").alias("h"))
     grid = ev.select(F.col("event_type").alias("frame_id")).distinct().select(
-        "frame_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("y")
+        "frame_id", F.explode(F.sequence(F.lit(0), F.lit(days or 0))).alias("y")
     ).select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("x"), "y")
     cells = grid.join(filled, ["frame_id", "x", "y"], "left").select(
         "frame_id", "x", "y", F.coalesce("h", F.lit(0.0)).alias("h"))

@@ -3,7 +3,6 @@ import math
 import pytest
 
 from terranet.operators import flow as FL, mesh, significance as S
-from terranet.plans import ordered
 from terranet.plans.scratch import cut
 from tests.helpers import random_grid, to_tables
 from tests.model import Model
@@ -12,9 +11,8 @@ GRIDS = {"a": random_grid(19, 14, 1000, 1), "b": random_grid(12, 21, 3, 2), "c":
          "d": random_grid(11, 6, 0, 4), "e": random_grid(15, 15, 40, 9)}
 
 
-@pytest.mark.parametrize("tile,window_rows", [(4, 0), (256, 2_000_000)])
-def test_delta_and_tree_match_model(spark, monkeypatch, tile, window_rows):
-    monkeypatch.setattr(ordered, "WINDOW_ROWS", window_rows)
+@pytest.mark.parametrize("tile", [4, 256])
+def test_delta_and_tree_match_model(spark, tile):
     cells, frames = to_tables(spark, GRIDS)
     fl = FL.flow(mesh.full_region(cells, frames), tile)
     saddles = cut(fl.saddles())
