@@ -538,19 +538,38 @@ def _(spark, sf):
     return MT.root(tree_of(spark, sf)).select("frame_id", "node_id", "h")
 
 
-@query("merge_tree_children_evt")
+_NODES = _PARENT + """, node AS MATERIALIZED (SELECT s.frame_id, 'saddle' AS kind, s.saddle_id AS node_id, p.parent_id, d.h, d.x, d.y, s.volume_above
+      FROM sig s LEFT JOIN par p USING (frame_id, saddle_id) JOIN sads d USING (frame_id, saddle_id) WHERE splits
+    UNION ALL SELECT l.frame_id, CASE WHEN cell<0 THEN 'outer' ELSE 'maximum' END, cell, l.parent_id, coalesce(m.h, 'Infinity'::DOUBLE),
+      coalesce(m.x, -1.0), coalesce(m.y, -1.0), 0.0 FROM (SELECT frame_id, cell, arg_max(saddle_id, p) AS parent_id FROM (
+        SELECT frame_id, saddle_id, p, unnest([cell_a, cell_b]) AS cell FROM links WHERE cell_a<>cell_b) GROUP BY 1,2) l
+      LEFT JOIN maxima m ON m.frame_id=l.frame_id AND m.fid=l.cell)"""
+_TREE_PARTS = ["sig", "sidecells", "links", "sads", "maxima"]
+
+
+@query("merge_tree_children_evt", mesh_sql("evt", _TREE_PARTS, """SELECT frame_id, parent_id,
+    CAST(row_number() OVER (PARTITION BY frame_id, parent_id ORDER BY x, y) AS INTEGER) AS child_no, kind, node_id
+    FROM node WHERE parent_id IS NOT NULL""", _NODES))
 def _(spark, sf):
     return MT.order_children(tree_of(spark, sf)).select("frame_id", "parent_id", "child_no", "kind", "node_id")
 
 
-@query("merge_tree_ancestors_evt")
+@query("merge_tree_ancestors_evt", mesh_sql("evt", _TREE_PARTS, """SELECT n.frame_id, n.kind, n.node_id, 15000.0::DOUBLE AS height,
+    CASE WHEN n.h>=15000 THEN arg_max(u.cur_kind, u.steps) END AS ancestor_kind, CASE WHEN n.h>=15000 THEN arg_max(u.cur, u.steps) END AS ancestor_id
+    FROM node n JOIN ups u ON u.frame_id=n.frame_id AND u.kind=n.kind AND u.node_id=n.node_id GROUP BY n.frame_id, n.kind, n.node_id, n.h""",
+    _NODES + """, ups AS (SELECT frame_id, kind, node_id, kind AS cur_kind, node_id AS cur, parent_id AS up, 0 AS steps FROM node WHERE kind<>'saddle'
+    UNION ALL SELECT u.frame_id, u.kind, u.node_id, n.kind, n.node_id, n.parent_id, u.steps+1 FROM ups u
+      JOIN node n ON n.frame_id=u.frame_id AND n.kind='saddle' AND n.node_id=u.up WHERE n.h>15000)"""))
 def _(spark, sf):
     tree = cut(tree_of(spark, sf))
     queries = tree.filter("kind <> 'saddle'").select("frame_id", "kind", "node_id", F.lit(15_000.0).alias("height"))
     return MT.ancestor_at(tree, queries)
 
 
-@query("merge_tree_pruned_evt")
+@query("merge_tree_pruned_evt", mesh_sql("evt", _TREE_PARTS, "SELECT frame_id, kind, node_id, parent_id, h FROM kept",
+    _NODES + """, kept AS (SELECT frame_id, kind, node_id, parent_id, h FROM node WHERE parent_id IS NULL
+    UNION ALL SELECT n.frame_id, n.kind, n.node_id, n.parent_id, n.h FROM kept k
+      JOIN node n ON n.frame_id=k.frame_id AND n.parent_id=k.node_id AND k.kind='saddle' WHERE n.volume_above>=20000)"""))
 def _(spark, sf):
     return MT.pruned_tree(cut(tree_of(spark, sf)), 20_000.0).select("frame_id", "kind", "node_id", "parent_id", "h")
 

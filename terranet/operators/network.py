@@ -166,11 +166,12 @@ def channel_stats(points: DataFrame, frames: DataFrame) -> DataFrame:
 def link_sequence(edges: DataFrame) -> DataFrame:
     """Join edges of equal delta into links.
 
-    Where exactly two edges of one delta meet at a vertex other than the boundary
-    minimum, the link passes through; otherwise it ends there.  Returns one row
-    per edge (frame_id, link_id, pos, edge_id, reversed, delta, attached): edges
-    in order along their link, ``reversed`` if walked from ``to`` to ``from``.
-    ``attached`` links touch the boundary minimum or a more significant edge.
+    Where exactly two edges of one delta meet, and no more significant one, at a
+    vertex other than the boundary minimum, the link passes through; otherwise it
+    ends there.  Returns one row per edge (frame_id, link_id, pos, edge_id, reversed,
+    delta, attached): edges in order along their link, ``reversed`` if walked from
+    ``to`` to ``from``.  ``attached`` links start at the boundary minimum or at a more
+    significant edge.
     """
     # a dart is an edge walked in one direction; 2*id walks from -> to, 2*id+1 back
     ends = edges.select("frame_id", "id", "delta", F.explode(F.array(
@@ -182,16 +183,21 @@ def link_sequence(edges: DataFrame) -> DataFrame:
     meets = ends.groupBy("frame_id", "vertex", "delta").agg(
         F.count("*").alias("n"), F.min("arrives").alias("arr1"), F.max("arrives").alias("arr2"))
     back = lambda c: F.col(c).bitwiseXOR(F.lit(1).cast("long"))
-    through = meets.filter("n = 2 and vertex <> 'boundary'").select("frame_id", F.explode(F.array(
+    through = meets.join(top, ["frame_id", "vertex"]).filter("n = 2 and vertex <> 'boundary' and delta = top").select("frame_id", F.explode(F.array(
         F.struct(F.col("arr1").alias("id"), back("arr2").alias("nxt")),
         F.struct(F.col("arr2").alias("id"), back("arr1").alias("nxt")))).alias("p")).select("frame_id", "p.*")
     darts = edges.select("frame_id", F.explode(F.array(F.col("id") * 2, F.col("id") * 2 + 1)).alias("id"))
     nxt = cut(darts.join(through, ["frame_id", "id"], "left"), "darts")
     ranked = rank_lists(nxt)
-    # both walking directions of a link were ranked; keep the one that ends at the smaller dart
+    # both walking directions of a link were ranked; keep the one that starts attached, else that ends at the smaller dart
     opposite = ranked.select("frame_id", back("id").alias("id"), back("tail").alias("head"),
                              F.col("to_end").alias("from_start"))
-    lists = ranked.join(opposite, ["frame_id", "id"]).filter(F.col("tail") <= back("head")).select(
+    starts = ends.join(top, ["frame_id", "vertex"]).select("frame_id", F.col("leaves").alias("dart"), (
+        (F.col("vertex") == "boundary") | (F.col("top") > F.col("delta"))).alias("held"))
+    ways = ranked.join(opposite, ["frame_id", "id"]).withColumn("rear", back("tail"))
+    for dart in ("head", "rear"):
+        ways = ways.join(starts.withColumnsRenamed({"dart": dart, "held": f"{dart}_held"}), ["frame_id", dart])
+    lists = ways.filter(F.when(F.col("head_held") == F.col("rear_held"), F.col("tail") <= back("head")).otherwise(F.col("head_held"))).select(
         "frame_id", F.col("head").alias("link_id"), F.col("from_start").alias("pos"), "id")
     closed = cut(nxt.join(ranked, ["frame_id", "id"], "left_anti"), "rings")
     if not is_empty(closed):

@@ -24,13 +24,13 @@ def sums_before(df: DataFrame, keys: list[str], order: list[Column], cols: list[
     ``df`` must be materialised.
     """
     blocks = _blocks(df, keys, order)
-    totals = blocks.groupBy(*keys, "_block").agg(*[F.sum(c).alias(c) for c in cols])
+    totals = blocks.groupBy(*keys, "_block").agg(*[F.sum(c).alias(f"_sum_{c}") for c in cols])
     over = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, "_block", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"_{c}") for c in cols])
+    carry = totals.select(*keys, "_block", *[F.coalesce(F.sum(f"_sum_{c}").over(over), F.lit(0)).alias(f"_carried_{c}") for c in cols])
     w = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = blocks.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(w), F.lit(0)) for c in cols})
     return local.join(carry, [*keys, "_block"]).select(
-        *df.columns, *[(F.col(f"{c}_before") + F.col(f"_{c}")).alias(f"{c}_before") for c in cols])
+        *df.columns, *[(F.col(f"{c}_before") + F.col(f"_carried_{c}")).alias(f"{c}_before") for c in cols])
 
 
 def following(df: DataFrame, keys: list[str], order: list[Column], col: str, name: str) -> DataFrame:

@@ -72,7 +72,7 @@ def _number(token: Column, comma: Column) -> Column:
 
 
 def _report(missing: list[str], spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p, "file could not be read") for p in missing], "file string, error string")
+    return spark.createDataFrame([(p, "nothing found at this path") for p in missing], "file string, error string")
 
 
 def _assemble(values: DataFrame, sizes: DataFrame, nodata: bool) -> tuple[DataFrame, DataFrame]:
@@ -177,37 +177,57 @@ def read_text_dem(spark: SparkSession, paths: str | list[str]) -> tuple[DataFram
 
 
 def read_raster(spark: SparkSession, paths: str | list[str], shape: Callable[[str], tuple[int, int, float | None]],
-                decode: Callable[[str, int, int], np.ndarray], block_rows: int = 512) -> tuple[DataFrame, DataFrame]:
-    """Read any raster format with caller-supplied codec functions, in blocks of rows.
+                decode: Callable[[str, int, int], np.ndarray], block_rows: int = 512) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Read any raster format with caller-supplied codec functions, in blocks of rows: cells, frames, rejects.
 
     ``shape(path) -> (width, height, nodata)`` and ``decode(path, row0, nrows) ->
     2-D array`` run inside tasks; one task row is one block, so no raster has to
-    fit a task.  Resolution is 1 by 1 (see ``with_resolution``).
+    fit a task.  A file either function fails on, or with a block of another shape, is
+    rejected whole.  Resolution is 1 by 1 (see ``with_resolution``).
     """
     def measure(batches):
         for pdf in batches:
-            rows = [(p, *shape(p)) for p in pdf["path"]]
-            yield pd.DataFrame(rows, columns=["path", "width", "height", "nodata"]).astype({"nodata": "float64"})
+            rows = []
+            for path in pdf["path"]:
+                try:
+                    width, height, nodata = shape(path)
+                    rows.append((path, int(width), int(height), nodata, None if width > 0 and height > 0 else "no cells"))
+                except Exception as e:  # whatever the codec raises is the file's fault
+                    rows.append((path, 0, 0, None, f"unreadable: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "width", "height", "nodata", "error"]).astype({"nodata": "float64", "error": "object"})
 
     def load(batches):
         for pdf in batches:
             for r in pdf.itertuples():
-                block = np.asarray(decode(r.path, r.row0, r.nrows), dtype="float64")
+                try:
+                    block = np.asarray(decode(r.path, r.row0, r.nrows), dtype="float64")
+                    if block.shape != (r.nrows, r.width):
+                        raise ValueError("block of another shape")
+                except Exception as e:
+                    yield pd.DataFrame({"frame_id": [r.frame_id], "x": [-1], "y": [r.row0], "h": [np.nan], "nodata": [np.nan],
+                                        "error": [f"unreadable: {e}"]}).astype({"x": "int32", "y": "int32"})
+                    continue
                 ys, xs = np.mgrid[0:block.shape[0], 0:block.shape[1]]
                 yield pd.DataFrame({"frame_id": r.frame_id, "x": xs.ravel().astype("int32"),
-                                    "y": (ys.ravel() + r.row0).astype("int32"), "h": block.ravel(), "nodata": r.nodata})
+                                    "y": (ys.ravel() + r.row0).astype("int32"), "h": block.ravel(), "nodata": r.nodata, "error": None})
 
     files = spark.read.format("binaryFile").load(paths).select("path")
-    sizes = cut(files.mapInPandas(measure, "path string, width int, height int, nodata double")
-                .withColumn("frame_id", _frame_of(F.col("path"), "file")), "sizes")
+    measured = cut(files.mapInPandas(measure, "path string, width int, height int, nodata double, error string")
+                   .withColumn("frame_id", _frame_of(F.col("path"), "file")), "sizes")
+    sizes = measured.filter("error is null")
     blocks = sizes.withColumn("row0", F.explode(F.sequence(F.lit(0), F.col("height") - 1, F.lit(block_rows)))).select(
-        "frame_id", "path", "row0", F.least(F.lit(block_rows), F.col("height") - F.col("row0")).alias("nrows"), "nodata")
-    cells = blocks.repartition("frame_id", "row0").mapInPandas(load, "frame_id string, x int, y int, h double, nodata double")
+        "frame_id", "path", "row0", F.least(F.lit(block_rows), F.col("height") - F.col("row0")).alias("nrows"), "width", "nodata")
+    loaded = cut(blocks.repartition("frame_id", "row0").mapInPandas(
+        load, "frame_id string, x int, y int, h double, nodata double, error string"), "cells")
+    bad = cut(measured.filter("error is not null").select("frame_id", "error").unionByName(
+        loaded.filter("error is not null").groupBy("frame_id").agg(F.min("error").alias("error"))), "rejects")
+    cells = loaded.join(bad.select("frame_id"), "frame_id", "left_anti")
+    sizes = sizes.join(bad.select("frame_id"), "frame_id", "left_anti")
     empty = F.isnan("h") | (F.col("h") == F.col("nodata"))
     cells = cells.select("frame_id", "x", "y", F.when(~F.coalesce(empty, F.isnan("h")), F.col("h")).alias("h"))
     frames = sizes.select("frame_id", F.lit(0).alias("frame_no"), "width", "height",
                           F.lit(1.0).alias("x_res"), F.lit(1.0).alias("y_res"))
-    return cells, frames
+    return cells, frames, bad.select(F.col("frame_id").alias("file"), "error")
 
 
 def read_series(cells: DataFrame, frames: DataFrame, rejects: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

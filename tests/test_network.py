@@ -88,3 +88,13 @@ def test_links_cover_edges_once(spark, net):
         F.count("*").alias("n"), F.max("pos").alias("m")).filter("n <> m + 1")
     assert lp.count() == 0
     assert any(math.isinf(r.delta) and r.attached for r in rows)
+    # a link is attached at its start or nowhere, and never inside
+    most = {}
+    for r in by_edge.values():
+        for v in (r.from_id, r.to_id):
+            most[r.frame_id, v] = max(most.get((r.frame_id, v), 0.0), r.delta)
+    for r in rows:
+        e = by_edge[r.frame_id, r.edge_id]
+        start = e.to_id if r.reversed else e.from_id
+        held = start == "boundary" or most[r.frame_id, start] > r.delta
+        assert held == (r.attached and r.pos == 0)
