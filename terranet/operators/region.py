@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from terranet.functions.points import half, squared_distance
-from terranet.operators.mesh import DOWN, FACE, LEFT, RIGHT, UP, bit, impermeable  # noqa: F401 (re-exported)
+from terranet.operators.mesh import DOWN, LEFT, RIGHT, UP, impermeable  # noqa: F401 (impermeable is part of this module too)
 from terranet.operators.stencil import TILE
 from terranet.plans.components import grid_components
 from terranet.plans.lists import rank_rings
