@@ -206,7 +206,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, least: int = LEAST,
     for k in range(blocks):
         some = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         block = spark.sparkContext.broadcast(([x["item_id"] for x in some], [x["text"] for x in some]))
-        part = rows.mapInArrow(_compare(block, least, coverage), "doc_id long, item_id long, covered_words int, item_words int, tiles int, coverage double")
+        part = rows.mapInArrow(words.lean(_compare(block, least, coverage)), "doc_id long, item_id long, covered_words int, item_words int, tiles int, coverage double")
         found = part if found is None else found.unionByName(part)
     return found
 

@@ -208,7 +208,7 @@ def scored(documents: DataFrame, model: Model | float) -> DataFrame:
     """doc_id and score (0 to 1) of every row, in one pass."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.mapInArrow(_score(shared), "doc_id long, score double")
+    return rows.mapInArrow(words.lean(_score(shared)), "doc_id long, score double")
 
 
 def good_documents(documents: DataFrame, model: Model | float, cut: float = CUT) -> DataFrame:
@@ -217,7 +217,7 @@ def good_documents(documents: DataFrame, model: Model | float, cut: float = CUT)
     names = [f"c{k}" for k in range(len(documents.columns))]
     rows = documents.toDF(*names)
     whole = rows.select(F.coalesce(names[documents.columns.index("text")], F.lit("")).alias("text"), *names)
-    kept = whole.mapInArrow(_score(shared), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])).filter(F.col("score") >= cut)
+    kept = whole.mapInArrow(words.lean(_score(shared)), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])).filter(F.col("score") >= cut)
     return kept.select(*names).toDF(*documents.columns)
 
 

@@ -254,7 +254,7 @@ def classes_of(documents: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     the smallest doc_id of all texts connected by links.
     """
     rows = _keyed(documents)
-    signed = rows.mapInArrow(_sign, "key binary, doc_id long, sign binary")
+    signed = rows.mapInArrow(words.lean(_sign), "key binary, doc_id long, sign binary")
     classes = cut(signed.groupBy("key").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.min("sign").alias("sign")), "classes")
     bands = classes.filter("sign is not null").select("key", F.explode(F.sequence(F.lit(0), F.lit(VALUES // ROWS - 1))).alias("band"), "sign")
     bands = bands.select(F.xxhash64("band", F.expr(f"substring(sign, {2 * ROWS} * band + 1, {2 * ROWS})")).alias("bucket"), "key")
@@ -262,14 +262,14 @@ def classes_of(documents: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     met = bands.join(shared, "bucket").join(classes.select("key", "sign"), "key")
     met = _split(met, "bucket", F.col("n"), BUCKET_BLOCK).select("bucket", "lo", "hi", "part", "key", "sign")
     pruned = met.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(
-        _prune(threshold, tolerance), "a binary, b binary")
+        words.lean(_prune(threshold, tolerance)), "a binary, b binary")
     clusters = cut(_clusters(pruned.distinct()), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     members = clusters.join(sizes, "cluster").join(classes.select("key", _pick("copy_of")), "key")
     texts = members.join(rows.select("key", _pick("doc_id"), "text"), ["key", "pick"]).dropDuplicates(["key", "pick"])
     meet = _split(texts, "cluster", F.col("n"), CLUSTER_BLOCK)
     checked = cut(meet.select("cluster", "lo", "hi", "part", "key", "text").repartition("cluster", "lo", "hi").sortWithinPartitions(
-        "cluster", "lo", "hi", "key").mapInArrow(_verify(threshold), "key binary, root binary, links long"), "checked")
+        "cluster", "lo", "hi", "key").mapInArrow(words.lean(_verify(threshold)), "key binary, root binary, links long"), "checked")
     links = checked.groupBy("key").agg(F.sum("links").alias("n_links"))
     joined = _clusters(checked.filter("root is not null").select(F.col("key").alias("a"), F.col("root").alias("b")).distinct())
     linked = classes.select("key", "copy_of", "copies").join(links, "key", "left").join(joined, "key", "left")

@@ -281,7 +281,7 @@ def _write(file, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for i, j in words.slices(batch.column(1), 4 << 20):
+            for i, j in words.slices(batch.column(1)):
                 ids, ends = encoder.encode(batch.column(1).slice(i, j - i))
                 n = np.diff(ends)
                 ids = np.insert(ids, ends[1:], end_id)
@@ -309,7 +309,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
         file = documents.sparkSession.sparkContext.broadcast(f.read())
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    rows.mapInArrow(_write(file, end_id), SEGMENTS).write.parquet(path)
+    rows.mapInArrow(words.lean(_write(file, end_id)), SEGMENTS).write.parquet(path)
 
 
 def _levels(row: dict) -> list[Level]:
@@ -334,7 +334,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     segments = spark.read.schema(SEGMENTS).parquet(path)
     sizes = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row per written part
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    rows = segments.mapInArrow(_read, "part int, doc_id long, first long, n_tokens long, ids_crc32 long")
+    rows = segments.mapInArrow(words.lean(_read), "part int, doc_id long, first long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(before), "part").select(
         "doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 

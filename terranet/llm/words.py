@@ -7,7 +7,8 @@ arrays are bounded by cutting the byte buffer at white space.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,20 @@ _PLACES = np.random.default_rng(20240118).integers(1, 1 << 63, 64, dtype=np.uint
 _POWERS: dict[str, np.ndarray] = {}
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow that gives freed memory back when a task ends: Python workers outlive their tasks."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values evenly."""
     h = h ^ (h >> np.uint64(30))
