@@ -8,9 +8,10 @@ run as one: a state is the set of trie nodes with their numbers of edits, built
 first met, and the distinct words of a batch pass through it together.
 
 Words that match but are known from clean documents of the sample do not count.
-Every other match is weighed by its context, a window of some words: inside quotation
-marks or next to a verb of reporting it counts as quoted, next to a word of address as
-aimed at somebody.  A logistic regression over the sums of both kinds gives the score.
+Every other match is weighed by its context: inside quotation marks (an odd number of
+them before it in its line, one behind it) or, in a line with marks before it, some words
+from a verb of reporting it counts as quoted, some words from a word of address as aimed
+at somebody.  A logistic regression over the sums of both kinds gives the score.
 
 Null and empty texts match nothing.  Without labels of both kinds, or if no term
 stands out, every score is the share of toxic documents in the sample, 0 if there are none.
@@ -184,15 +185,53 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, stop
 
 
+def _judged(before: str, behind: str, marks: int, closed: bool, window: int) -> tuple[bool, bool]:
+    near = [w.strip(".,;:!?()\"'“”„«»") for w in before.split()[-window:] + behind.split()[:window]]
+    quoted = marks % 2 == 1 and closed or any(w in REPORTING for w in near) and marks > 0
+    return quoted, any(w in ADDRESS for w in near)
+
+
 def context(text: str, begin: int, end: int, window: int = WINDOW) -> tuple[bool, bool]:
     """Whether the term ``text[begin:end]`` is quoted, and whether it is aimed at somebody."""
     line = text.rfind("\n", 0, begin) + 1
     before, behind = text[line:begin], text[end:text.find("\n", end) if "\n" in text[end:] else len(text)]
-    marks = sum(before.count(q) for q in _QUOTES)
-    quoted = marks % 2 == 1 and any(q in behind for q in _QUOTES)
-    near = [w.strip(".,;:!?()\"'“”„«»") for w in before.split()[-window:] + behind.split()[:window]]
-    quoted = quoted or any(w in REPORTING for w in near) and marks > 0
-    return quoted, any(w in ADDRESS for w in near)
+    return _judged(before, behind, sum(before.count(q) for q in _QUOTES), any(q in behind for q in _QUOTES), window)
+
+
+def _marks(data: np.ndarray) -> np.ndarray:
+    """Byte positions of all quotation marks."""
+    found = [np.flatnonzero(data == 0x22)]
+    for mark in _QUOTES[1:]:
+        code = mark.encode()
+        at = np.flatnonzero(data == code[-1])
+        for k, byte in enumerate(code[-2::-1], 1):
+            at = at[at >= k]
+            at = at[data[at - k] == byte]
+        found.append(at - len(code) + 1)
+    return np.sort(np.concatenate(found))
+
+
+def contexts(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, stop: np.ndarray, window: int = WINDOW) -> list[tuple[bool, bool]]:
+    """``context`` of many terms, given as byte runs of the texts, each within its whole line."""
+    if not len(start):
+        return []
+    doc = np.searchsorted(offsets, start, "right") - 1
+    breaks, marks = np.flatnonzero(data == 10), _marks(data)
+    at = np.searchsorted(breaks, start)
+    line = np.maximum(offsets[doc], np.append(-1, breaks)[at] + 1)
+    end = np.minimum(offsets[doc + 1], np.append(breaks, len(data))[np.searchsorted(breaks, stop)])
+    until = np.searchsorted(marks, start)
+    before = until - np.searchsorted(marks, line)
+    closed = np.searchsorted(marks, end) > np.searchsorted(marks, stop)
+    first, last = words.spans(data, offsets)
+    own = np.searchsorted(first, start, "right") - 1
+    lo = np.maximum(line, first[np.maximum(own - window, 0)])
+    hi = np.minimum(end, last[np.minimum(own + window, len(last) - 1)])
+    out = []
+    for k in range(len(start)):
+        left, right = data[lo[k]:start[k]].tobytes().decode(errors="ignore"), data[stop[k]:hi[k]].tobytes().decode(errors="ignore")
+        out.append(_judged(left, right, int(before[k]), bool(closed[k]), window))
+    return out
 
 
 def text_features(lexicon: Lexicon, texts: pa.Array) -> np.ndarray:
@@ -204,12 +243,9 @@ def text_features(lexicon: Lexicon, texts: pa.Array) -> np.ndarray:
     weight = lexicon.match(data, start[first], stop[first])[0][which]
     ends = np.searchsorted(start, offsets)
     sums = np.zeros((len(texts), 4))
-    for k in np.flatnonzero(weight).tolist():
-        doc = int(np.searchsorted(offsets, start[k], "right")) - 1
-        lo, hi = max(offsets[doc], start[k] - 400), min(offsets[doc + 1], stop[k] + 400)
-        left = data[lo:start[k]].tobytes().decode(errors="ignore")
-        term = data[start[k]:stop[k]].tobytes().decode(errors="ignore")
-        quoted, aimed = context(left + term + data[stop[k]:hi].tobytes().decode(errors="ignore"), len(left), len(left) + len(term))
+    hits = np.flatnonzero(weight)
+    docs = np.searchsorted(offsets, start[hits], "right") - 1
+    for k, doc, (quoted, aimed) in zip(hits.tolist(), docs.tolist(), contexts(data, offsets, start[hits], stop[hits])):
         sums[doc, 1 if quoted else 0] += weight[k]
         sums[doc, 2] += weight[k] if aimed and not quoted else 0
         sums[doc, 3] += not quoted

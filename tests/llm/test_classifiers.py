@@ -150,3 +150,19 @@ def test_context():
     at = text.index("scum")
     assert X.context(text, at, at + 4) == (True, True)
     assert X.context("scum of the earth", 0, 4) == (False, False)
+
+
+def test_context_of_whole_lines():
+    rng = random.Random(4)
+    long = prose(rng, 200)
+    cases = [(f'„{long}“ and then scum “is” here', False), (f'he “{long} scum {long}” to them', True), (f'“{long} scum {long}', False),
+             (f'“{long}\nscum” {long}', False), ("é" * 900 + '" scum ' + "é" * 900 + '"', True), ("scum", False)]
+    cases += [(f"{prose(rng, rng.randrange(9))} {rng.choice(X._QUOTES)} {prose(rng, 150)} you said scum {prose(rng, 99)} {rng.choice(X._QUOTES + chr(10))} x »", None) for _ in range(40)]
+    data, offsets = words.buffers([t for t, _ in cases])
+    start = np.array([int(o) + len(t[:t.index("scum")].encode()) for o, (t, _) in zip(offsets, cases)])
+    got = X.contexts(data, offsets, start, start + 4)
+    assert got == [X.context(t, t.index("scum"), t.index("scum") + 4) for t, _ in cases]
+    assert [q for q, _ in got[:6]] == [want for _, want in cases[:6]]
+    lexicon = X.Lexicon([b"scum"], np.ones(1), [], np.zeros(0), [0])
+    sums = X.text_features(lexicon, pa.array([t for t, _ in cases[:6]], pa.large_string()))
+    assert [s[1] > 0 for s in sums] == [want for _, want in cases[:6]]
