@@ -2,10 +2,11 @@
 
 The lexicon is learned from a bounded sample of labelled documents (SAMPLE): terms,
 and stems that many terms start with, whose documents are toxic far more often than
-chance allows.  A word matches a term within one edit (two from ten bytes on), terms
-of four bytes or fewer exactly, a stem as its beginning.  The automata of all terms are
-run as one: a state is the set of trie nodes with their numbers of edits, built when
-first met, and the distinct words of a batch pass through it together.
+chance allows.  A word matches a term within one edit (two from ten letters on), terms
+of three letters or fewer exactly, a stem as its beginning.  An edit is a letter (code
+point) too many, missing, or another one, or two neighbours swapped.  The automata of all
+terms are run as one: a state is the set of trie nodes with their numbers of edits, built
+when first met, and the distinct words of a batch pass through it together.
 
 Words that match but are known from clean documents of the sample do not count.
 Every other match is weighed by its context: inside quotation marks (an odd number of
@@ -52,7 +53,23 @@ _QUOTES = '"“”„«»'
 
 
 def allowed_edits(term: bytes) -> int:
-    return 0 if len(term) <= 4 else 1 if len(term) < 10 else 2
+    letters = len(term.decode(errors="replace"))
+    return 0 if letters <= 3 else 1 if letters < 10 else 2
+
+
+def code_points(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and the places of byte runs among them."""
+    if not len(data) or data.max() < 0x80:
+        return data.astype(np.int64), start, stop
+    first = np.flatnonzero((data & 0xC0) != 0x80)
+    padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+    b0, b1, b2, b3 = (padded[first + k] for k in range(4))
+    code = b0.copy()
+    for mask, more, value in ((b0 >= 0xC0, 0xE0, (b0 & 31) << 6 | b1 & 63), (b0 >= 0xE0, 0xF0, (b0 & 15) << 12 | (b1 & 63) << 6 | b2 & 63),
+                              (b0 >= 0xF0, 0x100, (b0 & 7) << 18 | (b1 & 63) << 12 | (b2 & 63) << 6 | b3 & 63)):
+        own = mask & (b0 < more)
+        code[own] = value[own]
+    return code, np.searchsorted(first, start), np.searchsorted(first, stop)
 
 
 @dataclass
@@ -65,6 +82,7 @@ class Lexicon:
     stem_weights: np.ndarray
     edits: list[int]  # most edits of a match, per term
     clean: frozenset[bytes] = frozenset()  # words that match without meaning it
+    swaps: bool = False  # two neighbours swapped are one edit
     ready: bool = field(default=False, repr=False)
 
     def prepare(self) -> None:
@@ -74,14 +92,18 @@ class Lexicon:
         self.most = [0]
         self.ends: dict[int, int] = {}
         self.stem_at: dict[int, int] = {}
-        for k, word in [*enumerate(self.terms), *((-1 - k, s) for k, s in enumerate(self.stems))]:
+        plain = [[ord(c) for c in w.decode(errors="replace")] for w in (*self.terms, *self.stems)]
+        self.alphabet = np.array(sorted({c for w in plain for c in w}), np.int64)
+        symbol = {c: i + 1 for i, c in enumerate(self.alphabet.tolist())}  # 0 is any other letter
+        self.width = len(symbol) + 1
+        for k, word in zip([*range(len(self.terms)), *(-1 - k for k in range(len(self.stems)))], plain):
             node = 0
-            for byte in word:
+            for letter in word:
                 if k >= 0:
                     self.most[node] = max(self.most[node], self.edits[k])
-                to = self.children[node].get(byte)
+                to = self.children[node].get(symbol[letter])
                 if to is None:
-                    to = self.children[node][byte] = len(self.children)
+                    to = self.children[node][symbol[letter]] = len(self.children)
                     self.children.append({})
                     self.most.append(0)
                 node = to
@@ -90,29 +112,32 @@ class Lexicon:
                 self.ends[node] = k
             else:
                 self.stem_at[node] = -1 - k
-        self.limit = max([len(t) + e for t, e in zip(self.terms, self.edits)] + [len(s) for s in self.stems], default=0)
-        self.sets: list[dict[int, int]] = []
+        self.limit = max([len(w) + e for w, e in zip(plain, [*self.edits, *[0] * len(self.stems)])], default=0)
+        self.sets: list[dict[tuple[int, int], int]] = []
         self.number: dict[frozenset, int] = {}
-        self.table = np.full((64, 256), -1, np.int32)
+        self.table = np.full((64, self.width), -1, np.int32)
         self.term_of = np.full(64, -1, np.int32)
         self.edits_of = np.zeros(64, np.int8)
         self.stem_of = np.full(64, -1, np.int32)
         self._state({})  # state 0: nothing fits any more
         self.table[0] = 0
-        self.start = self._state({0: 0})
+        self.start = self._state({(0, 0): 0})
         self.ready = True
 
-    def _state(self, nodes: dict[int, int]) -> int:
-        """Number of a set of (node, edits), with the nodes reached by leaving out bytes of a term."""
+    def _state(self, nodes: dict[tuple[int, int], int]) -> int:
+        """Number of a set of (node, letter) and edits, with the nodes reached by leaving out letters of a term.
+
+        A letter other than 0 is the one that must follow, as the second of a swap, to reach the node.
+        """
         todo = list(nodes.items())
         while todo:
-            node, edits = todo.pop()
-            if nodes.get(node) != edits:
+            at, edits = todo.pop()
+            if at[1] or nodes.get(at) != edits:
                 continue
-            for to in self.children[node].values():
-                if edits < self.most[to] and nodes.get(to, 9) > edits + 1:
-                    nodes[to] = edits + 1
-                    todo.append((to, edits + 1))
+            for to in self.children[at[0]].values():
+                if edits < self.most[to] and nodes.get((to, 0), 9) > edits + 1:
+                    nodes[to, 0] = edits + 1
+                    todo.append(((to, 0), edits + 1))
         key = frozenset(nodes.items())
         if key in self.number:
             return self.number[key]
@@ -121,50 +146,65 @@ class Lexicon:
         if n == len(self.table):
             self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
             self.term_of, self.edits_of, self.stem_of = (np.concatenate([x, np.full_like(x, -1)]) for x in (self.term_of, self.edits_of, self.stem_of))
-        ends = [(e, self.ends[v]) for v, e in nodes.items() if v in self.ends and e <= self.edits[self.ends[v]]]
+        ends = [(e, self.ends[v]) for (v, owed), e in nodes.items() if not owed and v in self.ends and e <= self.edits[self.ends[v]]]
         if ends:
             self.edits_of[n], self.term_of[n] = min(ends, key=lambda x: (x[0], -self.weights[x[1]], x[1]))
-        stems = [self.stem_at[v] for v, e in nodes.items() if e == 0 and v in self.stem_at]
+        stems = [self.stem_at[v] for (v, _), e in nodes.items() if e == 0 and v in self.stem_at]
         if stems:
             self.stem_of[n] = stems[0]
         return n
 
-    def _fill(self, state: int, byte: int) -> None:
-        found: dict[int, int] = {}
-        for node, edits in self.sets[state].items():
-            to = self.children[node].get(byte)
-            if to is not None and found.get(to, 9) > edits:
-                found[to] = edits
+    def _fill(self, state: int, letter: int) -> None:
+        found: dict[tuple[int, int], int] = {}
+
+        def reach(node: int, owed: int, edits: int) -> None:
+            if found.get((node, owed), 9) > edits:
+                found[node, owed] = edits
+
+        for (node, owed), edits in self.sets[state].items():
+            if owed:
+                if owed == letter:
+                    reach(node, 0, edits)
+                continue
+            to = self.children[node].get(letter)
+            if to is not None:
+                reach(to, 0, edits)
             if edits < self.most[node]:
-                if found.get(node, 9) > edits + 1:  # a byte too many
-                    found[node] = edits + 1
-                for other in self.children[node].values():  # another byte
-                    if edits < self.most[other] and found.get(other, 9) > edits + 1:
-                        found[other] = edits + 1
+                reach(node, 0, edits + 1)  # a letter too many
+                for own, other in self.children[node].items():
+                    if edits < self.most[other]:
+                        reach(other, 0, edits + 1)  # another letter
+                        to = self.children[other].get(letter) if self.swaps and own != letter else None
+                        if to is not None and edits < self.most[to]:
+                            reach(to, own, edits + 1)  # the next letter first
         to = self._state(found)
-        self.table[state, byte] = to
+        self.table[state, letter] = to
 
     def match(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Weight of each word (0: no match), its term (-1: none, or a stem only) and the edits."""
         self.prepare()
         n = len(start)
+        letters, begin, end = code_points(data, start, stop)
+        at = np.searchsorted(self.alphabet, letters)
+        known = np.append(self.alphabet, -1)[at] == letters
+        letters = np.where(known, at + 1, 0)
         state, stem = np.full(n, self.start, np.int64), np.full(n, -1, np.int64)
-        order = np.argsort(start - stop, kind="stable")
-        lengths = (stop - start)[order]
+        order = np.argsort(begin - end, kind="stable")
+        lengths = (end - begin)[order]
         for i in range(min(int(lengths[0]) if n else 0, self.limit + 1)):
             run = order[:np.searchsorted(-lengths, -i, "left")]
             run = run[state[run] != 0]
-            byte = data[start[run] + i]
-            to = self.table[state[run], byte]
+            letter = letters[begin[run] + i]
+            to = self.table[state[run], letter]
             missing = np.flatnonzero(to < 0)
             if len(missing):
-                for code in np.unique(state[run[missing]] << 8 | byte[missing]).tolist():
-                    self._fill(code >> 8, code & 255)
-                to = self.table[state[run], byte]
+                for code in np.unique(state[run[missing]] * self.width + letter[missing]).tolist():
+                    self._fill(*divmod(code, self.width))
+                to = self.table[state[run], letter]
             state[run] = to
             at = self.stem_of[to]
             stem[run] = np.where((at >= 0) & (stem[run] < 0), at, stem[run])
-        state[stop - start > self.limit] = 0
+        state[end - begin > self.limit] = 0
         term, edits = self.term_of[state].astype(np.int64), self.edits_of[state].astype(np.int64)
         term[state == 0] = -1
         weight = np.where(term >= 0, np.append(self.weights, 0)[term] / (1 + 0.25 * np.maximum(edits, 0)), 0)
@@ -315,7 +355,7 @@ def learn_lexicon(texts: list[str], label: np.ndarray, most: int = MOST_TERMS) -
     seen = [(w, kinds[0][0][w], kinds[0][1][w]) for w in {*kinds[0][0], *kinds[0][1]} - known]
     data, offsets = words.buffers(pa.array([w for w, _, _ in seen], pa.large_binary()))
     while True:
-        lexicon = Lexicon([w for _, w in terms], np.array([o for o, _ in terms]), [w for _, w in stems], np.array([o for o, _ in stems]), edits)
+        lexicon = Lexicon([w for _, w in terms], np.array([o for o, _ in terms]), [w for _, w in stems], np.array([o for o, _ in stems]), edits, swaps=True)
         weight, term, used = lexicon.match(data, offsets[:-1], offsets[1:])
         # a term whose neighbours are words of clean documents takes fewer edits
         hits: dict[tuple[int, int], list[int]] = {}

@@ -166,3 +166,43 @@ def test_context_of_whole_lines():
     lexicon = X.Lexicon([b"scum"], np.ones(1), [], np.zeros(0), [0])
     sums = X.text_features(lexicon, pa.array([t for t, _ in cases[:6]], pa.large_string()))
     assert [s[1] > 0 for s in sums] == [want for _, want in cases[:6]]
+
+
+def swapped_distance(a, b):
+    rows = [list(range(len(b) + 1))]
+    for i, x in enumerate(a, 1):
+        rows.append([i])
+        for j, y in enumerate(b, 1):
+            n = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                n = min(n, rows[i - 2][j - 2] + 1)
+            rows[i].append(n)
+    return rows[-1][-1]
+
+
+def test_automaton_over_letters_with_swaps():
+    rng = random.Random(7)
+    terms = sorted({"".join(rng.choice("aéж") for _ in range(rng.randrange(2, 12))) for _ in range(25)})
+    most = [X.allowed_edits(t.encode()) for t in terms]
+    assert all(m == (0 if len(t) < 4 else 1 if len(t) < 10 else 2) for t, m in zip(terms, most))
+    lexicon = X.Lexicon([t.encode() for t in terms], np.arange(1.0, len(terms) + 1), [], np.zeros(0), most, swaps=True)
+    tried = ["".join(rng.choice("aéж𝔞" if k % 9 else "b") for _ in range(rng.randrange(1, 14))) for k in range(1500)]
+    for t in terms:
+        k = rng.randrange(len(t) - 1)
+        tried.append(t[:k] + t[k + 1] + t[k] + t[k + 2:])
+    data, offsets = words.buffers(pa.array(tried, pa.large_string()))
+    _, term, edits = lexicon.match(data, offsets[:-1], offsets[1:])
+    for w, k, e in zip(tried, term, edits):
+        near = min((d, i) for i, t in enumerate(terms) for d in [swapped_distance(w, t)] if d <= most[i]) if any(
+            swapped_distance(w, t) <= m for t, m in zip(terms, most)) else None
+        assert (k >= 0) == (near is not None) and (near is None or e == near[0] == swapped_distance(w, terms[k]))
+
+
+def test_misspelt_short_and_accented_terms():
+    rng = random.Random(5)
+    found = [(prose(rng, 40) + (f" {rng.choice(['scum', 'idiot'])} {prose(rng, 5)}" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(600)]
+    lexicon = X.learn_lexicon([t for t, _ in found], np.array([y for _, y in found]))
+    assert {b"scum", b"idiot"} <= {*lexicon.terms}
+    tried = ["scvm", "sc*m", "sucm", "scüm", "idiöt", "idоit", "idoit", "scum", "idiot", "scv", "idöït", "the"]
+    data, offsets = words.buffers(pa.array(tried, pa.large_string()))
+    assert (lexicon.match(data, offsets[:-1], offsets[1:])[0] > 0).tolist() == [True] * 5 + [False] + [True] * 3 + [False] * 3
