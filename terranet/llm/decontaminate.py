@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are runs of ASCII letters and digits and of all other characters outside
-ASCII; ASCII letters count as lower case, so case, punctuation and spacing do not
+Words are runs of letters, marks, digits and signs of any alphabet, in folded
+case; white space, punctuation, control and format characters of all of Unicode are gaps
+or (soft hyphens, joiners and the like) nothing, so case, punctuation and spacing do not
 matter.  A document and a benchmark item that share a run of five words (the whole
 item if it is shorter) are compared: the longest common run of words that are not
 yet marked becomes a tile and is marked in both, again and again, down to runs of
@@ -16,8 +17,10 @@ compared one by one.
 from __future__ import annotations
 
 import heapq
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +39,49 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """Per code point: 1 for a gap, 2 for a character that counts for nothing, else 0."""
+    kind = np.zeros(0x110000 + (1 << 20), np.uint8)  # broken UTF-8 may give any number of 21 bits
+    for code in (*range(0x80, 0x20000), *range(0xE0000, 0xE1000)):
+        category = unicodedata.category(chr(code))
+        kind[code] = 1 if category[0] in "PZ" or category in ("Cc", "Sk") else 2 if category == "Cf" else 0
+    kind[[0x200B, 0x2212]] = 1  # zero-width space, minus
+    return kind
+
+
+def _folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts in folded case, with blanks for gaps outside ASCII."""
+    raw, ends = data.tobytes(), offsets.tolist()
+    parts = []
+    for a, b in zip(ends, ends[1:]):
+        part = raw[a:b]
+        parts.append(part.lower() if part.isascii() else part.decode(errors="surrogateescape").casefold().encode(errors="surrogateescape"))
+    offsets = np.append(0, np.cumsum([len(x) for x in parts], dtype=np.int64))
+    data = np.frombuffer(b"".join(parts), np.uint8).copy()
+    first = np.flatnonzero(data >= 0xC0)
+    b0, b1, b2, b3 = (np.append(data, np.zeros(3, np.uint8))[first + k].astype(np.int64) & (0xFF if k == 0 else 63) for k in range(4))
+    size = 2 + (b0 >= 0xE0) + (b0 >= 0xF0)
+    code = np.select([size == 2, size == 3], [(b0 & 31) << 6 | b1, (b0 & 15) << 12 | b1 << 6 | b2], (b0 & 7) << 18 | b1 << 12 | b2 << 6 | b3)
+    kind = _kinds()[code]
+    drop = np.zeros(len(data) + 3, bool)
+    for k in range(4):
+        own = (size > k) & (kind > 0)
+        at, gap = first[own] + k, kind[own] == 1
+        data[at[gap & (at < len(data))]] = 0x20
+        drop[at[~gap]] = True
+    drop = drop[:len(data)]
+    if drop.any():
+        data, offsets = data[~drop], offsets - np.append(0, np.cumsum(drop))[offsets]
+    return data, offsets
+
+
 def plain_words(texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-case words of every text, and the texts' offsets in them."""
+    """Hashes of the words of every text in folded case, and the texts' offsets in them."""
     data, offsets = words.buffers(texts)
+    data, offsets = (_LOWER[data], offsets) if not len(data) or data.max() < 0x80 else _folded(data, offsets)
     start, stop = words.spans(data, offsets, _GAP)
-    return words.run_hashes(_LOWER[data], start, stop), np.searchsorted(start, offsets)
+    return words.run_hashes(data, start, stop), np.searchsorted(start, offsets)
 
 
 def _equal_runs(text: np.ndarray, item: np.ndarray, free_text: np.ndarray, free_item: np.ndarray, length: int) -> list[tuple[int, int, int]]:

@@ -101,3 +101,15 @@ def test_seeds_cover_every_tile():
     doc, doc_ends = D.plain_words(pa.array(["x one two three four five six y b c d e f"]))
     found = D._hits(seeds[0], doc, doc_ends)
     assert sorted(zip(found[1].tolist(), found[2].tolist())) == [(0, 0), (0, 1), (1, 0)]
+
+
+def test_case_and_punctuation_outside_ascii(spark):
+    item = "Müßige Äpfel, Élan — “Ñandú” und l’été: Größe in Straßen… Ὀδυσσεὺς, ДОМ и Ёлка « ça va » über Öl"
+    other = item.upper().replace("—", "-").replace("“", '"').replace("”", '" ').replace("’", "'").replace("… ", "...\u00a0").replace("«", "„").replace("ÄPFEL", "ÄP\u00adFEL")
+    got, ends = D.plain_words([item, other, item.lower(), "", "été\u2009\u2028,—été", "\u00ad", "plain ASCII", "a" + "\U0001F600"])
+    assert np.array_equal(got[:ends[1]], got[ends[1]:ends[2]]) and np.array_equal(got[:ends[1]], got[ends[2]:ends[3]])
+    assert np.diff(ends).tolist() == [18, 18, 18, 0, 2, 0, 2, 1] and got[ends[4]] == got[ends[4] + 1]
+    assert np.array_equal(D.plain_words(["plain ASCII"])[0], got[ends[6]:ends[7]])
+    frame = spark.createDataFrame([(1, f"vor {other} nach"), (2, "etwas ganz anderes")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"], r["coverage"]) for r in D.contaminated(frame, bench).collect()] == [(1, 7, 1.0)]
