@@ -35,6 +35,7 @@ from terranet.plans.scratch import cut
 WEIGHTS = (3, 1, 2)
 SHARE_HALVES = 3  # 150 %, in halves
 MOST_TIMES = 2
+ROW = ("_mix_id", "_mix_key", "_mix_no", "_mix_shard")
 BLOCK_WORDS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 _LOG_2PI_HALF = 0.5 * math.log(2 * math.pi)
@@ -204,7 +205,11 @@ def mixture(documents: DataFrame, shards: int | None = None, seed: int = 0, bloc
     A document taken twice is two rows.  The one at the cut keeps its first words only,
     and its n_chars, if there is such a column, is counted anew.
     """
-    found = mixed_documents(documents, shards, seed, block_words)
+    return _drawn(documents, mixed_documents(documents, shards, seed, block_words), seed).select(*documents.columns)
+
+
+def _drawn(documents: DataFrame, found: DataFrame, seed: int = 0) -> DataFrame:
+    """The rows of the mix with the key of the row they come from (_id, _key, _no) and their _shard."""
     passes = F.array(F.struct(F.col("first_part").alias("words"), F.col("first_shard").alias("shard")),
                      F.struct(F.col("second_part").alias("words"), F.col("second_shard").alias("shard")))
     drawn = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("no").alias("_no"), F.col("size").alias("_size"),
@@ -226,12 +231,23 @@ def mixture(documents: DataFrame, shards: int | None = None, seed: int = 0, bloc
         joined = joined.withColumn(name["n_chars"], F.when(F.col("_short").isNotNull(), F.char_length("_short").cast(
             documents.schema["n_chars"].dataType)).otherwise(F.col(name["n_chars"])))
     joined = joined.withColumn(name["text"], F.coalesce("_short", name["text"]))
-    return joined.repartitionByRange("_shard").sortWithinPartitions("_shard", "_place").select(*names).toDF(*documents.columns)
+    return joined.repartitionByRange("_shard").sortWithinPartitions("_shard", "_place").select(
+        *(F.col(n).alias(c) for n, c in zip(names, documents.columns)), *(F.col(k).alias(c) for k, c in zip(("_id", "_key", "_no", "_shard"), ROW)))
+
+
+def counted(documents: DataFrame, shards: int | None = None, seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Per document as in ``mixed_documents``, with ``taken`` counted in the written mix."""
+    found = cut(mixed_documents(documents, shards, seed, block_words), "takes")
+    mix = cut(_drawn(documents, found, seed), "mix")
+    size = F.regexp_count("text", F.lit(WORD))
+    row, key, no, _ = ROW
+    sums = mix.groupBy(row, key, no).agg(F.sum(size).cast("long").alias("in_mix"))
+    return found.join(sums, F.col("doc_id").eqNullSafe(F.col(row)) & (F.col("key") == F.col(key)) & (F.col("no") == F.col(no)), "left").select(
+        *(c for c in found.columns if c != "taken"), F.coalesce("in_mix", F.lit(0).cast("long")).alias("taken"))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixed_documents(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "size", "source_size", "target", "taken")
+    return counted(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP7_SQL = r"""

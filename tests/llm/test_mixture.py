@@ -111,3 +111,13 @@ def test_no_documents_no_words(spark):
     empty = documents(spark).filter("text is null or text = ''")
     assert {r["taken"] for r in M.mixed_documents(empty).collect()} == {0}
     assert M.mixture(empty).count() == 0
+
+
+def test_taken_is_counted_in_the_mix(spark, monkeypatch):
+    frame = documents(spark)
+    want = sorted(M.mixed_documents(frame, 4, block_words=500).select("doc_id", "source", "key", "no", "size", "taken").collect(), key=str)
+    assert sorted(M.counted(frame, 4, block_words=500).select("doc_id", "source", "key", "no", "size", "taken").collect(), key=str) == want
+    drawn = M._drawn
+    monkeypatch.setattr(M, "_drawn", lambda *a: drawn(*a).filter("doc_id <> 3"))  # a row lost in the draw shows
+    lost = M.counted(frame, 4, block_words=500)
+    assert lost.filter("doc_id = 3").agg(F.sum("taken")).first()[0] == 0 < sum(r["taken"] for r in want if r["doc_id"] == 3)
