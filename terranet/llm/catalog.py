@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terranet.llm import decontaminate, line_crf, mixture, near, pieces, site_tree, sketches, token_file, toxicity, warc
+from terranet.llm import decontaminate, line_crf, mixture, near, negatives, pieces, site_tree, sketches, token_file, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": sketches.op1_fingerprints,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_html_extraction": site_tree.op8_html_extraction,
     "op9_quality_classifier": line_crf.op9_quality_classifier,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
 }
 ORACLES = {
     "op4_ngram_jaccard_join": near.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op7_mix_sources": mixture.OP7_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
 }
