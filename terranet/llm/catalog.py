@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terranet.llm import decontaminate, line_crf, mixture, near, negatives, pieces, site_tree, sketches, token_file, toxicity, warc
+from terranet.llm import decontaminate, heap_means, line_crf, line_index, mixture, near, negatives, pieces, site_tree, sketches, token_file, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": sketches.op1_fingerprints,
@@ -16,10 +16,14 @@ QUERIES = {
     "op9_quality_classifier": line_crf.op9_quality_classifier,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_centroid_clustering": heap_means.op12_centroid_clustering,
+    "op13_line_dedup": line_index.op13_line_dedup,
 }
 ORACLES = {
     "op4_ngram_jaccard_join": near.OP4_SQL,
     "op5_warc": warc.OP5_SQL,
     "op7_mix_sources": mixture.OP7_SQL,
     "op11_hard_negatives": negatives.OP11_SQL,
+    "op12_centroid_clustering": heap_means.OP12_SQL,
+    "op13_line_dedup": line_index.OP13_SQL,
 }
