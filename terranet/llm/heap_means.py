@@ -36,7 +36,8 @@ from terranet.llm.tables import read
 from terranet.plans.scratch import cut, scratch_path
 
 CLUSTERS, ROUNDS, DIMENSIONS, SEED = 40, 5, 64, 2
-BLOCK = 32768  # vectors of a block, about
+BLOCK = 8192  # vectors of a block, about; far more than clusters, as a block carries the sums of each cluster
+_BUCKETS = 50_000
 _SLACK = 1e-9  # covers the rounding of square roots and drifts
 _HEAPS = pa.schema([("block", pa.int64()), ("cluster", pa.int32()), ("gaps", pa.binary()), ("places", pa.binary()),
                     ("n", pa.int64()), ("sums", pa.list_(pa.int64())), ("rescanned", pa.int64())])
@@ -196,8 +197,8 @@ def clustered(rows: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, s
     if not start:
         return empty, np.zeros((0, 0), np.int64)
     centroids = np.array([r["vector"] for r in start], np.int64)
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BLOCK))
-    tables = _Bucketed(spark, blocks)
+    blocks = -(-rows.count() // BLOCK)
+    tables = _Bucketed(spark, min(blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks // 16)), _BUCKETS))
     try:
         vectors = tables.write(rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))), "blocks")
         state, drift = None, np.zeros(len(centroids))

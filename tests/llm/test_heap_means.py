@@ -41,8 +41,9 @@ def frame(spark, found):
     return spark.createDataFrame([(i, v, 1, "r", "c", 2) for i, v in found], SCHEMA)
 
 
-@pytest.mark.parametrize("clusters,rounds", [(9, 5), (1, 2), (7, 0)])
-def test_equals_brute_force(spark, clusters, rounds):
+@pytest.mark.parametrize("clusters,rounds,block", [(9, 5, 100), (1, 2, 100), (7, 0, 10_000)])
+def test_equals_brute_force(spark, monkeypatch, clusters, rounds, block):
+    monkeypatch.setattr(K, "BLOCK", block)
     found = vectors()
     rows = scaled(frame(spark, found), "vector")
     got, centroids = K.clustered(rows.filter("size(vector) = 6"), clusters, rounds)
@@ -61,7 +62,7 @@ def test_only_expired_vectors_are_measured(spark):
 
 
 def test_fewer_vectors_than_clusters_and_none(spark):
-    rows = frame(spark, vectors(n=4)).filter("id < 3").selectExpr("id", "cast(vector as array<int>) as vector")
+    rows = frame(spark, vectors(n=6)).filter("id < 3").selectExpr("id", "cast(vector as array<int>) as vector")
     got, centroids = K.clustered(rows, 10, 3)
     assert sorted(r["cluster"] for r in got.collect()) == [0, 1, 2] and len(centroids) == 3
     got, centroids = K.clustered(rows.limit(0), 10, 3)
