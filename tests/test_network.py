@@ -35,12 +35,93 @@ def test_cleaned_delta_matches_model(spark, net):
             assert {r.saddle_id: r.delta for r in got if r.frame_id == f} == hub[f]
 
 
-def test_cleanup_with_hubs(spark, net, monkeypatch):
+def lowered(links):
+    """Links (a, b, value): the largest value at every vertex falls to the second largest until nothing changes."""
+    value = [v for _, _, v in links]
+    ends = {}
+    for k, (a, b, _) in enumerate(links):
+        for v in (a, b):
+            if v >= 0:
+                ends.setdefault(v, []).append(k)
+    changed = True
+    while changed:
+        changed = False
+        for here in ends.values():
+            top, *rest = sorted(here, key=lambda k: -value[k])
+            cap = value[rest[0]] if rest else 0.0
+            if value[top] > cap:
+                value[top], changed = cap, True
+    return value
+
+
+def random_links(rng, n, m, tops=(3, 50, 10_000)):
+    ends = lambda: rng.choice([-1, 0, *range(n), *range(n)])  # noqa: E731  0 is met often
+    return [(ends(), ends(), float(rng.randint(0, rng.choice(tops))) if rng.random() < 0.95 else math.inf) for _ in range(m)]
+
+
+def test_settled_links_match_lowering():
+    import random
+
+    import numpy as np
+
+    from terranet.operators.cleanup import settle_links
+    for seed in range(400):
+        rng = random.Random(seed)
+        links = random_links(rng, rng.randrange(1, 40), rng.randrange(1, 60))
+        a, b, value = (np.array(x) for x in zip(*links))
+        assert settle_links(a, b, value).tolist() == lowered(links), seed
+
+
+def test_contraction_of_a_chain_takes_few_rounds():
+    import numpy as np
+
+    from terranet.plans.tree_contraction import Messages
+    n = 5000
+    zero = np.zeros(n - 1)
+    got = Messages(n, np.arange(n - 1), np.arange(1, n), zero, zero, np.arange(n - 1) + 1.0, np.where(np.arange(n) % (n - 1), 0.0, np.inf), np.zeros(n, bool))
+    assert got.forest.rounds < 60
+    into_a, into_b = got.settle()
+    assert into_a[1:].tolist() == [1.0] * (n - 2) and into_b[:-1].tolist() == [float(k) for k in range(2, n)]
+
+
+def spread_links(spark, links, w, places, frame="f"):
+    """Links whose saddles lie at the given vertices of a raster of width w."""
+    rows = [(frame, w, 4 * p + k % 4, a, b, v) for k, ((a, b, v), p) in enumerate(zip(links, places))]
+    return spark.createDataFrame(rows, "frame_id string, w int, saddle_id long, sink_a long, sink_b long, delta double")
+
+
+@pytest.mark.parametrize("tile", [1, 3, 100])
+def test_clean_delta_of_links_between_far_tiles(spark, tile):
+    import random
+    frames, want = None, {}
+    for seed in range(12):
+        rng = random.Random(seed)
+        links = random_links(rng, 30, 80)
+        places = rng.sample(range(40 * 40), 80)
+        rows = spread_links(spark, links, 40, places, f"f{seed}")
+        frames = rows if frames is None else frames.unionByName(rows)
+        want |= {(f"f{seed}", 4 * p + k % 4): v for k, (p, v) in enumerate(zip(places, lowered(links)))}
+    got = clean_delta(cut(frames), tile)
+    assert {(r.frame_id, r.saddle_id): r.delta for r in got.collect()} == want
+
+
+def test_clean_delta_of_a_chain_over_24_tiles(spark, monkeypatch):
+    """A dead end over 24 tiles and one between two ends at the boundary; written tables count as rounds."""
     from terranet.operators import cleanup
-    monkeypatch.setattr(cleanup, "HUB_LINKS", 4)
-    links = cut(net.saddles.filter("frame_id = 'b'").drop("delta").withColumnRenamed("raw_delta", "delta"))
-    want = {r.saddle_id: r.delta for r in net.saddles.filter("frame_id = 'b'").collect()}
-    assert {r.saddle_id: r.delta for r in clean_delta(links, 5).collect()} == want
+    n, w = 240, 240
+    links = [(k, k + 1, 100.0 + k) for k in range(n - 1)]
+    rounds = []
+    monkeypatch.setattr(cleanup, "cut", lambda df, name: rounds.append(name) or cut(df, name))
+    dead = cut(spread_links(spark, [(-1, 0, 50.0), *links], w, range(n)))
+    assert {r.delta for r in clean_delta(dead, 10).collect()} == {0.0}
+    open_ended = cut(spread_links(spark, [(-1, 0, 50.0), *links[:-1], (n - 2, -1, 900.0)], w, range(n)))
+    assert {r.delta for r in clean_delta(open_ended, 10).collect()} == {50.0}
+    assert len(rounds) <= 2 * 7
+
+
+def test_clean_delta_without_links(spark):
+    empty = spark.createDataFrame([], "frame_id string, w int, saddle_id long, sink_a long, sink_b long, delta double")
+    assert clean_delta(empty).count() == 0
 
 
 def test_leg_points(spark, net):
