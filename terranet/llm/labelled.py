@@ -15,15 +15,16 @@ def held_out(folds: int, fold: int) -> Column:
 def sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, most: int) -> pd.DataFrame:
     """At most ``most`` labelled texts outside the fold, in a hash order of doc_id: doc_id, text, label.
 
-    The label rows are chosen first; that many at most meet the documents.  A
-    repeated doc_id counts once; null labels and texts are left out.
+    The label rows are chosen first; that many at most meet the documents.  Of a
+    repeated doc_id the smallest text counts, chosen before anything reaches the driver;
+    null labels and texts are left out.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(
         ~held_out(folds, fold) & F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    found = rows.join(F.broadcast(chosen), "doc_id").toPandas()
-    return found.sort_values(["doc_id", "text", "label"]).drop_duplicates("doc_id").reset_index(drop=True)
+    found = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("r"))
+    return found.select("doc_id", "r.text", "r.label").toPandas().sort_values("doc_id").reset_index(drop=True)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 60) -> np.ndarray:

@@ -253,7 +253,19 @@ def _unit_starts(data: np.ndarray) -> np.ndarray:
     return starts
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(file: str) -> Encoder:
+    """Encoder of a tokenizer file's content, kept while the Python worker lives, with all that it has learnt.
+
+    Tasks must call this by its module: what a nested function refers to directly is copied into every task.
+    """
+    if file not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[file] = Encoder(file)
+    return _ENCODERS[file]
+
 
 SEGMENTS = ("part int, first long, n_ids long, doc_ids array<long>, counts array<long>, widths array<int>, "
             "chunks array<binary>, more array<binary>, ranks array<binary>")
@@ -271,11 +283,7 @@ def _segment(part: int, first: int, docs: list[int | None], counts: list[int], i
 
 def _write(file, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(file.value)
-        if key not in _ENCODERS:
-            _ENCODERS.clear()
-            _ENCODERS[key] = Encoder(file.value)
-        encoder, part, first = _ENCODERS[key], TaskContext.get().partitionId(), 0
+        encoder, part, first = encoder_of(file.value), TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
         counts: list[int] = []
         held: list[np.ndarray] = []
@@ -335,7 +343,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     sizes = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row per written part
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     rows = segments.mapInArrow(words.lean(_read), "part int, doc_id long, first long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(before), "part").select(
+    return rows.join(before, "part").select(
         "doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
@@ -344,7 +352,7 @@ def token_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
     segments = spark.read.schema(SEGMENTS).parquet(path)
     sizes = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    heads = segments.select("part", "first", "n_ids").join(F.broadcast(before), "part").select(
+    heads = segments.select("part", "first", "n_ids").join(before, "part").select(
         "part", "first", (F.col("before") + F.col("first")).alias("low"), "n_ids")
     step = F.lit(SEGMENT_IDS)
     spread = heads.withColumn("cell", F.explode(F.sequence((F.col("low") / step).cast("long"), ((F.col("low") + F.col("n_ids") - 1) / step).cast("long"))))

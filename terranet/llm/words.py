@@ -12,8 +12,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SHINGLE = 5
+_LONG = 256  # bytes
 _SEGMENT = 1 << 20  # bytes of text hashed at once; longer words get a segment of their own
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -87,7 +89,11 @@ def spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = WHITE) -> tup
 
 
 def run_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """64-bit hash of every given byte run (sorted, not overlapping)."""
+    """64-bit hash of every given byte run (sorted, not overlapping).
+
+    Polynomials modulo 2^64 give some strings of over 1,000 letters the same value, whatever
+    their base, so runs longer than ``_LONG`` are hashed by xxhash.
+    """
     out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):
@@ -100,7 +106,10 @@ def run_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndar
         a, b = start[i:j] - lo, stop[i:j] - lo
         out[i:j] = (total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)
         i = j
-    return mixed(out)
+    out = mixed(out)
+    far = np.flatnonzero(stop - start > _LONG)
+    out[far] = [xxhash.xxh3_64_intdigest(data[a:b].tobytes()) for a, b in zip(start[far].tolist(), stop[far].tolist())]
+    return out
 
 
 def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:

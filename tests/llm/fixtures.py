@@ -47,3 +47,9 @@ def _split(text):
 
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def thue_morse(n, letters="ab"):
+    """A word of n letters and its complement: polynomials modulo 2^64 hash them alike from some 1,000 letters on."""
+    word = "".join(letters[k.bit_count() % 2] for k in range(n))
+    return word, "".join(letters[1 - letters.index(c)] for c in word)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from terranet.llm import near as N
-from tests.llm.fixtures import documents, jaccard, prose, rows, shingles
+from tests.llm.fixtures import documents, jaccard, prose, rows, shingles, thue_morse
 
 
 def expected(found, threshold=0.8):
@@ -76,3 +76,9 @@ def test_links_through_a_hot_passage(spark):
     found = [(i, passage + " " + prose(rng, 60, 9000)) for i in range(60)]
     frame = spark.createDataFrame(found, "doc_id long, text string")
     assert {r["n_links"] for r in N.near_links(frame).collect()} == {0}
+
+
+def test_words_that_polynomials_confuse(spark):
+    found = [(k, " ".join([*"abcdefgh", w, *"ijkl"])) for k, w in enumerate(w for n in (1024, 2048, 4096, 8192) for w in thue_morse(n))]
+    got = N.near_links(spark.createDataFrame(found, "doc_id long, text string")).collect()
+    assert all(r["n_links"] == 0 and r["class_id"] == r["doc_id"] for r in got)

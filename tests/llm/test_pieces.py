@@ -3,7 +3,7 @@ import random
 import public_tokenizers
 
 from terranet.llm import pieces as P
-from tests.llm.fixtures import _split, documents, rows
+from tests.llm.fixtures import _split, documents, rows, thue_morse
 
 
 def greedy(word, vocabulary, marker=b" "):
@@ -35,3 +35,10 @@ def test_byte_vocabulary_on_odd_texts(spark):
         if a[0] != "47":  # one word of 14,000 bytes: the brute force would take too long
             assert a == b
     assert P.piece_counts(documents(spark).limit(0), vocabulary).count() == 0
+
+
+def test_words_that_polynomials_confuse(spark):
+    vocabulary = [b" ", b"a", b"b", b"ab", b"aab", b"abba"]
+    found = [(k, w + " x") for k, w in enumerate(w for n in (1024, 2048, 4096, 8192) for w in thue_morse(n))]
+    got = P.piece_counts(spark.createDataFrame(found, "doc_id long, text string").coalesce(1), vocabulary).collect()
+    assert {r["doc_id"]: r["n_pieces"] for r in got} == {i: sum(greedy(w.encode(), {*vocabulary}) for w in t.split()) for i, t in found}

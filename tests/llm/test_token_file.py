@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from terranet.llm import token_file as T
 from terranet.plans.scratch import scratch_path
-from tests.llm.fixtures import documents, rows
+from tests.llm.fixtures import documents, rows, thue_morse
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -58,3 +58,25 @@ def test_file_set(spark, tokenizer):
 
 def test_no_documents(spark):
     assert T.encoded_documents(documents(spark).limit(0), FILE).count() == 0
+
+
+def test_words_that_polynomials_confuse(tokenizer):
+    texts = [w for n in (1024, 2048, 4096, 8192) for w in thue_morse(n)]
+    ids, ends = T.Encoder(open(FILE).read()).encode(pa.array(texts))
+    for text, a, b in zip(texts, ends, ends[1:]):
+        assert ids[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_what_is_learnt_stays_in_the_worker(spark):
+    """Later tasks of a worker meet the encoder of its first task."""
+    shared = spark.sparkContext.broadcast(open(FILE).read())
+
+    def run(batches):
+        for batch in batches:
+            encoder = T.encoder_of(shared.value)
+            before = encoder.filled
+            encoder.encode(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array([before])], ["before"])
+
+    texts = spark.range(64).repartition(64).selectExpr("concat('word', id) as text")
+    assert sum(r["before"] > 0 for r in texts.mapInArrow(run, "before long").collect()) > 20
