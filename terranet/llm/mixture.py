@@ -17,25 +17,30 @@ All steps are DataFrame operations.
 * A shard reads, of every source, the next blocks of the permuted order, disjoint
   from those of other shards, and its documents are ordered by a hash.
 
+Only blocks that a target cuts need the order of their documents; all others are taken
+whole or not at all.  So a document's block, which its id tells, decides what becomes of
+it, and texts are shuffled once, to their shards.
+
 Null and empty texts have no words, count for nothing and are taken 0 times.  Equal
-rows are each taken on their own.  The source with a third of all rows is no
-problem: running totals are taken inside blocks, then over blocks.
+rows are each taken on their own; rows without a doc_id are ordered by their text.  The
+source with a third of all rows is no problem, as its blocks are no larger than others.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from terranet.llm.tables import read
+from terranet.plans.ordered import sums_before
 from terranet.plans.scratch import cut
 
 WEIGHTS = (3, 1, 2)
 SHARE_HALVES = 3  # 150 %, in halves
 MOST_TIMES = 2
-ROW = ("_mix_id", "_mix_key", "_mix_no", "_mix_shard")
 BLOCK_WORDS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 _LOG_2PI_HALF = 0.5 * math.log(2 * math.pi)
@@ -149,54 +154,90 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     return tree.select("shard", F.explode("own").alias("x")).select("shard", "x.source", "x.blocks")
 
 
-def _placed(documents: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
-    """Documents with their block and the source words before them, and the blocks."""
+@dataclass
+class Plan:
+    """What the mix takes, without any text.
+
+    * ``groups``: (doc_id, source, key, size, copies, bid, before): equal rows together; ``before`` are
+      the words of the block before them, known in blocks that are cut only
+    * ``blocks``: (bid, source, block, words, goal0, goal1, first_shard, second_shard, is_cut, source_size, target);
+      a goal is what the pass takes of the block, not yet limited to the block's words
+    * ``sources``: (source, source_size, target, n_blocks)
+    """
+
+    groups: DataFrame
+    blocks: DataFrame
+    sources: DataFrame
+    shards: int
+    seed: int
+
+
+def _order(doc_id: Column, text: Column) -> Column:
+    """Hash that orders a source's documents; those without an id are spread by their text."""
+    return F.md5(F.coalesce(doc_id.cast("string"), text, F.lit("")))
+
+
+def _block(order: Column, n_blocks: Column) -> Column:
+    """The first 32 bits of the hash choose the block, so blocks follow each other in hash order."""
+    return F.shiftright(n_blocks * F.conv(F.substring(order, 1, 8), 16, 10).cast("long"), 32)
+
+
+def planned(documents: DataFrame, shards: int | None = None, seed: int = 0, block_words: int = BLOCK_WORDS) -> Plan:
+    """Sizes in one scan of the texts; all else works on sizes and on blocks."""
+    shards = shards or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("key"))
-    rows = cut(rows.withColumn("no", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("source"))), "sizes")
-    sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = rows.withColumn("order", order)
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("key"),
+                            size.alias("size"), _order(F.col("doc_id"), F.col("text")).alias("order"))
+    groups = cut(rows.groupBy("doc_id", "source", "key").agg(F.max("size").alias("size"), F.max("order").alias("order"), F.count("*").alias("copies")), "sizes")
+    groups = groups.withColumn("total", F.col("size") * F.col("copies"))
     n = F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")
-    joined = rows.alias("r").join(sources.alias("s"), F.expr("r.source <=> s.source")).select(
-        "doc_id", "r.source", "size", "key", "no", "order", "source_size", "target", n.alias("n_blocks"))
-    # the first 32 bits of the hash choose the block, so blocks follow each other in hash order
-    place = F.conv(F.substring("order", 1, 8), 16, 10).cast("long")
-    joined = joined.withColumn("block", F.expr("n_blocks").cast("long") * place).withColumn("block", F.expr("block div 4294967296"))
-    within = Window.partitionBy("source", "block").orderBy("order", "doc_id", "size", "key", "no")
-    joined = joined.withColumn("before", F.sum("size").over(within) - F.col("size"))
-    blocks = joined.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    over = Window.partitionBy("source").orderBy("block")
-    return joined, cut(blocks.withColumn("start", F.sum("words").over(over) - F.col("words")), "blocks")
+    sources = cut(targets(groups.groupBy("source").agg(F.sum("total").alias("source_size"))).withColumn("n_blocks", n), "targets")
+    placed = groups.alias("g").join(sources.alias("s"), F.expr("g.source <=> s.source")).select("g.*", "source_size", "target", _block(F.col("order"), F.col("n_blocks")).alias("block"))
+    blocks = placed.groupBy("source", "block").agg(F.sum("total").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    start = F.sum("words").over(Window.partitionBy("source").orderBy("block")) - F.col("words")
+    goal = F.floor("target") - start
+    blocks = cut(blocks.withColumns({"bid": F.monotonically_increasing_id(), "goal0": goal, "goal1": goal - F.col("source_size")}), "blocks")
+    # blocks that a pass reaches; slot numbers go on through the second pass
+    passes = blocks.select("source", "block", "bid", "words", F.posexplode(F.array("goal0", "goal1")).alias("pass", "goal")).filter("words > 0 and goal > 0")
+    slots = passes.withColumn("slot", F.row_number().over(Window.partitionBy("source").orderBy("pass", "block")) - 1)
+    shares = split_quotas(slots.groupBy("source").agg(F.count("*").alias("blocks")), shards, seed).filter("blocks > 0")
+    shares = shares.withColumn("end", F.sum("blocks").over(Window.partitionBy("source").orderBy("shard")))
+    dealt = slots.alias("b").join(shares.alias("q"), F.expr("b.source <=> q.source and slot >= q.end - q.blocks and slot < q.end")).groupBy("bid").agg(
+        F.max(F.when(F.col("pass") == 0, F.col("shard"))).alias("first_shard"), F.max(F.when(F.col("pass") == 1, F.col("shard"))).alias("second_shard"))
+    is_cut = F.expr("(goal0 > 0 and goal0 < words) or (goal1 > 0 and goal1 < words)")
+    blocks = cut(blocks.join(dealt, "bid", "left").withColumn("is_cut", is_cut), "blocks")
+    # running totals matter where a target ends inside a block
+    known = placed.alias("p").join(blocks.alias("b"), F.expr("p.source <=> b.source and p.block = b.block")).select(
+        "doc_id", "p.source", "key", "size", "order", "copies", "total", "bid", "is_cut")
+    inside = sums_before(cut(known.filter("is_cut"), "cut-blocks"), ["bid"], [F.col(c).asc() for c in ("order", "doc_id", "size", "source", "key")], ["total"])
+    names = ["doc_id", "source", "key", "size", "copies", "bid"]
+    whole = known.filter(~F.col("is_cut")).select(*names, F.lit(None).cast("long").alias("before"))
+    return Plan(cut(whole.unionByName(inside.select(*names, F.col("total_before").alias("before"))), "groups"), blocks, sources, shards, seed)
+
+
+def _parts(no: Column) -> list[Column]:
+    """Words that each pass takes of the ``no``-th of equal rows."""
+    return [F.when(F.col(goal) >= F.col("words"), F.col("size")).when(F.col(goal) <= 0, 0).otherwise(
+        F.greatest(F.lit(0), F.least(F.col("size"), F.col(goal) - F.col("before") - (no - 1) * F.col("size")))).cast("long") for goal in ("goal0", "goal1")]
+
+
+def _rows(plan: Plan) -> DataFrame:
+    """A row for every document with its parts; ``no`` numbers equal rows, from 1."""
+    rows = plan.groups.join(plan.blocks.drop("source", "block"), "bid").withColumn("no", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    first, second = _parts(F.col("no"))
+    return rows.withColumns({"first_part": first, "second_part": second})
 
 
 def mixed_documents(documents: DataFrame, shards: int | None = None, seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, taken, first_part, second_part, first_shard, second_shard, order, key, no.
+    """Per document: doc_id, source, size, source_size, target, taken, first_part, second_part, first_shard, second_shard, key, no.
 
     ``taken`` counts repeats; the parts are the words of the two passes.  The shards are those that read the document's block in
     the first and in the second pass over its source, null where the pass ends before.
     Other columns are ignored.
     """
-    rows, blocks = _placed(documents, block_words)
-    shards = shards or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # blocks that a pass reaches; slot numbers go on through the second pass
-    passes = blocks.withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1)))).filter(
-        F.col("words") > 0).filter(F.col("pass") * F.col("source_size") + F.col("start") < F.floor("target"))
-    slots = passes.withColumn("slot", F.row_number().over(Window.partitionBy("source").orderBy("pass", "block")) - 1)
-    quotas = slots.groupBy("source").agg(F.count("*").alias("blocks"))
-    shares = split_quotas(quotas, shards, seed).filter("blocks > 0")
-    shares = shares.withColumn("end", F.sum("blocks").over(Window.partitionBy("source").orderBy("shard")))
-    taken = slots.alias("b").join(shares.alias("q"), F.expr("b.source <=> q.source and slot >= q.end - q.blocks and slot < q.end")).select(
-        "b.source", "block", "pass", "shard")
-    taken = taken.groupBy("source", "block").agg(F.max(F.when(F.col("pass") == 0, F.col("shard"))).alias("first_shard"),
-                                                 F.max(F.when(F.col("pass") == 1, F.col("shard"))).alias("second_shard"))
-    spread = blocks.select("source", "block", "start").alias("b").join(
-        taken.alias("t"), F.expr("b.source <=> t.source and b.block = t.block"), "left").select("b.source", "b.block", "start", "first_shard", "second_shard")
-    found = rows.alias("r").join(spread.alias("k"), F.expr("r.source <=> k.source and r.block = k.block"))
-    begin = F.col("start") + F.col("before")
-    part = lambda p: F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - p * F.col("source_size") - begin))
-    return found.select("doc_id", "r.source", "size", "source_size", "target", (part(0) + part(1)).cast("long").alias("taken"),
-                        part(0).cast("long").alias("first_part"), part(1).cast("long").alias("second_part"), "first_shard", "second_shard", "order", "key", "no")
+    return _rows(planned(documents, shards, seed, block_words)).select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("first_part") + F.col("second_part")).alias("taken"), "first_part", "second_part",
+        "first_shard", "second_shard", "key", "no")
 
 
 def mixture(documents: DataFrame, shards: int | None = None, seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -205,45 +246,73 @@ def mixture(documents: DataFrame, shards: int | None = None, seed: int = 0, bloc
     A document taken twice is two rows.  The one at the cut keeps its first words only,
     and its n_chars, if there is such a column, is counted anew.
     """
-    return _drawn(documents, mixed_documents(documents, shards, seed, block_words), seed).select(*documents.columns)
+    drawn = _drawn(documents, planned(documents, shards, seed, block_words))
+    return drawn.select(*[f"c{k}" for k in range(len(documents.columns))]).toDF(*documents.columns)
+
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows``, materialised with their writing task as _pid, with the number _no of a row among equal ones.
 
-def _drawn(documents: DataFrame, found: DataFrame, seed: int = 0) -> DataFrame:
-    """The rows of the mix with the key of the row they come from (_id, _key, _no) and their _shard."""
-    passes = F.array(F.struct(F.col("first_part").alias("words"), F.col("first_shard").alias("shard")),
-                     F.struct(F.col("second_part").alias("words"), F.col("second_shard").alias("shard")))
-    drawn = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("no").alias("_no"), F.col("size").alias("_size"),
-                         F.posexplode(passes).alias("_pass", "_p")).filter("_p.words > 0")
-    drawn = drawn.select("_id", "_key", "_no", "_size", F.col("_p.words").alias("_words"), F.col("_p.shard").alias("_shard"),
-                         F.xxhash64(F.lit(seed), "_id", "_key", "_no", "_pass").alias("_place"))
+    Equal rows are numbered in each task's part, then over the parts, so none of them meet in one task.
+    """
+    keys = ["_id", "_source", "_key"]
+    at = F.row_number().over(Window.partitionBy(*keys, "_pid").orderBy(F.lit(0)))
+    counts = rows.groupBy(*keys, "_pid").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_earlier", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_pid")) - F.col("_n"))
+    return rows.withColumn("_at", at).alias("r").join(before.alias("b"), F.expr("r._id <=> b._id and r._source <=> b._source and r._key = b._key and r._pid = b._pid")).select(
+        "r.*", (F.col("_at") + F.col("_earlier")).alias("_no")).drop("_at")
+
+
+def _drawn(documents: DataFrame, plan: Plan) -> DataFrame:
+    """The rows of the mix: columns c0, c1, ... as those of ``documents``, the key of the row they come from (_id, _source, _key, _no) and _shard.
+
+    The block of a row follows from its id, so texts meet the blocks' table only, and are shuffled
+    once, to their shards.  Rows of blocks that are taken whole have _no 0.
+    """
     names = [f"c{k}" for k in range(len(documents.columns))]
     name = dict(zip(documents.columns, names))
-    rows = documents.toDF(*names).withColumns({"_id": F.col(name["doc_id"]).cast("long"), "_key": F.xxhash64(name["text"])})
-    rows = rows.withColumn("_no", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.col(name["source"]).cast("string"))))
-    joined = rows.alias("r").join(drawn.alias("d"), F.expr("r._id <=> d._id and r._key = d._key and r._no = d._no")).select(
-        "r.*", "_size", "_words", "_shard", "_place")
+    text = name["text"]
+    rows = documents.toDF(*names).withColumns({"_id": F.col(name["doc_id"]).cast("long"), "_source": F.col(name["source"]).cast("string"), "_key": F.xxhash64(text)})
+    of_source = plan.sources.select(F.col("source").alias("_s"), "n_blocks")
+    rows = rows.join(of_source, F.expr("_source <=> _s")).withColumn("_block", _block(_order(F.col(name["doc_id"]), F.col(text)), F.col("n_blocks"))).drop("_s", "n_blocks")
+    of_block = plan.blocks.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "bid", "words", "goal0", "goal1", "first_shard", "second_shard", "is_cut")
+    rows = rows.join(of_block, F.expr("_source <=> _s and _block = _b")).drop("_s", "_b", "_block")
+    nothing = F.lit(None).cast("long")
+    has_words = F.coalesce(F.regexp_like(F.col(text), F.lit(WORD)), F.lit(False)).cast("long")
+    whole = rows.filter("not is_cut").withColumns({"_no": F.lit(0).cast("long"), "size": has_words, "before": nothing})
+    split = _numbered(cut(rows.filter("is_cut").withColumn("_pid", F.spark_partition_id()), "cut-documents")).drop("_pid")
+    sizes = plan.groups.filter("before is not null").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("key").alias("_k"), "size", "before")
+    split = split.join(sizes, F.expr("_id <=> _i and _source <=> _s and _key = _k")).drop("_i", "_s", "_k")
+    first, second = _parts(F.col("_no"))
+    passes = F.filter(F.array(F.struct(first.alias("words"), F.col("first_shard").alias("shard"), F.lit(0).alias("no")),
+                              F.struct(second.alias("words"), F.col("second_shard").alias("shard"), F.lit(1).alias("no"))), lambda p: p["words"] > 0)
+    drawn = whole.unionByName(split).withColumn("_p", F.explode(passes)).withColumns({
+        "_shard": F.col("_p.shard").cast("int"), "_place": F.xxhash64(F.lit(plan.seed), "_id", "_key", "_no", F.col("_p.no"))})
     # pieces are words with the white space behind them; white space in front of the first is a piece too
-    pieces = F.split(name["text"], r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    lead = F.regexp_like(F.col(name["text"]), F.lit(r"^[\x20\x09-\x0D]")).cast("int")
-    short = F.rtrim(F.array_join(F.slice(pieces, F.lit(1), (F.col("_words") + lead).cast("int")), ""))
-    joined = joined.withColumn("_short", F.when(F.col("_words") < F.col("_size"), short))
+    pieces = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    lead = F.regexp_like(F.col(text), F.lit(r"^[\x20\x09-\x0D]")).cast("int")
+    short = F.rtrim(F.array_join(F.slice(pieces, F.lit(1), (F.col("_p.words") + lead).cast("int")), ""))
+    drawn = drawn.withColumn("_short", F.when(F.col("_p.words") < F.col("size"), short))
     if "n_chars" in name:
-        joined = joined.withColumn(name["n_chars"], F.when(F.col("_short").isNotNull(), F.char_length("_short").cast(
+        drawn = drawn.withColumn(name["n_chars"], F.when(F.col("_short").isNotNull(), F.char_length("_short").cast(
             documents.schema["n_chars"].dataType)).otherwise(F.col(name["n_chars"])))
-    joined = joined.withColumn(name["text"], F.coalesce("_short", name["text"]))
-    return joined.repartitionByRange("_shard").sortWithinPartitions("_shard", "_place").select(
-        *(F.col(n).alias(c) for n, c in zip(names, documents.columns)), *(F.col(k).alias(c) for k, c in zip(("_id", "_key", "_no", "_shard"), ROW)))
+    drawn = drawn.withColumn(text, F.coalesce("_short", text)).select(*names, "_id", "_source", "_key", "_no", "_shard", "_place")
+    return drawn.repartitionById(plan.shards, "_shard").sortWithinPartitions("_shard", "_place").drop("_place")
 
 
 def counted(documents: DataFrame, shards: int | None = None, seed: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document as in ``mixed_documents``, with ``taken`` counted in the written mix."""
-    found = cut(mixed_documents(documents, shards, seed, block_words), "takes")
-    mix = cut(_drawn(documents, found, seed), "mix")
-    size = F.regexp_count("text", F.lit(WORD))
-    row, key, no, _ = ROW
-    sums = mix.groupBy(row, key, no).agg(F.sum(size).cast("long").alias("in_mix"))
-    return found.join(sums, F.col("doc_id").eqNullSafe(F.col(row)) & (F.col("key") == F.col(key)) & (F.col("no") == F.col(no)), "left").select(
-        *(c for c in found.columns if c != "taken"), F.coalesce("in_mix", F.lit(0).cast("long")).alias("taken"))
+    """Per document as in ``mixed_documents``, with ``taken`` counted in the written mix.
+
+    Of equal rows in a block that is taken whole each has its part of what the mix holds of them.
+    """
+    plan = planned(documents, shards, seed, block_words)
+    mix = cut(_drawn(documents, plan), "mix")
+    size = F.regexp_count(f"c{documents.columns.index('text')}", F.lit(WORD))
+    sums = mix.groupBy("_id", "_source", "_key", "_no").agg(F.sum(size).cast("long").alias("in_mix"))
+    rows = _rows(plan).withColumn("place", F.when(F.col("is_cut"), F.col("no")).otherwise(0))
+    joined = rows.join(sums, F.expr("doc_id <=> _id and source <=> _source and key = _key and place = _no"), "left")
+    taken = F.coalesce(F.when(F.col("is_cut"), F.col("in_mix")).otherwise(F.expr("in_mix div copies")), F.lit(0).cast("long"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "first_part", "second_part", "first_shard", "second_shard", "key", "no")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,7 +320,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ([3, 1, 2])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, 3 * sum(source_size) OVER () AS twice FROM s),
 o AS (SELECT *, coalesce(sum(2 * source_size) OVER before, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weight_left
@@ -261,7 +330,7 @@ t AS (SELECT source, source_size, CASE WHEN full_up THEN (2 * source_size)::DOUB
         ((twice - 2 * sum(CASE WHEN full_up THEN 2 * source_size ELSE 0 END) OVER ()) * weight)::DOUBLE
         / (2 * sum(CASE WHEN full_up THEN 0 ELSE weight END) OVER ())::DOUBLE END AS target FROM f),
 p AS (SELECT doc_id, size, source_size, target,
-        (sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS UNBOUNDED PRECEDING) - size) AS begin
+        (sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, text, '')), doc_id, size ROWS UNBOUNDED PRECEDING) - size) AS begin
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        (greatest(0, least(size, floor(target) - begin)) + greatest(0, least(size, floor(target) - source_size - begin)))::BIGINT AS taken FROM p

@@ -48,7 +48,7 @@ def test_targets_and_taken(spark):
     assert sorted(map(str, again)) == sorted(map(str, got))
     # brute force of what is taken: the first words in hash order, then from the start again
     for source in sizes:
-        own = sorted((hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest(), -1 if r[0] is None else r[0], size_of(r[1]))
+        own = sorted((hashlib.md5(((r[1] or "") if r[0] is None else str(r[0])).encode()).hexdigest(), -1 if r[0] is None else r[0], size_of(r[1]))
                      for r in rows(n=80) if r[3] == source)
         begin, expected = 0, []
         for _, doc, size in own:
@@ -118,6 +118,30 @@ def test_taken_is_counted_in_the_mix(spark, monkeypatch):
     want = sorted(M.mixed_documents(frame, 4, block_words=500).select("doc_id", "source", "key", "no", "size", "taken").collect(), key=str)
     assert sorted(M.counted(frame, 4, block_words=500).select("doc_id", "source", "key", "no", "size", "taken").collect(), key=str) == want
     drawn = M._drawn
-    monkeypatch.setattr(M, "_drawn", lambda *a: drawn(*a).filter("doc_id <> 3"))  # a row lost in the draw shows
+    monkeypatch.setattr(M, "_drawn", lambda *a: drawn(*a).filter("_id <> 3"))  # a row lost in the draw shows
     lost = M.counted(frame, 4, block_words=500)
     assert lost.filter("doc_id = 3").agg(F.sum("taken")).first()[0] == 0 < sum(r["taken"] for r in want if r["doc_id"] == 3)
+
+
+def test_copies_without_id_and_odd_names(spark):
+    """Equal rows where the target cuts, rows without an id, and columns named like those used inside."""
+    found = [(None, "s", "one two three", 13, k, "x", "y") for k in range(30)] + [(5, "s", " a b\tc d", 8, k, "x", "y") for k in range(20)]
+    found += [(k, "t", "w " * k, 2 * k, k, "x", "y") for k in range(40)]
+    frame = spark.createDataFrame(found, "doc_id long, source string, text string, n_chars int, `_no` int, `a.b` string, _mix_id string").repartition(5)
+    got = M.counted(frame, 3, block_words=20).collect()
+    want = {(r["doc_id"], r["source"], r["key"], r["no"]): r["taken"] for r in M.mixed_documents(frame, 3, block_words=20).collect()}
+    assert {(r["doc_id"], r["source"], r["key"], r["no"]): r["taken"] for r in got} == want and len(got) == 90
+    taken, size = defaultdict(int), defaultdict(int)
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        size[r["source"]] += r["size"]
+    assert taken == {s: math.floor(t) for s, t in fair(size).items()}
+    mixed = M.mixture(frame, 3, block_words=20)
+    assert mixed.columns == frame.columns and sum(size_of(r["text"]) for r in mixed.collect()) == sum(taken.values())
+
+
+def test_texts_are_shuffled_once(spark):
+    """The plan of the mix has one exchange with texts and no other that holds a document column, but for cut blocks."""
+    frame = documents(spark, n=80)
+    plan = M._drawn(frame, M.planned(frame, 4, block_words=500))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionById") + plan.count("RepartitionByExpression") == 1
