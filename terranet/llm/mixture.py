@@ -306,7 +306,7 @@ def counted(documents: DataFrame, shards: int | None = None, seed: int = 0, bloc
     Of equal rows in a block that is taken whole each has its part of what the mix holds of them.
     """
     plan = planned(documents, shards, seed, block_words)
-    mix = cut(_drawn(documents, plan), "mix")
+    mix = cut(_drawn(documents, plan), "mix", "zstd")
     size = F.regexp_count(f"c{documents.columns.index('text')}", F.lit(WORD))
     sums = mix.groupBy("_id", "_source", "_key", "_no").agg(F.sum(size).cast("long").alias("in_mix"))
     rows = _rows(plan).withColumn("place", F.when(F.col("is_cut"), F.col("no")).otherwise(0))
