@@ -5,15 +5,16 @@ their tag, class and role, and it knows how many pages have it, how its children
 are laid out (presentation) and what text stands in it (content).  The importance of
 a node is the entropy of its layouts or texts over the pages, from 0 (all alike) to
 1 (all different, or one page only); a branch has the mean importance of its nodes,
-discounted by depth.  A branch is noise if it and all branches in it have low
-importance; the text of such branches, which is the text of elements whose own
-branch has low importance, is taken out of every page.
+discounted by depth.  What only pages with one and the same main text share counts as
+one page, so a host that repeats an article does not make it unimportant.
 
-Importance alone is wrong where menus and notices differ from page to page or
-where a host repeats an article, so what the markup says comes first: elements that
-are menus, headers, footers, sidebars, notices, adverts, forms, reader comments or
-hidden never count, and inside an article (or main) element every other block stays.
-The tree decides about all blocks of pages without such an element.
+The tree decides about every block: it stays where the importance of its branch plus a
+prior reaches ``LEAST_IMPORTANCE``.  The prior comes from the markup.  It is -1 for what
+the markup calls menus, headers, footers, sidebars, notices, adverts, forms, reader
+comments or hidden, as these differ from page to page too, and for blocks outside the
+article (or main) element of a page that has one; in it, it is 1 for paragraphs,
+headings, list items, cells and the like, and ``BODY_PRIOR`` for other elements, so that
+boxes which all articles of a host repeat go; it is 0 on pages without such an element.
 
 Names count by whole class or id tokens: all parts of a token must be words of noise
 or of its place or kind ("sidebar-left", not "social-contract").  Ids in an article are
@@ -40,10 +41,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from terranet.llm import words
 from terranet.llm.tables import read
-from terranet.plans.scratch import cut
+from terranet.plans.scratch import cut, is_empty
 
 DEPTH_DISCOUNT = 0.9
 LEAST_IMPORTANCE = 0.25
+BODY_PRIOR = 0.2
+_PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption blockquote pre figcaption summary".split())
 _COMMENT_WORDS = frozenset("comment comments disqus replies respond responses reactions feedback discussion commentlist usercomments".split())
 _NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense adsbygoogle adbox adslot adunit adbanner banner sponsor sponsored promo promotion promoted "
@@ -103,12 +106,14 @@ class _Element:
     main: bool      # in an article or main element
     hint: bool      # in an element named like an article's body
     link: bool
+    block: str      # tag of the block-level element that it is or is in
 
 
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[int, ...]
+    node: int
+    tag: str
     noise: bool
     main: bool
     hint: bool
@@ -120,7 +125,7 @@ class Block:
 @dataclass
 class Page:
     blocks: list[Block] = field(default_factory=list)
-    layouts: dict[int, tuple[tuple[int, ...], list[int]]] = field(default_factory=dict)  # node: path, keys of its children
+    layouts: dict[int, tuple[int, list[int]]] = field(default_factory=dict)  # node: its parent (0: none) and the keys of its children
 
 
 def _key(parent: int, tag: str, style: str) -> int:
@@ -188,7 +193,7 @@ def _open(tag: str, rest: str, above: _Element | None) -> _Element:
         body = _Body("hint", body, mark)
     style = f"{' '.join(sorted(own.get('class', '').split()))} {role}"
     return _Element(tag, _key(above.key if above else 0, tag, style), mark, body, inside or article, hint,
-                    tag == "a" or above is not None and above.link)
+                    tag == "a" or above is not None and above.link, tag if tag in _BLOCK_TAGS else above.block)
 
 
 def _live(mark: _Mark | None) -> list[_Mark]:
@@ -256,7 +261,7 @@ def _lift(page: Page, marks: list[_Mark], bodies: list[_Body]) -> None:
 def parse(source: str) -> Page:
     """Blocks of a page in order, and the layout of its elements.  Bad markup is read as browsers do, in short."""
     page, stack = Page(), [_open("html", "", None)]
-    page.layouts[stack[0].key] = ((), [])
+    page.layouts[stack[0].key] = (0, [])
     text: list[str] = []
     marks: list[_Mark] = []
     bodies: list[_Body] = []
@@ -268,7 +273,7 @@ def parse(source: str) -> Page:
             whole = " ".join("".join(text).split())
             if whole:
                 top = stack[-1]
-                page.blocks.append(Block(whole, tuple(e.key for e in stack if e.tag in _BLOCK_TAGS), top.mark is not None, top.main, top.hint, linked, top.mark, top.body))
+                page.blocks.append(Block(whole, top.key, top.block, top.mark is not None, top.main, top.hint, linked, top.mark, top.body))
                 for holder in (top.mark, top.body):
                     if holder is not None:
                         holder.plain += max(len(whole) - linked, 0)
@@ -325,9 +330,9 @@ def parse(source: str) -> Page:
             if element.body is not stack[-1].body:
                 bodies.append(element.body)
             if tag in _BLOCK_TAGS:
-                above = [e.key for e in stack if e.tag in _BLOCK_TAGS]
-                page.layouts[above[-1]][1].append(element.key)
-                page.layouts.setdefault(element.key, (tuple(above), []))
+                above = stack[-1].key  # an inline element has that of the block it is in
+                page.layouts[above][1].append(element.key)
+                page.layouts.setdefault(element.key, (above, []))
                 if tag == "body" and any(e.tag == "body" for e in stack):
                     continue
             else:
@@ -340,24 +345,32 @@ def parse(source: str) -> Page:
     return page
 
 
-def main_text(page: Page, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """Main text of a page; ``low`` are the nodes of low importance of its site."""
+def body_blocks(page: Page) -> list[Block] | None:
+    """Blocks of the article or main element, or else of one named like an article's body; None if there is none."""
     clean = [b for b in page.blocks if not b.noise]
-    for chosen in ([b for b in clean if b.main], [b for b in clean if b.hint]):
-        if chosen:
-            return "\n\n".join(b.text for b in chosen)
-    return "\n\n".join(b.text for b in clean if b.path[-1] not in low)
+    return [b for b in clean if b.main] or [b for b in clean if b.hint] or None
+
+
+def main_text(page: Page, low: frozenset[int] | set[int] = frozenset(), lowest: frozenset[int] | set[int] = frozenset()) -> str:
+    """Main text of a page.
+
+    ``low`` are the nodes of its site with less than the least importance, ``lowest`` those that stay below it in an article.
+    """
+    body = body_blocks(page)
+    if body is None:
+        return "\n\n".join(b.text for b in page.blocks if not b.noise and b.node not in low)
+    return "\n\n".join(b.text for b in body if b.tag in _PROSE_TAGS or b.node not in lowest)
 
 
 def _hash(value: object) -> int:
     return xxhash.xxh64_intdigest(repr(value)) - (1 << 63)
 
 
-_NODES = "host long, node long, path array<long>, kind boolean, value long"
+_NODES = "host long, node long, parent long, kind boolean, value long, about long"
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per page and node: the hash of its layout (kind false) or of its text (kind true)."""
+    """A row per page and node: the hash of its layout (kind false) or of its text (kind true), and of the page's main text."""
     for batch in batches:
         for i, j in words.slices(batch.column(1), 8 << 20):
             rows: list[tuple] = []
@@ -365,16 +378,17 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 page = parse(source)
                 texts: dict[int, list[str]] = {}
                 for block in page.blocks:
-                    texts.setdefault(block.path[-1], []).append(block.text)
-                for node, (path, children) in page.layouts.items():
+                    texts.setdefault(block.node, []).append(block.text)
+                about = _hash([b.text for b in body_blocks(page) or page.blocks])
+                for node, (parent, children) in page.layouts.items():
                     if children:
                         runs = [c for k, c in enumerate(children) if not k or children[k - 1] != c]  # a run of like children counts once
-                        rows.append((host, node, path, False, _hash(runs)))
+                        rows.append((host, node, parent, False, _hash(runs), about))
                     if node in texts:
-                        rows.append((host, node, path, True, _hash(texts[node])))
+                        rows.append((host, node, parent, True, _hash(texts[node]), about))
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["host", "node", "path", "kind", "value"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["host", "node", "parent", "kind", "value", "about"])
 
 
 def _host(url: Column) -> Column:
@@ -388,25 +402,41 @@ def style_tree(pages: DataFrame, discount: float = DEPTH_DISCOUNT) -> DataFrame:
     with a third of all pages is no problem.
     """
     rows = pages.select(_host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(_nodes, _NODES)
-    seen = rows.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("c"), F.min("path").alias("path"))
-    nodes = seen.groupBy("host", "node", "kind").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("s"), F.min("path").alias("path"))
+    seen = rows.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("c"), F.min("about").alias("one"), F.max("about").alias("other"), F.min("parent").alias("parent"))
+    seen = seen.withColumn("c", F.when(F.col("one") == F.col("other"), 1).otherwise(F.col("c")))
+    kinds = seen.groupBy("host", "node", "kind").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("s"), F.min("parent").alias("parent"))
     own = F.when(F.col("pages") > 1, 1 - F.col("s") / (F.col("pages") * F.log("pages"))).otherwise(1.0)
-    nodes = nodes.select("host", "node", "pages", own.alias("own"), F.concat("path", F.array("node")).alias("line"), "kind")
     # a leaf counts in full, an inner node by what the discount leaves for the layout
     weight = F.col("pages") * F.when(F.col("kind"), 1.0).otherwise(1 - discount)
-    spread = nodes.select("host", F.posexplode("line").alias("depth", "at"), F.size("line").alias("n"), "own", weight.alias("w"),
-                          F.when(F.col("node") == F.element_at("line", -1), F.col("pages")).alias("pages"))
-    w = F.col("w") * F.pow(F.lit(discount), F.col("n") - 1 - F.col("depth"))
-    return spread.groupBy("host", F.col("at").alias("node")).agg(
-        F.max(F.when(F.col("depth") == F.col("n") - 1, F.col("pages"))).alias("pages"), (F.sum(w * F.col("own")) / F.sum(w)).alias("importance"))
+    nodes = kinds.groupBy("host", "node").agg(F.max("pages").alias("pages"), F.sum(weight).alias("weight"), F.sum(weight * own).alias("whole"), F.min("parent").alias("above"))
+    branches = _branch_sums(cut(nodes, "site-nodes"), discount)
+    return branches.select("host", "node", "pages", (F.col("whole") / F.col("weight")).alias("importance"))
+
+
+def _branch_sums(nodes: DataFrame, discount: float) -> DataFrame:
+    """``weight`` and ``whole`` of every node summed over its branch, discounted by depth.
+
+    A round adds the sums of the nodes 2^k levels below, so rounds are logarithmic in the depth.
+    """
+    step = 1
+    while True:
+        below = nodes.filter("above <> 0").groupBy("host", F.col("above").alias("node")).agg(F.sum("weight").alias("w"), F.sum("whole").alias("v"))
+        above = nodes.select("host", F.col("node").alias("above"), F.col("above").alias("further"))
+        share = float(discount ** step)
+        more = lambda x, y: (F.col(x) + F.coalesce(F.col(y), F.lit(0.0)) * share).alias(x)
+        nodes = cut(nodes.join(below, ["host", "node"], "left").join(above, ["host", "above"], "left").select(
+            "host", "node", "pages", more("weight", "w"), more("whole", "v"), F.coalesce("further", F.lit(0).cast("long")).alias("above")), "site-nodes")
+        if is_empty(nodes.filter("above <> 0")):
+            return nodes
+        step *= 2
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j in words.slices(batch.column(2), 8 << 20):
             part = batch.slice(i, j - i)
-            low = part.column(3).to_pylist()
-            texts = [main_text(parse(source), set(x or ())) for source, x in zip(part.column(2).to_pylist(), low)]
+            low, lowest = part.column(3).to_pylist(), part.column(4).to_pylist()
+            texts = [main_text(parse(source), set(x or ()), set(y or ())) for source, x, y in zip(part.column(2).to_pylist(), low, lowest)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              ["page_id", "url", "text", "n_chars"])
 
@@ -414,10 +444,11 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extracted_pages(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
     """page_id, url, text, n_chars of every row.  Other columns are ignored."""
     tree = style_tree(pages).filter((F.col("importance") < least) & (F.col("pages") > 1))
-    low = cut(tree.groupBy("host").agg(F.collect_list("node").alias("low")), "site-noise")
+    beyond = F.when(F.col("importance") < least - BODY_PRIOR, F.col("node"))
+    low = cut(tree.groupBy("host").agg(F.collect_list("node").alias("low"), F.collect_list(beyond).alias("lowest")), "site-noise")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce("html", F.lit("")).alias("html"), _host(F.col("url")).alias("host"))
-    return rows.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(
+    return rows.join(low, "host", "left").select("page_id", "url", "html", "low", "lowest").mapInArrow(
         _extract, "page_id long, url string, text string, n_chars long")
 
 

@@ -47,7 +47,7 @@ def test_names_of_wrappers_and_anchors():
 def test_links_in_the_main_text_stay():
     page = "<h2><a href=x>Linked heading</a></h2><p>Text</p><p><a href=y>A paragraph that is a link</a></p><ol><li><a href=z>Reference</a></li></ol>"
     assert text(page) == "Linked heading\n\nText\n\nA paragraph that is a link\n\nReference"
-    low = {b.path[-1] for b in S.parse(page).blocks if b.text == "Reference"}
+    low = {b.node for b in S.parse(page).blocks if b.text == "Reference"}
     assert text(page, low) == "Linked heading\n\nText\n\nA paragraph that is a link"
 
 
@@ -80,4 +80,62 @@ def test_importance_of_nodes(spark):
     page = S.parse("<div class=top><p>Welcome to our site</p></div><div class=box><p>Story</p></div>")
     host = site(spark).filter("page_id = 1").select(S._host("url").alias("h")).first()["h"]
     of = {r["node"]: r["importance"] for r in tree if r["host"] == host}
-    assert of[page.blocks[0].path[-1]] < 0.05 and of[page.blocks[1].path[-1]] > 0.9
+    assert of[page.blocks[0].node] < 0.05 and of[page.blocks[1].node] > 0.9
+
+
+def brute_importance(pages, discount=S.DEPTH_DISCOUNT):
+    """Importance of every branch of a host's pages, from the definitions."""
+    import math
+    from collections import Counter, defaultdict
+    seen, parent = defaultdict(list), {}
+    for html in pages:
+        page = S.parse(html)
+        about = tuple(b.text for b in S.body_blocks(page) or page.blocks)
+        for node, (up, children) in page.layouts.items():
+            parent[node] = up
+            if children:
+                seen[node, False].append((tuple(c for k, c in enumerate(children) if not k or children[k - 1] != c), about))
+            texts = tuple(b.text for b in page.blocks if b.node == node)
+            if texts:
+                seen[node, True].append((texts, about))
+    weight, whole = defaultdict(float), defaultdict(float)
+    for (node, content), values in seen.items():
+        counts = [n if len({a for v, a in values if v == value}) > 1 else 1 for value, n in Counter(v for v, _ in values).items()]
+        n = sum(counts)
+        entropy = 1.0 if n == 1 else -sum(c / n * math.log(c / n) for c in counts) / math.log(n)
+        w, at = n * (1.0 if content else 1 - discount), node
+        while at:
+            weight[at], whole[at] = weight[at] + w, whole[at] + w * entropy
+            w, at = w * discount, parent[at]
+    return {node: whole[node] / weight[node] for node in weight}
+
+
+def test_importance_equals_brute_force(spark):
+    import random
+    rng = random.Random(2)
+    pages = []
+    for i in range(60):
+        host = rng.choice("abc")
+        body = "".join(rng.choice(["<p>same</p>", f"<p>{rng.randrange(5)}</p>", f"<div class=x><div><p>{i}</p></div></div>", "<ul><li>a<li>b</ul>", "<section><p>s</p>t</section>"])
+                       for _ in range(rng.randrange(1, 6)))
+        pages.append((i, f"http://{host}/{i}", rng.choice(["<article>{}</article>", "<div class=q>{}</div>"]).format(body)))
+    pages += [(100 + k, "http://a/x", pages[0][2]) for k in range(4)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    hosts = {r["h"]: r["host"] for r in frame.selectExpr("url", "substring(url, 8, 1) as h").select("h", S._host(S.F.col("url")).alias("host")).distinct().collect()}
+    got = {(r["host"], r["node"]): r["importance"] for r in S.style_tree(frame).collect()}
+    want = {(code, node): x for name, code in hosts.items() for node, x in brute_importance([h for _, u, h in pages if u[7] == name]).items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_boxes_that_all_articles_repeat_go(spark):
+    page = "<article><h2>Facts</h2><p>Story {0}</p><div class=zz>Read our other stories</div><div class=own>Box {0}</div></article>"
+    found = [(i, "http://one.example/", page.format(i)) for i in range(8)] + [(20 + i, "http://two.example/", page.format(1)) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in S.extracted_pages(spark.createDataFrame(found, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Facts\n\nStory {i}\n\nBox {i}" for i in range(8))
+    assert all(got[20 + i] == "Facts\n\nStory 1\n\nRead our other stories\n\nBox 1" for i in range(8))
+
+
+def test_deep_page(spark):
+    found = [(1, "http://deep/", "<div>" * 100_000 + "deep"), (2, "http://deep/", "<p>flat")]
+    got = {r["page_id"]: r["text"] for r in S.extracted_pages(spark.createDataFrame(found, "page_id long, url string, html string")).collect()}
+    assert got == {1: "deep", 2: "flat"}
