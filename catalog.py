@@ -12,6 +12,7 @@ from oracles import mesh_sql
 from terranet.functions.piecewise import corner_function, corner_volume, pl_scale, pl_sum
 from terranet.functions.points import to_real_volume
 from terranet.operators import gradient as G, mergetree as MT, mesh as M, network as N, raster as R, region as B
+from terranet.operators.simplify import simplified_gradient
 from terranet.plans.components import bfs_distance
 from terranet.plans.extract import Network, extract_network
 from terranet.plans.scratch import cut, scratch_path
@@ -271,6 +272,48 @@ def _(spark, sf):
         "frame_id", "leg_id", "saddle_id", "sink", "start_vid", "second_vid", "side_cell", *finite("delta"))
 
 
+# --------------------------------------------------------------- simplification
+
+_SIMPLE = """few AS MATERIALIZED (SELECT s.frame_id, s.saddle_id, {'h':s.h,'x':s.x,'y':s.y} AS p, greatest(cell_a,-1) AS ca, greatest(cell_b,-1) AS cb,
+      s.fa, s.fb, s.b, s.dir, s.w FROM sads s JOIN clean c USING (frame_id, saddle_id) WHERE c.delta < 20000 AND greatest(cell_a,-1) <> greatest(cell_b,-1)),
+  seen AS (SELECT frame_id, saddle_id, p, 0 AS side, ca AS cell FROM few UNION SELECT frame_id, saddle_id, p, 1, cb FROM few
+    UNION SELECT r.frame_id, r.saddle_id, r.p, r.side, CASE WHEN l.ca=r.cell THEN l.cb ELSE l.ca END
+    FROM seen r JOIN few l ON l.frame_id=r.frame_id AND (l.ca=r.cell OR l.cb=r.cell) AND l.p>r.p),
+  gone AS MATERIALIZED (SELECT f.*, CASE WHEN EXISTS (SELECT 1 FROM seen r WHERE r.frame_id=f.frame_id AND r.saddle_id=f.saddle_id AND r.side=0 AND r.cell=-1) THEN 1
+      WHEN EXISTS (SELECT 1 FROM seen r WHERE r.frame_id=f.frame_id AND r.saddle_id=f.saddle_id AND r.side=1 AND r.cell=-1) THEN 0
+      WHEN CASE WHEN va.inf=1 THEN 'Infinity'::DOUBLE ELSE va.vol END < CASE WHEN vb.inf=1 THEN 'Infinity'::DOUBLE ELSE vb.vol END THEN 0 ELSE 1 END AS light
+    FROM few f JOIN sidevol va ON va.frame_id=f.frame_id AND va.saddle_id=f.saddle_id AND va.side=0
+    JOIN sidevol vb ON vb.frame_id=f.frame_id AND vb.saddle_id=f.saddle_id AND vb.side=1
+    WHERE NOT EXISTS (SELECT 1 FROM seen r WHERE r.frame_id=f.frame_id AND r.saddle_id=f.saddle_id AND r.side=0 AND r.cell=f.cb)),
+  lost AS MATERIALIZED (SELECT DISTINCT r.frame_id, r.cell FROM seen r JOIN gone g ON g.frame_id=r.frame_id AND g.saddle_id=r.saddle_id AND g.light=r.side)"""
+_TURNED = _SIMPLE + """,
+  kept AS (SELECT frame_id, unnest([ca, cb]) AS cell FROM gone EXCEPT SELECT * FROM lost),
+  ways AS (SELECT frame_id, cell, CAST(-1 AS BIGINT) AS via FROM kept
+    UNION SELECT k.frame_id, CASE WHEN g.ca=k.cell THEN g.cb ELSE g.ca END, g.saddle_id FROM ways k JOIN gone g
+    ON g.frame_id=k.frame_id AND (g.ca=k.cell OR g.cb=k.cell) AND g.saddle_id<>k.via),
+  out AS MATERIALIZED (SELECT g.frame_id, CASE WHEN g.ca=k.cell THEN g.fa ELSE g.fb END AS fid,
+    CASE WHEN g.ca=k.cell THEN g.saddle_id ELSE g.b*4 + CASE WHEN g.dir=0 THEN 2 ELSE 1 END END AS hid FROM ways k JOIN gone g ON g.frame_id=k.frame_id AND g.saddle_id=k.via),
+  path AS (SELECT frame_id, fid FROM out UNION SELECT p.frame_id, f.other FROM path p JOIN fp f ON f.frame_id=p.frame_id AND f.fid=p.fid),
+  new AS MATERIALIZED (SELECT f.frame_id, f.other AS fid, CASE f.hid % 4 WHEN 0 THEN f.hid+6 WHEN 3 THEN (f.hid//4+f.w)*4+1 ELSE f.eid END AS hid
+    FROM path p JOIN fp f ON f.frame_id=p.frame_id AND f.fid=p.fid UNION ALL SELECT * FROM out)"""
+
+
+def simplified(spark: SparkSession, sf_dir: str, raster: str, threshold: float):
+    net = network(spark, sf_dir, raster)
+    return simplified_gradient(net.flow, net.saddles, net.tree, threshold, net.tile)
+
+
+@query("simplified_face_pairs_evt", mesh_sql("evt", ["sads", "clean", "sidevol", "fp"], """SELECT frame_id, fid, hid AS paired_hid FROM new
+    UNION ALL SELECT frame_id, fid, hid FROM fp WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.frame_id=fp.frame_id AND n.fid=fp.fid)""", _TURNED))
+def _(spark, sf):
+    return simplified(spark, sf, "evt", 20_000.0).pairs
+
+
+@query("cancelled_maxima_evt", mesh_sql("evt", ["sads", "clean", "sidevol"], "SELECT frame_id, cell FROM lost", _SIMPLE))
+def _(spark, sf):
+    return simplified(spark, sf, "evt", 20_000.0).lost
+
+
 # ---------------------------------------------------------------------- network
 
 _NAMES = ("'s'||saddle_id AS from_id, CASE WHEN sink<0 THEN 'boundary' ELSE 'm'||sink END AS to_id")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from terranet.operators.significance import MergeTree
 from terranet.plans.scratch import cut, is_empty
+from terranet.plans.tours import intervals, tour, within
 
 INF = float("inf")
 NODE = ["frame_id", "kind", "node_id"]
@@ -87,20 +88,29 @@ def ancestor_at(tree: DataFrame, queries: DataFrame) -> DataFrame:
                        F.when(~below, F.coalesce("at", "node_id")).alias("ancestor_id"))
 
 
+def _node_id(kind: Column, node: Column) -> Column:
+    """One id for saddles and cells."""
+    return node * 2 + F.when(kind == "saddle", 0).otherwise(1)
+
+
+def tree_intervals(tree: DataFrame) -> DataFrame:
+    """(frame_id, node, tail, low, high): every subtree of the merge tree as an interval of its Euler tour."""
+    rows = tree.select("frame_id", _node_id(F.col("kind"), F.col("node_id")).alias("id"), (F.col("parent_id") * 2).alias("parent"))
+    return intervals(tour(cut(rows, "tree")))
+
+
 def subtree_mask(tree: DataFrame, cell_faces: DataFrame, frames: DataFrame, wanted: DataFrame) -> DataFrame:
     """Raster cells (frame_id, mask_id, x, y) of the subtrees of ``wanted`` (frame_id, mask_id, kind, node_id).
 
-    Every leaf climbs to the level of the wanted node; it is inside if it ends there.
+    A leaf belongs to the wanted nodes whose interval of the Euler tour holds its place.
     """
-    goal = wanted.join(tree.select(*NODE, _key().alias("goal_key")), NODE).select(
-        "frame_id", "mask_id", F.col("kind").alias("goal_kind"), F.col("node_id").alias("goal"), "goal_key")
-    leaves = tree.filter("kind <> 'saddle'").select(*NODE, "parent_id").join(goal, "frame_id")
-    reached = _climb(tree, leaves, F.col("anc_key") >= F.col("goal_key"))
-    inside = reached.filter(F.when(F.col("goal_kind") == "saddle", F.col("at") == F.col("goal")).otherwise(
-        (F.col("kind") == F.col("goal_kind")) & (F.col("node_id") == F.col("goal"))))
+    places = cut(tree_intervals(tree), "intervals")
+    ranges = wanted.select("frame_id", "mask_id", _node_id(F.col("kind"), F.col("node_id")).alias("node")).join(places, ["frame_id", "node"]).select(
+        "frame_id", "mask_id", "tail", "low", "high")
+    leaves = places.filter("node % 2 <> 0").select("frame_id", "tail", F.floor(F.col("node") / 2).cast("long").alias("cell"), F.col("high").alias("place"))
+    inside = within(leaves, "place", ranges, "low", "high", ["frame_id", "tail"])
     width = frames.select("frame_id", "width")
-    return inside.select("frame_id", "mask_id", F.col("node_id").alias("cell")).join(
-        cell_faces, ["frame_id", "cell"]).join(width, "frame_id").select(
+    return inside.select("frame_id", "mask_id", "cell").join(cell_faces, ["frame_id", "cell"]).join(width, "frame_id").select(
         "frame_id", "mask_id", F.expr("cast(fid % width as int)").alias("x"), F.expr("cast(fid div width as int)").alias("y"))
 
 

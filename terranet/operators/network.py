@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from terranet.functions.points import metric_length
 from terranet.operators.flow import Flow
+from terranet.operators.stencil import TILE
 from terranet.plans.lists import rank_lists, rank_rings
 from terranet.plans.ordered import sums_before
+from terranet.plans.paths import entries, pieces
 from terranet.plans.scratch import cut, is_empty
 
 INF = float("inf")
@@ -30,39 +32,29 @@ def legs(saddles: DataFrame) -> DataFrame:
         "frame_id", "l.leg_id", "saddle_id", "l.sink", "l.start_vid", "l.second_vid", "l.side_cell", *kept)
 
 
-def leg_points(fl: Flow, leg_rows: DataFrame) -> DataFrame:
+def leg_points(fl: Flow, leg_rows: DataFrame, tile: int = TILE) -> DataFrame:
     """Vertices of every leg in order: (frame_id, leg_id, pos, vid, x, y, h).
 
-    Positions are doubled per round with a table of 2^k-step jumps, which loses
-    every vertex nearer than 2^k to its sink.  Filter legs by delta first: the
-    output is as long as the paths.
+    Tiles walk their pieces of the paths, each piece once however many legs share it.
+    Filter legs by delta first: the output is as long as the paths.
     """
     w = F.col("w").cast("long")
     step = (F.when(F.col("vdir") == 0, F.lit(1)).when(F.col("vdir") == 1, -w)
-            .when(F.col("vdir") == 2, F.lit(-1)).otherwise(w))
-    jumps = cut(fl.table.filter("vdir >= 0").select(
-        "frame_id", "vid", (F.col("vid") + step).cast("long").alias("to")), "jump")
-    points = cut(leg_rows.select("frame_id", "leg_id", F.lit(1).cast("long").alias("pos"),
-                                 F.col("second_vid").alias("vid")), "points")
-    parts, ahead = [points], 1
-    while True:
-        # 'points' holds the newest half; all parts together cover steps 0 .. ahead-1
-        everything = parts[0]
-        for p in parts[1:]:
-            everything = everything.unionByName(p)
-        new = cut(everything.join(jumps, ["frame_id", "vid"]).select(
-            "frame_id", "leg_id", (F.col("pos") + ahead).alias("pos"), F.col("to").alias("vid")), "points")
-        if is_empty(new):
-            break
-        parts.append(new)
-        further = jumps.select("frame_id", F.col("vid").alias("to"), F.col("to").alias("_to"))
-        jumps = cut(jumps.join(further, ["frame_id", "to"]).select("frame_id", "vid", F.col("_to").alias("to")), "jump")
-        ahead *= 2
-    rows = leg_rows.select("frame_id", "leg_id", F.lit(0).cast("long").alias("pos"), F.col("start_vid").alias("vid"))
-    for p in parts:
-        rows = rows.unionByName(p)
-    return rows.join(fl.table.select("frame_id", "vid", "x", "y", "h"), ["frame_id", "vid"]).select(
-        "frame_id", "leg_id", "pos", "vid", "x", "y", "h")
+            .when(F.col("vdir") == 2, F.lit(-1)).when(F.col("vdir") == 3, w).otherwise(F.lit(0)))
+    nodes = fl.table.select("frame_id", "w", F.col("vid").alias("id"), (F.col("vid") + step).cast("long").alias("nxt"), "x", "y", "h",
+                            F.col("vref").alias("ref"), F.col("vhops").alias("hops"))
+    second = leg_rows.select("frame_id", F.col("leg_id").alias("path"), F.lit(1).cast("long").alias("pos"), F.col("second_vid").alias("id"))
+    starts = second.join(nodes.select("frame_id", "id", "ref", "hops"), ["frame_id", "id"])
+    edge = (F.col("x") % tile).isin(0, tile - 1) | (F.col("y") % tile).isin(0, tile - 1)
+    found = entries(starts, nodes.filter(edge).select("frame_id", "id", "ref", "hops"))
+    width = fl.table.groupBy("frame_id").agg(F.first("w").alias("w"))
+    wanted = found.select("frame_id", "id").distinct().join(width, "frame_id")
+    parts = pieces(nodes, wanted, tile, {"id": "long", "x": "int", "y": "int", "h": "double"})
+    rows = found.withColumnRenamed("id", "start").join(parts, ["frame_id", "start"]).select(
+        "frame_id", F.col("path").alias("leg_id"), (F.col("pos") + F.col("step")).alias("pos"), F.col("id").alias("vid"), "x", "y", "h")
+    heads = leg_rows.select("frame_id", "leg_id", F.lit(0).cast("long").alias("pos"), F.col("start_vid").alias("vid")).join(
+        fl.table.select("frame_id", "vid", "x", "y", "h"), ["frame_id", "vid"])
+    return rows.unionByName(heads)
 
 
 # ----------------------------------------------------------------------- graph

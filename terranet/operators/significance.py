@@ -55,8 +55,9 @@ def _with_path(rows: DataFrame, paths: DataFrame, cell: str) -> DataFrame:
 class MergeTree:
     """Everything the volume sweep yields, materialised.
 
-    * ``saddles``: (frame_id, saddle_id, h, x, y, splits, delta, volume_above, heavy_cell)
-      with +inf for unbounded volumes; ``heavy_cell`` only for splitting saddles
+    * ``saddles``: (frame_id, saddle_id, h, x, y, splits, delta, volume_above, group_v, group_b,
+      group_volume, other_volume) with +inf for unbounded volumes; the last four only for splitting
+      saddles: one of the two components is the group (v, b), and the volumes of it and of the other
     * ``parents``: (frame_id, saddle_id, parent_id) of the splitting saddles
     * ``leaves``: (frame_id, cell, parent_id)
     """
@@ -114,7 +115,7 @@ def merge_tree_of(saddles: DataFrame, corners: DataFrame, cells: DataFrame, tile
         F.coalesce(F.sum("inf"), zero).alias("inf"))
     merged = cut(merged.select("frame_id", F.col("at.v").alias("cv"), F.col("at.b").alias("cb"), "sid", "h", "x", "y",
                                "sides", F.col("low.volume").alias("low"), F.col("high.volume").alias("high"),
-                               "total", "n", "inf"), "splits")
+                               F.col("low.v").alias("group_v"), F.col("low.b").alias("group_b"), "total", "n", "inf"), "splits")
 
     # --- other saddles only read what their component holds at their height
     splitting = merged.select("frame_id", F.col("sid").alias("saddle_id"))
@@ -128,11 +129,11 @@ def merge_tree_of(saddles: DataFrame, corners: DataFrame, cells: DataFrame, tile
     events = cut(
         sand.select(*CHAIN, none("long").alias("sid"), "h", F.lit(INF).alias("x"), F.lit(INF).alias("y"),
                     zero.cast("long").alias("sides"), none("double").alias("low"), none("double").alias("high"),
-                    "total", "n", "inf")
+                    none("long").alias("group_v"), none("int").alias("group_b"), "total", "n", "inf")
         .unionByName(merged)
         .unionByName(inner.select(*CHAIN, "sid", "h", "x", "y", zero.cast("long").alias("sides"),
                                   none("double").alias("low"), none("double").alias("high"),
-                                  F.lit(0.0).alias("total"), zero.cast("long").alias("n"),
+                                  none("long").alias("group_v"), none("int").alias("group_b"), F.lit(0.0).alias("total"), zero.cast("long").alias("n"),
                                   zero.cast("long").alias("inf"))), "events")
     down = [F.col("h").desc(), F.col("x").desc(), F.col("y").desc()]
     swept = sums_before(events, CHAIN, down, ["total", "n", "inf"]).filter("sid is not null")
@@ -142,7 +143,9 @@ def merge_tree_of(saddles: DataFrame, corners: DataFrame, cells: DataFrame, tile
     upper = F.when(sides == 2, F.col("high")).when(sides == 1, F.greatest("low", gathered)).otherwise(gathered)
     result = cut(swept.select(
         "frame_id", F.col("sid").alias("saddle_id"), "h", "x", "y", (sides > 0).alias("splits"),
-        lower.alias("delta"), F.when(sides > 0, lower + upper).otherwise(gathered).alias("volume_above")), "delta")
+        lower.alias("delta"), F.when(sides > 0, lower + upper).otherwise(gathered).alias("volume_above"),
+        "group_v", "group_b", F.when(sides == 2, F.col("high")).when(sides == 1, gathered).alias("other_volume"),
+        F.when(sides > 0, F.col("low")).alias("group_volume")), "delta")
 
     # --- tree
     ordered = following(merged.select(*CHAIN, "sid", "h", "x", "y"), CHAIN, down, "sid", "next_sid")

@@ -62,7 +62,7 @@ class Network:
     def points(self, threshold: float | None = None) -> DataFrame:
         """Path points of the edges with delta >= threshold (all edges by default)."""
         kept = self.legs if threshold is None else N.filter_delta(self.legs, threshold)
-        return N.leg_points(self.flow, kept)
+        return N.leg_points(self.flow, kept, self.tile)
 
 
 def extract_network(cells: DataFrame, frames: DataFrame, boundary: DataFrame | None = None,

@@ -124,7 +124,10 @@ def test_clean_delta_without_links(spark):
     assert clean_delta(empty).count() == 0
 
 
-def test_leg_points(spark, net):
+@pytest.mark.parametrize("tile", [256, 3])
+def test_leg_points(spark, net, tile):
+    if tile != net.tile:
+        net = extract_network(*to_tables(spark, GRIDS), tile=tile)
     points = {}
     for r in net.points().orderBy("frame_id", "leg_id", "pos").collect():
         points.setdefault((r.frame_id, r.leg_id), []).append((r.x, r.y))
