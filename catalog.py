@@ -101,6 +101,18 @@ def _(spark, sf):
 
 
 _STEP = "(VALUES (0,1,0),(1,0,-1),(2,-1,0),(3,0,1)) s(dir,sx,sy)"
+# neighbours by windows along rows and columns
+_BESIDE = """beside AS MATERIALIZED (SELECT *, lag(struct_pack(x, y, h)) OVER along AS w, lead(struct_pack(x, y, h)) OVER along AS e,
+      lag(struct_pack(x, y, h)) OVER down AS n, lead(struct_pack(x, y, h)) OVER down AS s FROM cells
+    WINDOW along AS (PARTITION BY frame_id, y ORDER BY x), down AS (PARTITION BY frame_id, x ORDER BY y)),
+  nbr AS (SELECT frame_id, x, y, h, 0 AS dir, e.x AS nx, e.y AS ny, e.h AS nh FROM beside WHERE e.x=x+1
+    UNION ALL SELECT frame_id, x, y, h, 1, n.x, n.y, n.h FROM beside WHERE n.y=y-1
+    UNION ALL SELECT frame_id, x, y, h, 2, w.x, w.y, w.h FROM beside WHERE w.x=x-1
+    UNION ALL SELECT frame_id, x, y, h, 3, s.x, s.y, s.h FROM beside WHERE s.y=y+1)"""
+# along diagonals for the light from the corner
+_SLANTED = """slanted AS (SELECT *, lag(struct_pack(x, h)) OVER slope AS a, lead(struct_pack(x, h)) OVER slope AS b FROM cells
+    WINDOW slope AS (PARTITION BY frame_id, x-y ORDER BY x))"""
+_SLANTED_SHADE = """SELECT frame_id, x, y, CASE WHEN a.x=x-1 AND b.x=x+1 THEN least(b.h-a.h, 2.0) END + 1 AS shade FROM slanted"""
 _KEYED = "known AS MATERIALIZED (SELECT *, CAST(y AS BIGINT)*1000000+x AS k FROM cells)"
 _NBR = f"""{_KEYED}, nbr AS (SELECT a.frame_id, a.x, a.y, a.h, dir, b.x AS nx, b.y AS ny, b.h AS nh
     FROM (SELECT known.*, dir, k+sx+sy*1000000 AS far FROM known, {_STEP}) a JOIN known b ON b.frame_id=a.frame_id AND b.k=a.far)"""
@@ -110,7 +122,7 @@ _SHADE = """SELECT a.frame_id, a.x, a.y,
     LEFT JOIN known c ON c.frame_id=a.frame_id AND c.k=a.k-1000001"""
 
 
-@query("neighbours", mesh_sql("emb", [], "SELECT * FROM nbr", _NBR))
+@query("neighbours", mesh_sql("emb", [], "SELECT * FROM nbr", _BESIDE))
 def _(spark, sf):
     return R.neighbours(RASTER["emb"](spark, sf)[0])
 
@@ -124,7 +136,7 @@ query("steepest_neighbour_units", mesh_sql("evt", [], """SELECT frame_id, x, y,
     FROM (SELECT *, (nh-h)/CASE WHEN dir IN (0,2) THEN 4.0::DOUBLE ELSE 2.0::DOUBLE END AS slope FROM nbr)) WHERE rn=1""", _NBR))(
     lambda spark, sf: R.steepest_neighbour(R.neighbours(RASTER["evt"](spark, sf)[0]), S.with_resolution(RASTER["evt"](spark, sf)[1], 4.0, 2.0)))
 for _name, _r in (("hillshade", "emb"), ("hillshade_li", "li")):
-    query(_name, mesh_sql(_r, [], _SHADE, _KEYED))(lambda spark, sf, r=_r: R.hillshade(RASTER[r](spark, sf)[0]))
+    query(_name, mesh_sql(_r, [], *((_SLANTED_SHADE, _SLANTED) if _r == "emb" else (_SHADE, _KEYED))))(lambda spark, sf, r=_r: R.hillshade(RASTER[r](spark, sf)[0]))
 
 
 @query("water", mesh_sql("li", [], "SELECT frame_id, x, y, 5000000.0-h AS depth FROM cells WHERE h < 5000000.0"))
@@ -202,8 +214,10 @@ def _(spark, sf):
     return M.mesh_counts(network(spark, sf, "evt").region)
 
 
-@query("mesh_violations", mesh_sql("emb", ["half"], """SELECT a.frame_id, a.hid, 'twin missing' AS violation FROM half a
-    WHERE NOT EXISTS (SELECT 1 FROM half b WHERE b.frame_id=a.frame_id AND b.o=a.d AND b.d=a.o)"""))
+@query("mesh_violations", mesh_sql("emb", ["v"], """SELECT frame_id, hid, 'twin missing' AS violation FROM (
+    SELECT *, count(*) OVER (PARTITION BY frame_id, least(o,d), greatest(o,d)) AS n FROM hv) WHERE n<>2""",
+    """hv AS (SELECT frame_id, vid*4+dir AS hid, vid AS o, vid+sx+sy*w AS d FROM v, (VALUES (0,1,0),(1,0,-1),(2,-1,0),(3,0,1)) s(dir,sx,sy)
+    WHERE x+sx BETWEEN 0 AND w-1 AND y+sy BETWEEN 0 AND hh-1)"""))
 def _(spark, sf):
     region = network(spark, sf, "emb").region
     return M.validate_mesh(M.half_edges(region), region)
@@ -394,10 +408,13 @@ def _(spark, sf):
 
 # ------------------------------------------------------------- mesh, continued
 
-@query("mesh_pointers", mesh_sql("emb", ["half"], """SELECT a.frame_id, a.hid, b.hid AS twin, n.hid AS next FROM half a
-    JOIN half b ON b.frame_id=a.frame_id AND b.o=a.d AND b.d=a.o
-    LEFT JOIN half n ON n.frame_id=a.frame_id AND n.o=a.d AND n.dir=(a.dir+3)%4
-      AND NOT (a.dir=0 AND a.oy=a.hh-1 OR a.dir=1 AND a.ox=a.w-1 OR a.dir=2 AND a.oy=0 OR a.dir=3 AND a.ox=0)"""))
+_HALVES = """hv AS MATERIALIZED (SELECT frame_id, w, hh, dir, vid*4+dir AS hid, vid AS o, vid+sx+sy*w AS d, x AS ox, y AS oy, x+sx AS dx, y+sy AS dy
+    FROM v, (VALUES (0,1,0),(1,0,-1),(2,-1,0),(3,0,1)) s(dir,sx,sy) WHERE x+sx BETWEEN 0 AND w-1 AND y+sy BETWEEN 0 AND hh-1)"""
+
+
+@query("mesh_pointers", mesh_sql("emb", ["v"], """SELECT frame_id, hid, d*4+(dir+2)%4 AS twin,
+    CASE WHEN NOT (dir=0 AND oy=hh-1 OR dir=1 AND ox=w-1 OR dir=2 AND oy=0 OR dir=3 AND ox=0)
+      AND CASE (dir+3)%4 WHEN 0 THEN dx<w-1 WHEN 1 THEN dy>0 WHEN 2 THEN dx>0 ELSE dy<hh-1 END THEN d*4+(dir+3)%4 END AS next FROM hv""", _HALVES))
 def _(spark, sf):
     region = network(spark, sf, "emb").region
     return M.pointers(M.half_edges(region), region)
@@ -630,12 +647,38 @@ def _(spark, sf):
 
 # ------------------------------------------------------------------ links, files
 
-@query("link_sequence_evt")
+_LINKS = """e AS MATERIALIZED (SELECT frame_id, delta, CASE WHEN sink<0 THEN 'b' ELSE 'm'||sink END AS vertex, 2*leg_id AS arrives, 2*leg_id+1 AS leaves FROM net
+    UNION ALL SELECT frame_id, delta, 's'||saddle_id, 2*leg_id+1, 2*leg_id FROM net),
+  held AS MATERIALIZED (SELECT *, vertex='b' OR delta < max(delta) OVER (PARTITION BY frame_id, vertex) AS is_held,
+    count(*) OVER (PARTITION BY frame_id, vertex, delta) AS n FROM e),
+  pass AS MATERIALIZED (SELECT p.frame_id, p.arrives AS id, q.leaves AS nxt FROM held p JOIN held q
+    ON q.frame_id=p.frame_id AND q.vertex=p.vertex AND q.delta=p.delta AND q.arrives<>p.arrives WHERE p.n=2 AND NOT p.is_held),
+  along AS (SELECT frame_id, leaves AS head, leaves AS id, CAST(0 AS BIGINT) AS pos FROM e
+      WHERE NOT EXISTS (SELECT 1 FROM pass p WHERE p.frame_id=e.frame_id AND p.nxt=e.leaves)
+    UNION ALL SELECT a.frame_id, a.head, p.nxt, a.pos+1 FROM along a JOIN pass p ON p.frame_id=a.frame_id AND p.id=a.id),
+  span AS MATERIALIZED (SELECT a.frame_id, head, max_by(a.id, a.pos) AS tail FROM along a GROUP BY 1,2),
+  joint AS MATERIALIZED (SELECT s.*, f.delta, f.vertex AS v0, t.vertex AS v1, f.is_held AS h0, t.is_held AS h1 FROM span s
+    JOIN held f ON f.frame_id=s.frame_id AND f.leaves=s.head JOIN held t ON t.frame_id=s.frame_id AND t.arrives=s.tail),
+  far AS (SELECT frame_id, delta, v0 AS vertex, 0 AS away FROM joint WHERE h0
+    UNION SELECT f.frame_id, f.delta, j.v1, away+1 FROM far f JOIN joint j ON j.frame_id=f.frame_id AND j.delta=f.delta AND j.v0=f.vertex WHERE away<60),
+  near AS MATERIALIZED (SELECT frame_id, delta, vertex, min(away) AS away FROM far GROUP BY 1,2,3),
+  link AS MATERIALIZED (SELECT j.frame_id, j.head, a.away IS NOT NULL AS attached FROM joint j
+    LEFT JOIN near a ON a.frame_id=j.frame_id AND a.delta=j.delta AND a.vertex=j.v0 LEFT JOIN near b ON b.frame_id=j.frame_id AND b.delta=j.delta AND b.vertex=j.v1
+    WHERE coalesce(a.away,99) < coalesce(b.away,99) OR (coalesce(a.away,99) = coalesce(b.away,99) AND j.tail <= xor(j.head, 1))),
+  seq AS MATERIALIZED (SELECT a.frame_id, a.head AS link_id, a.pos, a.id//2 AS edge_id, a.id%2=1 AS reversed, l.attached
+    FROM along a JOIN link l ON l.frame_id=a.frame_id AND l.head=a.head)"""
+
+
+@query("link_sequence_evt", mesh_sql("evt", ["net"], "SELECT * FROM seq", _LINKS))
 def _(spark, sf):
     return N.link_sequence(cut(network(spark, sf, "evt").edges)).select("frame_id", "link_id", "pos", "edge_id", "reversed", "attached")
 
 
-@query("link_points_evt")
+@query("link_points_evt", mesh_sql("evt", ["net", "walk"], """SELECT q.frame_id, q.link_id, q.before + CASE WHEN q.reversed THEN q.steps-p.pos ELSE p.pos END AS pos, v.x, v.y, v.h
+    FROM (SELECT s.*, n.steps, CAST(sum(n.steps) OVER (PARTITION BY s.frame_id, s.link_id ORDER BY s.pos) - n.steps AS BIGINT) AS before
+      FROM seq s JOIN (SELECT frame_id, leg_id, max(pos) AS steps FROM pts GROUP BY 1,2) n ON n.frame_id=s.frame_id AND n.leg_id=s.edge_id) q
+    JOIN pts p ON p.frame_id=q.frame_id AND p.leg_id=q.edge_id JOIN v ON v.frame_id=p.frame_id AND v.vid=p.vid
+    WHERE q.pos=0 OR CASE WHEN q.reversed THEN q.steps-p.pos ELSE p.pos END > 0""", _PTS + ",\n" + _LINKS))
 def _(spark, sf):
     net = network(spark, sf, "evt")
     return N.link_points(cut(N.link_sequence(cut(net.edges))), cut(net.points()))

@@ -160,10 +160,12 @@ def link_sequence(edges: DataFrame) -> DataFrame:
 
     Where exactly two edges of one delta meet, and no more significant one, at a
     vertex other than the boundary minimum, the link passes through; otherwise it
-    ends there.  Returns one row per edge (frame_id, link_id, pos, edge_id, reversed,
-    delta, attached): edges in order along their link, ``reversed`` if walked from
-    ``to`` to ``from``.  ``attached`` links start at the boundary minimum or at a more
-    significant edge.
+    ends there.  Links start where the network above them has already been: at the
+    boundary minimum, at a more significant edge, or where a link of the same delta ends
+    that is nearer to such a place.  Returns one row per edge (frame_id, link_id, pos,
+    edge_id, reversed, delta, attached): edges in order along their link, ``reversed`` if
+    walked from ``to`` to ``from``.  Links that nothing of the kind reaches are kept,
+    with ``attached`` false.
     """
     # a dart is an edge walked in one direction; 2*id walks from -> to, 2*id+1 back
     ends = edges.select("frame_id", "id", "delta", F.explode(F.array(
@@ -181,35 +183,58 @@ def link_sequence(edges: DataFrame) -> DataFrame:
     darts = edges.select("frame_id", F.explode(F.array(F.col("id") * 2, F.col("id") * 2 + 1)).alias("id"))
     nxt = cut(darts.join(through, ["frame_id", "id"], "left"), "darts")
     ranked = rank_lists(nxt)
-    # both walking directions of a link were ranked; keep the one that starts attached, else that ends at the smaller dart
+    # both walking directions of a link were ranked; one of them is kept
     opposite = ranked.select("frame_id", back("id").alias("id"), back("tail").alias("head"),
                              F.col("to_end").alias("from_start"))
-    starts = ends.join(top, ["frame_id", "vertex"]).select("frame_id", F.col("leaves").alias("dart"), (
-        (F.col("vertex") == "boundary") | (F.col("top") > F.col("delta"))).alias("held"))
-    ways = ranked.join(opposite, ["frame_id", "id"]).withColumn("rear", back("tail"))
-    for dart in ("head", "rear"):
-        ways = ways.join(starts.withColumnsRenamed({"dart": dart, "held": f"{dart}_held"}), ["frame_id", dart])
-    lists = ways.filter(F.when(F.col("head_held") == F.col("rear_held"), F.col("tail") <= back("head")).otherwise(F.col("head_held"))).select(
-        "frame_id", F.col("head").alias("link_id"), F.col("from_start").alias("pos"), "id")
+    ways = cut(ranked.join(opposite, ["frame_id", "id"]), "ways")
+    above = ends.join(top, ["frame_id", "vertex"]).withColumn("held", (F.col("vertex") == "boundary") | (F.col("top") > F.col("delta")))
+    starts = above.select("frame_id", F.col("leaves").alias("head"), "delta", F.col("vertex").alias("start"), F.col("held").alias("start_held"))
+    stops = above.select("frame_id", F.col("arrives").alias("tail"), F.col("vertex").alias("stop"), F.col("held").alias("stop_held"))
+    spans = cut(ways.filter("from_start = 0").select("frame_id", "head", "tail").join(starts, ["frame_id", "head"]).join(stops, ["frame_id", "tail"]), "spans")
+    near = _links_away(spans)
+    place = lambda c: F.coalesce(F.when(F.col(f"{c}_held"), 0).otherwise(F.col(f"{c}_away")), F.lit(2 ** 31 - 1))
+    for end in ("start", "stop"):
+        spans = spans.join(near.withColumnsRenamed({"vertex": end, "away": f"{end}_away"}), ["frame_id", "delta", end], "left")
+    chosen = spans.filter((place("start") < place("stop")) | ((place("start") == place("stop")) & (F.col("tail") <= back("head")))).select(
+        "frame_id", "head", (place("start") < 2 ** 31 - 1).alias("attached"))
+    lists = ways.join(chosen, ["frame_id", "head"]).select("frame_id", F.col("head").alias("link_id"), F.col("from_start").alias("pos"), "id", "attached")
     closed = cut(nxt.join(ranked, ["frame_id", "id"], "left_anti"), "rings")
     if not is_empty(closed):
         rings = rank_rings(closed)
         mirror = rings.select("frame_id", back("id").alias("id"), F.col("ring").alias("other"))
         lists = lists.unionByName(rings.join(mirror, ["frame_id", "id"]).filter("ring < other").select(
-            "frame_id", F.col("ring").alias("link_id"), "pos", "id"))
-    attached = ends.join(top, ["frame_id", "vertex"]).select(
-        "frame_id", F.expr("arrives div 2").alias("edge_id"),
-        ((F.col("vertex") == "boundary") | (F.col("top") > F.col("delta"))).alias("touch")).groupBy(
-        "frame_id", "edge_id").agg(F.max("touch").alias("touch"))
+            "frame_id", F.col("ring").alias("link_id"), "pos", "id", F.lit(False).alias("attached")))
     rows = lists.withColumn("edge_id", F.expr("id div 2")).withColumn("reversed", F.col("id") % 2 == 1)
-    rows = rows.join(attached, ["frame_id", "edge_id"]).join(
-        edges.select("frame_id", F.col("id").alias("edge_id"), "delta"), ["frame_id", "edge_id"])
-    rows = cut(rows, "links")
-    per_link = rows.groupBy("frame_id", "link_id").agg(F.max("touch").alias("attached"))
-    return rows.join(per_link, ["frame_id", "link_id"]).select(
+    return rows.join(edges.select("frame_id", F.col("id").alias("edge_id"), "delta"), ["frame_id", "edge_id"]).select(
         "frame_id", "link_id", "pos", "edge_id", "reversed", "delta", "attached")
 
 
+def _links_away(spans: DataFrame) -> DataFrame:
+    """(frame_id, delta, vertex, away): links between a vertex and the nearest held one, along links of one delta.
+
+    Only links with an end that is not held take part; a round meets the vertices of the
+    last two rounds only, as steps are undirected.
+    """
+    open_ = spans.filter("not start_held or not stop_held")
+    steps = cut(open_.select("frame_id", "delta", "start", "stop").unionByName(
+        open_.select("frame_id", "delta", F.col("stop").alias("start"), F.col("start").alias("stop"))), "steps")
+    held = open_.filter("start_held").select("frame_id", "delta", F.col("start").alias("vertex")).unionByName(
+        open_.filter("stop_held").select("frame_id", "delta", F.col("stop").alias("vertex"))).distinct()
+    key = ["frame_id", "delta", "vertex"]
+    last = cut(held.withColumn("away", F.lit(0)), "away")
+    before, found = last.limit(0), [last]
+    while not is_empty(last):
+        onward = last.withColumnRenamed("vertex", "start").join(steps, ["frame_id", "delta", "start"]).select(
+            "frame_id", "delta", F.col("stop").alias("vertex"), (F.col("away") + 1).alias("away")).distinct()
+        new = cut(onward.join(last.unionByName(before).select(*key), key, "left_anti"), "away")
+        before, last = last, new
+        found.append(new)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def link_points(link_rows: DataFrame, points: DataFrame) -> DataFrame:
     """Points of every link in order: (frame_id, link_id, pos, x, y, h); joints appear once."""
     sizes = points.groupBy("frame_id", "leg_id").agg(F.max("pos").alias("steps"))
