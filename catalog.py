@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from oracles import mesh_sql
+from terranet.functions import piecewise as PL, points as P
 from terranet.functions.piecewise import corner_function, corner_volume, pl_scale, pl_sum
 from terranet.functions.points import to_real_volume
 from terranet.operators import gradient as G, mergetree as MT, mesh as M, network as N, raster as R, region as B
@@ -724,3 +725,186 @@ def _(spark, sf):
     path = scratch_path(spark, "boundary")
     S.write_boundary(*B.default_boundary(frames), path)
     return S.read_boundary(spark, f"{path}/frame_id=*", frames, by="folder")[0]
+
+
+# ---------------------------------------------------- points, functions, boundaries
+
+def supplier_rectangles(spark: SparkSession, sf: str) -> DataFrame:
+    """A closed rectangle for every supplier, clockwise from the bottom left."""
+    sup = spark.read.parquet(f"{sf}/supplier.parquet").select(
+        "s_suppkey", F.col("s_nationkey").cast("int").alias("x0"), (F.col("s_suppkey") % 50).cast("int").alias("y0"),
+        (2 + F.col("s_suppkey") % 7).cast("int").alias("w"), (3 + F.col("s_nationkey") % 5).cast("int").alias("t"))
+    corner = [(0, 0, 1), (1, 0, 0), (2, 1, 0), (3, 1, 1), (4, 0, 1)]
+    points = F.array(*[F.struct(F.lit(p).alias("pos"), (F.col("x0") + fx * F.col("w")).alias("x"), (F.col("y0") + fy * F.col("t")).alias("y")) for p, fx, fy in corner])
+    return sup.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("boundary_id"), F.col("s_suppkey").cast("long").alias("key"), F.explode(points).alias("p")).select(
+        "boundary_id", "key", "p.*")
+
+
+_RECTANGLES = """rect AS MATERIALIZED (SELECT 's'||s_suppkey AS boundary_id, CAST(s_suppkey AS BIGINT) AS key, pos, CAST(s_nationkey+fx*(2+s_suppkey%7) AS INTEGER) AS x,
+    CAST(s_suppkey%50+fy*(3+s_nationkey%5) AS INTEGER) AS y FROM supplier, (VALUES (0,0,1),(1,0,0),(2,1,0),(3,1,1),(4,0,1)) t(pos,fx,fy))"""
+
+
+def sql_of_tables(final: str, *parts: str) -> str:
+    return "WITH " + ",\n".join(parts) + "\n" + final if parts else final
+
+
+@query("boundary_validity", sql_of_tables("SELECT boundary_id, key%3<>0 AS is_valid FROM rect GROUP BY boundary_id, key", _RECTANGLES))
+def _(spark, sf):
+    """Every third rectangle goes through its second corner twice."""
+    rows = supplier_rectangles(spark, sf)
+    second = rows.filter("pos = 1").select("boundary_id", F.col("x").alias("x1"), F.col("y").alias("y1"))
+    back = (F.col("key") % 3 == 0) & (F.col("pos") == 3)
+    return B.is_valid(rows.join(second, "boundary_id").select(
+        "boundary_id", "pos", F.when(back, F.col("x1")).otherwise(F.col("x")).alias("x"), F.when(back, F.col("y1")).otherwise(F.col("y")).alias("y")))
+
+
+@query("boundary_edits", sql_of_tables("""SELECT 'move' AS edit, boundary_id, pos, CASE WHEN pos IN (0,4) THEN 100 ELSE x END AS x, CASE WHEN pos IN (0,4) THEN 200 ELSE y END AS y FROM rect
+    UNION ALL SELECT 'insert', boundary_id, pos+CASE WHEN pos>=2 THEN 1 ELSE 0 END, x, y FROM rect UNION ALL SELECT 'insert', boundary_id, 2, 5, 6 FROM rect WHERE pos=0
+    UNION ALL SELECT 'remove', boundary_id, pos-1, x, y FROM rect WHERE pos BETWEEN 1 AND 3 UNION ALL SELECT 'remove', boundary_id, 3, x, y FROM rect WHERE pos=1""", _RECTANGLES))
+def _(spark, sf):
+    rows = supplier_rectangles(spark, sf).drop("key")
+    none = spark.createDataFrame([], "boundary_id string, region_id int, start_pos int, end_pos int")
+    edits = {"move": B.move_point(rows, 0, 100, 200), "insert": B.insert_point(rows, none, 2, 5, 6)[0], "remove": B.remove_point(rows, none, 0)[0]}
+    out = None
+    for name, path in edits.items():
+        path = path.select(F.lit(name).alias("edit"), "boundary_id", "pos", "x", "y")
+        out = path if out is None else out.unionByName(path)
+    return out
+
+
+@query("boundary_concat", sql_of_tables("SELECT boundary_id, pos, x, y FROM rect WHERE pos<=2 OR key%2=1", _RECTANGLES))
+def _(spark, sf):
+    """The second half starts where the first ends, but for even keys."""
+    rows = supplier_rectangles(spark, sf)
+    rest = rows.filter("pos >= 2").select("boundary_id", (F.col("pos") - 2).alias("pos"), (F.col("x") + (F.col("key") % 2 == 0).cast("int")).alias("x"), "y")
+    return B.concat_paths(rows.filter("pos <= 2").drop("key"), rest)
+
+
+@query("boundary_without_spikes", sql_of_tables("SELECT boundary_id, pos, x, y FROM rect", _RECTANGLES))
+def _(spark, sf):
+    """Each rectangle with a spike out of its second corner and its third corner twice."""
+    rows = supplier_rectangles(spark, sf)
+    here = F.struct("x", "y")
+    out = F.struct((F.col("x") - 9).alias("x"), (F.col("y") - 9).alias("y"))
+    further = F.struct((F.col("x") - 10).alias("x"), (F.col("y") - 9).alias("y"))
+    points = F.when(F.col("pos") == 1, F.array(here, out, further, out, here)).when(F.col("pos") == 2, F.array(here, here)).otherwise(F.array(here))
+    return B.remove_spikes(rows.select("boundary_id", F.col("pos").alias("_p"), F.posexplode(points).alias("_k", "p")).select(
+        "boundary_id", (F.col("_p") * 10 + F.col("_k")).alias("pos"), "p.x", "p.y"))
+
+
+@query("points_in_raster", mesh_sql("emb", ["frames"], """SELECT s_suppkey, x, y, x>=0 AND x<w AND y>=0 AND y<hh AS inside,
+    CAST(greatest(0, least(x, w-1)) AS INTEGER) AS clamped_x, CAST(greatest(0, least(y, hh-1)) AS INTEGER) AS clamped_y
+    FROM (SELECT s_suppkey, CAST(s_nationkey*3-5 AS INTEGER) AS x, CAST(s_suppkey*9-70 AS INTEGER) AS y FROM supplier), frames"""))
+def _(spark, sf):
+    frames = RASTER["emb"](spark, sf)[1]
+    spots = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", F.lit("emb").alias("frame_id"), (F.col("s_nationkey") * 3 - 5).cast("int").alias("x"),
+                                                                (F.col("s_suppkey") * 9 - 70).cast("int").alias("y")).join(frames, "frame_id")
+    x, y, w, h = (F.col(c) for c in ("x", "y", "width", "height"))
+    return spots.select("s_suppkey", "x", "y", P.in_bounds(x, y, w, h).alias("inside"), P.clamp(x, w).cast("int").alias("clamped_x"), P.clamp(y, h).cast("int").alias("clamped_y"))
+
+
+@query("point_midpoints", """SELECT s_suppkey, CAST(trunc((s_nationkey-20+s_suppkey%9)/2.0) AS INTEGER) AS x, CAST(trunc((3-s_suppkey)/2.0) AS INTEGER) AS y FROM supplier""")
+def _(spark, sf):
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    mid = P.midpoint(F.col("s_nationkey") - 20, F.lit(3), F.col("s_suppkey") % 9, -F.col("s_suppkey"))
+    return s.select("s_suppkey", mid.alias("m")).select("s_suppkey", "m.x", "m.y")
+
+
+@query("raster_corners", mesh_sql("evt", ["frames"], """SELECT frame_id, k, CAST(CASE WHEN k IN (1,2) THEN w-1 ELSE 0 END AS INTEGER) AS x,
+    CAST(CASE WHEN k>=2 THEN hh-1 ELSE 0 END AS INTEGER) AS y FROM frames, (VALUES (0),(1),(2),(3)) t(k)"""))
+def _(spark, sf):
+    frames = RASTER["evt"](spark, sf)[1]
+    return frames.select("frame_id", F.posexplode(P.corner_coordinates(F.col("width"), F.col("height"))).alias("k", "c")).select(
+        "frame_id", "k", F.col("c.x").cast("int").alias("x"), F.col("c.y").cast("int").alias("y"))
+
+
+@query("point_arithmetic", mesh_sql("evt", ["minima"], """SELECT frame_id, vid, 3*h-2*h AS h, 3.0::DOUBLE*x-(x+1) AS x, 3.0::DOUBLE*y-(y+2) AS y,
+    (2*h)/(2.5*4.0) AS per_area FROM minima"""))
+def _(spark, sf):
+    """Three times a point less another one, and a volume by area."""
+    rows = network(spark, sf, "evt").flow.minima()
+    p = P.point(F.col("h"), F.col("x"), F.col("y"))
+    q = P.point(2 * F.col("h"), F.col("x") + 1, F.col("y") + 2)
+    r = P.point_subtract(P.point_add(p, P.point_scale(p, 2.0)), q)
+    area = P.from_real_volume(2 * F.col("h"), F.lit(2.5), F.lit(4.0))
+    return rows.select("frame_id", "vid", r.alias("r"), area.alias("per_area")).select("frame_id", "vid", "r.h", "r.x", "r.y", "per_area")
+
+
+@query("compact_minima", mesh_sql("evt", ["minima"], """SELECT frame_id, vid, row_number() OVER (PARTITION BY frame_id ORDER BY h DESC, vid) - 1 AS n FROM minima"""))
+def _(spark, sf):
+    return S.compact_ids(network(spark, sf, "evt").flow.minima().select("frame_id", "vid", "h"), [F.col("h").desc(), F.col("vid").asc()], "n").select("frame_id", "vid", "n")
+
+
+_CORNERS_DOWN = """c AS MATERIALIZED (SELECT frame_id, fid, h, row_number() OVER w AS k, sum(h) OVER (w ROWS UNBOUNDED PRECEDING) AS above
+    FROM fc WINDOW w AS (PARTITION BY frame_id, fid ORDER BY h DESC))"""
+
+
+@query("face_functions", mesh_sql("evt", ["fc"], """SELECT f.frame_id, f.fid, sum(0.25*greatest(f.h-10000, 0)) AS volume,
+      coalesce(sum(0.25*(f.h-12000)) FILTER (f.h>=10000), 0) AS pruned, 0.0::DOUBLE AS zero_above, sum(0.25*greatest(f.h-8000, 0)) AS below,
+      max(s.height) AS height
+    FROM fc f LEFT JOIN (SELECT a.frame_id, a.fid, (1000.0::DOUBLE-0.25::DOUBLE*max_by(above, k))/(-0.25::DOUBLE*max(k)) AS height FROM c a
+      WHERE 0.25*(above-k*h) < 1000 GROUP BY 1,2) s ON s.frame_id=f.frame_id AND s.fid=f.fid GROUP BY 1,2""", _CORNERS_DOWN))
+def _(spark, sf):
+    """The volume function of every face: its value, cut off in two ways, and the height that a volume reaches."""
+    g = G.gradient(network(spark, sf, "evt").region).filter("fedge is not null")
+    corner = [corner_function(F.col(c)) for c in ("h", "rh", "xh", "dh")]
+    rows = g.select("frame_id", F.col("vid").alias("fid"), PL.pl_add(corner[0], corner[1]).alias("p"), PL.pl_add(corner[2], corner[3]).alias("q"))
+    rows = cut(rows.select("frame_id", "fid", PL.pl_add(F.col("p"), F.col("q")).alias("f")), "functions")
+    f = F.col("f")
+    at = lambda fn, h: PL.pl_eval(fn, F.lit(float(h)))
+    level = F.lit(10_000.0)
+    return rows.select("frame_id", "fid", at(f, 10_000).alias("volume"), at(PL.pl_prune(f, level), 12_000).alias("pruned"),
+                       at(PL.pl_zero_above(f, level), 12_000).alias("zero_above"), at(PL.pl_zero_above(f, level), 8_000).alias("below"),
+                       PL.pl_height_for_volume(f, F.lit(1000.0)).alias("height"))
+
+
+# -------------------------------------------------------------------- text files
+
+def _grid_lines(cells: DataFrame, header: Column, value: Column) -> DataFrame:
+    """Lines of text grids: a header line per frame and a line per row."""
+    rows = cells.withColumn("v", value).groupBy("frame_id", "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda p: p["v"]), " ").alias("line"))
+    size = cells.groupBy("frame_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("hh"))
+    return size.select("frame_id", F.lit(-1).alias("n"), header.alias("line")).unionByName(rows.select("frame_id", F.col("y").alias("n"), "line"))
+
+
+@query("esri_decimal_comma", mesh_sql("evt", [], "SELECT frame_id, x, y, h+0.5 AS h FROM cells"))
+def _(spark, sf):
+    path = scratch_path(spark, "comma")
+    header = F.concat_ws(" ", F.lit("ncols"), "w", F.lit("nrows"), "hh", F.lit("cellsize 2,5 nodata_value -9999"))
+    S._write_lines(_grid_lines(RASTER["evt"](spark, sf)[0], header, F.concat(F.col("h").cast("long").cast("string"), F.lit(",5"))), path, ["n"])
+    return S.read_esri_grid(spark, f"{path}/frame_id=*", by="folder")[0].select("frame_id", "x", "y", "h")
+
+
+@query("esri_rejects", mesh_sql("evt", ["frames"], """SELECT frame_id AS file, (['ncols missing', 'nrows missing', 'wrong number of elevations', 'nodata_value missing'])
+    [CAST((row_number() OVER (ORDER BY frame_id)-1)%4+1 AS INTEGER)] AS error FROM frames"""))
+def _(spark, sf):
+    """Each frame is written with one defect, in the order of their names."""
+    cells = RASTER["evt"](spark, sf)[0]
+    names = [r["frame_id"] for r in cells.select("frame_id").distinct().orderBy("frame_id").collect()]  # five event types
+    kind = F.element_at(F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (n, k % 4)]), F.col("frame_id"))
+    header = F.concat_ws(" ", F.when(kind != 0, F.concat_ws(" ", F.lit("ncols"), "w")), F.when(kind != 1, F.concat_ws(" ", F.lit("nrows"), F.when(kind == 2, F.col("hh") + 1).otherwise(F.col("hh")))),
+                         F.lit("cellsize 1"), F.when(kind != 3, F.lit("nodata_value -9999")))
+    path = scratch_path(spark, "rejects")
+    S._write_lines(_grid_lines(cells, header, F.col("h").cast("long").cast("string")), path, ["n"])
+    return S.read_esri_grid(spark, f"{path}/frame_id=*", by="folder")[2].select("file", "error")
+
+
+@query("text_dem_round_trip", mesh_sql("evt", [], "SELECT frame_id, x, y, h FROM cells"))
+def _(spark, sf):
+    path = scratch_path(spark, "dem")
+    header = F.concat_ws(" ", "w", "hh", F.lit("1 1 0 1"))
+    S._write_lines(_grid_lines(RASTER["evt"](spark, sf)[0], header, F.col("h").cast("string")), path, ["n"])
+    return S.read_text_dem(spark, f"{path}/frame_id=*", by="folder")[0].select("frame_id", "x", "y", "h")
+
+
+@query("graph_file_lines", mesh_sql("evt", ["minima", "sad"], """SELECT frame_id, 1+m.n+s.n AS n_vertices, 2*s.n AS n_edges, 2+1+m.n+s.n+2*s.n AS n_lines
+    FROM (SELECT frame_id, count(*) AS n FROM minima GROUP BY 1) m JOIN (SELECT frame_id, count(*) AS n FROM sad GROUP BY 1) s USING (frame_id)"""))
+def _(spark, sf):
+    """Counts that the written network files name, and their lines."""
+    net = network(spark, sf, "evt")
+    path = scratch_path(spark, "graph")
+    S.write_graph(net.vertices, net.edges, net.points(), net.frames, path)
+    lines = spark.read.text(f"{path}/frame_id=*").select(F.regexp_extract(F.input_file_name(), r"frame_id=([^/]*)/", 1).alias("frame_id"), F.split("value", " ").alias("t"))
+    number = F.when(F.size("t") == 1, F.col("t")[0].cast("long"))
+    return lines.groupBy("frame_id").agg(F.min(number).alias("a"), F.max(number).alias("b"), F.max(F.when(F.size("t") == 3, F.col("t")[0].cast("long"))).alias("last"), F.count("*").alias("n_lines")).select(
+        "frame_id", (F.col("last") + 1).alias("n_vertices"), (F.col("a") + F.col("b") - F.col("last") - 1).alias("n_edges"), "n_lines")

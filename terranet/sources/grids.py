@@ -149,12 +149,12 @@ def read_esri_grid(spark: SparkSession, paths: str | list[str], decimal: str = "
     return cells, frames, rejects.unionByName(_report(missing, spark))
 
 
-def read_text_dem(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_text_dem(spark: SparkSession, paths: str | list[str], by: str = "file") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Read plain text rasters (w h xRes yRes min max, then values) into (cells, frames, rejects)."""
     found, missing = existing(spark, paths)
     if not found:
         raise FileNotFoundError(f"no such file: {missing}")
-    words = cut(tokens(spark, found), "tokens")
+    words = cut(tokens(spark, found, by), "tokens")
     names = ["w", "h", "x_res", "y_res", "low", "high"]
     facts = words.groupBy("frame_id").agg(
         F.count("*").alias("total"), F.min(F.col("token").rlike(NUMBER)).alias("numeric"),
