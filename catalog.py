@@ -858,6 +858,35 @@ def _(spark, sf):
                        PL.pl_height_for_volume(f, F.lit(1000.0)).alias("height"))
 
 
+def _rectangles_as_one(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All rectangles as one long path, and points near and far from it."""
+    path = supplier_rectangles(spark, sf).select(F.lit("all").alias("boundary_id"), (F.col("key") * 10 + F.col("pos")).alias("pos"), "x", "y")
+    sup = spark.read.parquet(f"{sf}/supplier.parquet")
+    spots = [(F.col("s_suppkey"), F.col("s_nationkey") * 2, F.col("s_suppkey") % 61), (F.col("s_suppkey") + 1_000_000, F.col("s_suppkey") * 7 - 100, 300 - F.col("s_suppkey") * 5)]
+    points = None
+    for k, x, y in spots:
+        part = sup.select(k.cast("long").alias("point_id"), F.lit("all").alias("boundary_id"), x.cast("int").alias("px"), y.cast("int").alias("py"))
+        points = part if points is None else points.unionByName(part)
+    return path, points
+
+
+_NEAR = _RECTANGLES + """, spot AS (SELECT CAST(s_suppkey AS BIGINT) AS point_id, s_nationkey*2 AS px, s_suppkey%61 AS py FROM supplier
+    UNION ALL SELECT s_suppkey+1000000, s_suppkey*7-100, 300-s_suppkey*5 FROM supplier)"""
+
+
+@query("closest_vertex_far_and_near", sql_of_tables("""SELECT point_id, CAST(min((d, pos))[2] AS BIGINT) AS pos, sqrt(CAST(min(d) AS DOUBLE)) AS distance FROM (
+    SELECT point_id, key*10+pos AS pos, (x-px)*(x-px)+(y-py)*(y-py) AS d FROM spot, rect) GROUP BY 1""", _NEAR))
+def _(spark, sf):
+    return B.closest_to(*_rectangles_as_one(spark, sf)).drop("boundary_id")
+
+
+@query("closest_segment_below_limit", sql_of_tables("""SELECT point_id, CAST(min((d, pos))[2] AS BIGINT) AS pos, CAST(min(d)/2.0 AS DOUBLE) AS distance FROM (
+    SELECT point_id, a.key*10+a.pos AS pos, abs(a.x+b.x-2*px)+abs(a.y+b.y-2*py) AS d FROM spot, rect a JOIN rect b ON b.key=a.key AND b.pos=a.pos+1) WHERE d < 60 GROUP BY 1""", _NEAR))
+def _(spark, sf):
+    path, points = _rectangles_as_one(spark, sf)
+    return B.closest_segment(path, points, 30.0).drop("boundary_id")
+
+
 # -------------------------------------------------------------------- text files
 
 def _grid_lines(cells: DataFrame, header: Column, value: Column) -> DataFrame:

@@ -95,6 +95,41 @@ def remove_spikes(boundary: DataFrame) -> DataFrame:
     return boundary.select("boundary_id", "pos", "x", "y").groupBy("boundary_id").applyInPandas(_without_spikes, BOUNDARY)
 
 
+def _nearest(targets: DataFrame, points: DataFrame, squared: bool, limit: float | None) -> DataFrame:
+    """(point_id, boundary_id, pos, d) of the nearest target of each point, the first of equally near ones.
+
+    ``targets`` (boundary_id, pos, tx, ty) have whole coordinates, ``points`` (point_id,
+    boundary_id, px, py) any; d is the squared Euclidean or the L1 distance, below ``limit``.
+    Squares that hold targets are divided by four in each direction at a time.  A point only
+    follows squares whose nearest corner is not farther than the farthest corner of another.
+    """
+    spots = cut(targets.groupBy("boundary_id", F.col("tx").cast("long").alias("tx"), F.col("ty").cast("long").alias("ty")).agg(F.min("pos").alias("pos")), "spots")
+    widest = spots.agg(F.max(F.greatest(F.abs("tx"), F.abs("ty")))).first()[0] or 0
+    top = -(-(widest + 1).bit_length() // 2) * 2
+    roots = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("cx"), F.lit(j).cast("long").alias("cy")) for i in (-1, 0) for j in (-1, 0)]))
+    rows = points.select("point_id", "boundary_id", "px", "py", roots.alias("c")).select("*", "c.cx", "c.cy").drop("c")
+    own = Window.partitionBy("boundary_id", "point_id")
+    for level in range(top - 2, -1, -2):
+        low_corner = lambda c: F.shiftleft(c, level)
+        at = lambda c, shift: F.shiftright(c, shift)
+        squares = spots.select("boundary_id", at("tx", level + 2).alias("cx"), at("ty", level + 2).alias("cy"), at("tx", level).alias("nx"), at("ty", level).alias("ny"),
+                               *(["pos"] if level == 0 else [])).distinct()
+        rows = rows.join(squares, ["boundary_id", "cx", "cy"])
+        parts = []
+        for p, c in (("px", "nx"), ("py", "ny")):
+            first = low_corner(F.col(c)).cast("double")
+            last = first + float((1 << level) - 1)
+            parts.append((F.greatest(F.lit(0.0), first - F.col(p), F.col(p) - last), F.greatest(F.abs(F.col(p) - first), F.abs(F.col(p) - last))))
+        size = (lambda x, y: x * x + y * y) if squared else (lambda x, y: x + y)
+        rows = rows.withColumns({"lo": size(parts[0][0], parts[1][0]), "hi": size(parts[0][1], parts[1][1])})
+        if limit is not None:
+            rows = rows.filter((F.sqrt("lo") if squared else F.col("lo")) < limit)
+        rows = rows.withColumn("best", F.min("hi").over(own)).filter("lo <= best").select(
+            "point_id", "boundary_id", "px", "py", F.col("nx").alias("cx"), F.col("ny").alias("cy"), "lo", *(["pos"] if level == 0 else []))
+    return rows.groupBy("point_id", "boundary_id").agg(F.min(F.struct("lo", "pos")).alias("m")).select(
+        "point_id", "boundary_id", F.col("m.pos").alias("pos"), F.col("m.lo").alias("d"))
+
+
 def closest_to(paths: DataFrame, points: DataFrame, limit: float | None = None, where: Column | None = None) -> DataFrame:
     """Nearest path vertex of each point, the first of equally near ones.
 
@@ -103,22 +138,17 @@ def closest_to(paths: DataFrame, points: DataFrame, limit: float | None = None,
     pos, distance).
     """
     rows = paths if where is None else paths.filter(where)
-    near = rows.join(points, "boundary_id").withColumn(
-        "d2", squared_distance(F.col("x"), F.col("y"), F.col("px"), F.col("py")).cast("double"))
-    if limit is not None:
-        near = near.filter(F.sqrt("d2") < limit)
-    return near.groupBy("point_id", "boundary_id").agg(F.min(F.struct("d2", "pos")).alias("m")).select(
-        "point_id", "boundary_id", F.col("m.pos").alias("pos"), F.sqrt("m.d2").alias("distance"))
+    near = _nearest(rows.select("boundary_id", "pos", F.col("x").alias("tx"), F.col("y").alias("ty")), points, True, limit)
+    return near.select("point_id", "boundary_id", "pos", F.sqrt("d").alias("distance"))
 
 
-def closest_segment(paths: DataFrame, points: DataFrame, limit: float) -> DataFrame:
+def closest_segment(paths: DataFrame, points: DataFrame, limit: float | None = None) -> DataFrame:
     """Segment whose midpoint is nearest in L1 distance, below ``limit``."""
-    mid = segments(paths).select("boundary_id", "pos", ((F.col("x") + F.col("x2")) / 2).alias("mx"),
-                                 ((F.col("y") + F.col("y2")) / 2).alias("my"))
-    near = mid.join(points, "boundary_id").withColumn(
-        "d", F.abs(F.col("mx") - F.col("px")) + F.abs(F.col("my") - F.col("py"))).filter(F.col("d") < limit)
-    return near.groupBy("point_id", "boundary_id").agg(F.min(F.struct("d", "pos")).alias("m")).select(
-        "point_id", "boundary_id", F.col("m.pos").alias("pos"), F.col("m.d").alias("distance"))
+    # everything twice as large, so that midpoints are whole
+    mid = segments(paths).select("boundary_id", "pos", (F.col("x") + F.col("x2")).alias("tx"), (F.col("y") + F.col("y2")).alias("ty"))
+    twice = points.withColumns({"px": F.col("px") * 2, "py": F.col("py") * 2})
+    near = _nearest(mid, twice, False, None if limit is None else 2 * limit)
+    return near.select("point_id", "boundary_id", "pos", (F.col("d") / 2).alias("distance"))
 
 
 def rasterize(boundary: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -174,3 +174,31 @@ def test_components_and_bfs(spark):
     assert got == comp
     hops = {r.id: r.hops for r in bfs_distance(df, spark.createDataFrame([("f", 99)], "frame_id string, id long"), 5).collect()}
     assert hops == {99: 0, **{i: 1 for i in range(100, 120)}}
+
+
+def test_nearest_against_all_pairs(spark):
+    """Random vertices, many of them equally near, negative coordinates, and a plan without a join by boundary only."""
+    import random
+    rng = random.Random(3)
+    path = [(b, k, rng.randrange(-40, 300), rng.randrange(-40, 90)) for b in "ab" for k in range(120)]
+    points = [(k, rng.choice("abc"), rng.randrange(-900, 900), rng.randrange(-50, 100)) for k in range(150)]
+    rows = spark.createDataFrame(path, "boundary_id string, pos int, x int, y int")
+    probes = spark.createDataFrame(points, "point_id int, boundary_id string, px int, py int")
+    for limit in (None, 25.0):
+        found = B.closest_to(rows, probes, limit)
+        want = {}
+        for k, b, px, py in points:
+            near = min(((x - px) ** 2 + (y - py) ** 2, p) for c, p, x, y in path if c == b) if b != "c" else None
+            if near and (limit is None or near[0] ** 0.5 < limit):
+                want[k] = near[1]
+        assert {r.point_id: r.pos for r in found.collect()} == want
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in x]
+    assert joins and all("cx" in x for x in joins)
+    segs = [(b, k, (x + u) / 2, (y + v) / 2) for (b, k, x, y), (c, _, u, v) in zip(path, path[1:]) if b == c]
+    got = {r.point_id: (r.pos, r.distance) for r in B.closest_segment(rows, probes, 40.0).collect()}
+    want = {}
+    for k, b, px, py in points:
+        near = min(((abs(x - px) + abs(y - py), p) for c, p, x, y in segs if c == b), default=None)
+        if near and near[0] < 40:
+            want[k] = (near[1], near[0])
+    assert got == want
