@@ -306,9 +306,12 @@ def _write(file, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
-def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
+def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, by_id: bool = True) -> None:
     """Encode ``text`` and write the file set to ``path``, in ascending doc_id order.
 
+    Without ``by_id`` documents stay in the partitions and the order they come in, as
+    those of a shuffled mix should, and are not moved.
+
     Nulls count as empty texts and as the smallest ids; equal ids are ordered by
     text.  ``tokenizer`` is a file of the tokenizers library; every document ends
     with ``end_id``.  Other columns are ignored.
@@ -316,7 +319,8 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     with open(tokenizer) as f:
         file = documents.sparkSession.sparkContext.broadcast(f.read())
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    if by_id:
+        rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     rows.mapInArrow(words.lean(_write(file, end_id)), SEGMENTS).write.parquet(path)
 
 
@@ -369,14 +373,14 @@ def token_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
         pick, "place long, token long")
 
 
-def encoded_documents(documents: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
+def encoded_documents(documents: DataFrame, tokenizer: str | None = None, path: str | None = None, by_id: bool = True) -> DataFrame:
     """Write the token file set of ``documents`` and read it back, one row per document."""
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     path = path or scratch_path(documents.sparkSession, "tokens")
-    write_tokens(documents, path, tokenizer)
+    write_tokens(documents, path, tokenizer, by_id=by_id)
     return read_documents(documents.sparkSession, path)
 
 

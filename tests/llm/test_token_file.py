@@ -80,3 +80,13 @@ def test_what_is_learnt_stays_in_the_worker(spark):
 
     texts = spark.range(64).repartition(64).selectExpr("concat('word', id) as text")
     assert sum(r["before"] > 0 for r in texts.mapInArrow(run, "before long").collect()) > 20
+
+
+def test_order_of_the_input_stays(spark, tokenizer):
+    """A mix that is written in shards keeps its order in the token files."""
+    texts = [(k * 37 % 100, f"text {k} " * (k % 7)) for k in range(100)]
+    path = scratch_path(spark, "ordered")
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(path)
+    got = sorted(T.encoded_documents(spark.read.parquet(path), FILE, by_id=False).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [d for d, _ in texts]
+    assert [r["n_tokens"] for r in got] == [len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in texts]
