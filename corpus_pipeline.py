@@ -35,8 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
-    return token_file.encoded_documents(docs)
+    """Token files of the mix in its shuffled order, read back: doc_id, start, n_tokens, ids_crc32."""
+    return token_file.encoded_documents(docs, by_id=False)
 
 
 STAGES = [
