@@ -172,13 +172,29 @@ def test_links_cover_edges_once(spark, net):
         F.count("*").alias("n"), F.max("pos").alias("m")).filter("n <> m + 1")
     assert lp.count() == 0
     assert any(math.isinf(r.delta) and r.attached for r in rows)
-    # a link is attached at its start or nowhere, and never inside
+    # no link passes a held vertex; each starts at the end that is nearer to one, along links of its delta
     most = {}
     for r in by_edge.values():
         for v in (r.from_id, r.to_id):
             most[r.frame_id, v] = max(most.get((r.frame_id, v), 0.0), r.delta)
+    spans = {}
     for r in rows:
         e = by_edge[r.frame_id, r.edge_id]
-        start = e.to_id if r.reversed else e.from_id
+        start, end = (e.to_id, e.from_id) if r.reversed else (e.from_id, e.to_id)
         held = start == "boundary" or most[r.frame_id, start] > r.delta
-        assert held == (r.attached and r.pos == 0)
+        assert not (held and r.pos > 0)
+        first = spans.get((r.frame_id, r.link_id), (start,))[0]
+        spans[r.frame_id, r.link_id] = (first, end, r.delta, r.attached)
+    away = {(f, d, v): 0 for (f, _), (v0, v1, d, _) in spans.items() for v in (v0, v1) if v == "boundary" or most[f, v] > d}
+    while True:
+        more = {(f, d, b): away[f, d, a] + 1 for (f, _), (v0, v1, d, _) in spans.items() for a, b in ((v0, v1), (v1, v0))
+                if (f, d, a) in away and away[f, d, a] + 1 < away.get((f, d, b), math.inf)}
+        if not more:
+            break
+        away |= more
+    far = 0
+    for (f, _), (v0, v1, d, attached) in spans.items():
+        start, end = (away.get((f, d, v), math.inf) for v in (v0, v1))
+        assert start <= end and attached == (start < math.inf)
+        far += 0 < start < math.inf
+    assert far  # some links start where others of their delta end
