@@ -61,6 +61,7 @@ def main() -> None:
         "morse_cells_emb": lambda: drain(extract_network(*emb()).flow.cell_faces()),
         "merge_tree_emb": tree,
         "network_emb": lambda: drain(extract_network(*emb()).edges),
+        "leg_points_emb": lambda: drain(extract_network(*emb()).points()),
         "network_evt": lambda: drain(extract_network(*evt()).edges),
         "data_regions_li": lambda: drain(B.data_regions(tables.lineitem_raster(spark, SF_DIR)[0])),
         "network_emb_x4": lambda: drain(extract_network(*tiled(*emb(), 4)).edges),
