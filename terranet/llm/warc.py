@@ -231,7 +231,10 @@ def read_archives(files: DataFrame, chunk: int = CHUNK, with_data: bool = True)
     ``chunk`` is null without ``with_data``.
     """
     listed = files.select("file")
-    return listed.repartitionByRange(max(1, listed.count()), "file").mapInArrow(_read(chunk, with_data), CHUNKS)
+    n = listed.count()
+    # a task for each file, or for some sixteen of them where there are more than tasks at a time
+    tasks = max(1, min(n, max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // 16))))
+    return listed.repartitionByRange(tasks, "file").mapInArrow(_read(chunk, with_data), CHUNKS)
 
 
 def archived_pages(pages: DataFrame, least: int = LEAST_REVISIT, folder: str | None = None) -> DataFrame:
@@ -240,7 +243,11 @@ def archived_pages(pages: DataFrame, least: int = LEAST_REVISIT, folder: str | N
     The digest and length of a response come from its stored payload, those of a
     revisit from its header.  Other columns are ignored.
     """
-    files = write_archives(record_chunks(pages, least), folder or scratch_path(pages.sparkSession, "warc"))
+    spark = pages.sparkSession
+    folder = folder or scratch_path(spark, "warc")
+    if not urlsplit(folder).scheme and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"on a cluster archives need a folder with its scheme, as file:// or hdfs://: {folder}")
+    files = write_archives(record_chunks(pages, least), folder)
     rows = read_archives(files, with_data=False).filter("last")
     return rows.select("page_id", "payload_bytes", F.when(F.col("record_type") == "response", F.col("digest_so_far")).otherwise(
         F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
