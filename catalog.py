@@ -13,6 +13,7 @@ from terranet.functions import piecewise as PL, points as P
 from terranet.functions.piecewise import corner_function, corner_volume, pl_scale, pl_sum
 from terranet.functions.points import to_real_volume
 from terranet.operators import gradient as G, mergetree as MT, mesh as M, network as N, raster as R, region as B
+from terranet.operators.fingers import edge_volumes, face_tree
 from terranet.operators.simplify import simplified_gradient
 from terranet.plans.components import bfs_distance
 from terranet.plans.extract import Network, extract_network
@@ -329,6 +330,27 @@ def _(spark, sf):
     return simplified(spark, sf, "evt", 20_000.0).lost
 
 
+# ---------------------------------------------------------------------- fingers
+
+# trees of faces with a maximum of their own: both directions of every edge, and what a walk from each reaches
+_TREES = """tree AS MATERIALIZED (SELECT p.frame_id, p.fid, p.hid, p.other, p.hi.h AS e FROM fp p JOIN cellof c USING (frame_id, fid) WHERE c.cell >= 0)"""
+_SIDES = """ways AS MATERIALIZED (SELECT frame_id, hid, fid AS f, other AS g, e FROM tree
+    UNION ALL SELECT t.frame_id, CASE hid % 4 WHEN 0 THEN (fid+1)*4+2 WHEN 3 THEN (fid+1+w)*4+1 WHEN 2 THEN (fid+w)*4 ELSE fid*4+3 END, other, fid, e
+      FROM tree t JOIN frames USING (frame_id)),
+  side AS (SELECT frame_id, hid, f, g AS came, e FROM ways
+    UNION ALL SELECT s.frame_id, s.hid, n.f, s.f, least(s.e, n.e) FROM side s JOIN ways n ON n.frame_id=s.frame_id AND n.g=s.f AND n.f<>s.came),
+  chg AS MATERIALIZED (SELECT s.frame_id, s.hid, least(s.e, c.h) AS bp, sum(0.25*c.h) AS d0, sum(CAST(-0.25 AS DOUBLE)) AS d1
+    FROM side s JOIN fc c ON c.frame_id=s.frame_id AND c.fid=s.f GROUP BY 1,2,3),
+  vols AS MATERIALIZED (SELECT frame_id, hid, bp, sum(d0) OVER down AS c0, sum(d1) OVER down AS c1 FROM chg WINDOW down AS (PARTITION BY frame_id, hid ORDER BY bp DESC))"""
+
+
+@query("edge_volumes_evt", mesh_sql("evt", ["fp", "cellof"], "SELECT * FROM vols", _TREES + ",\n  " + _SIDES))
+def _(spark, sf):
+    net = network(spark, sf, "evt")
+    volumes = edge_volumes(cut(face_tree(net.flow), "tree"), tile=net.tile)
+    return volumes.select("frame_id", "hid", F.explode("volume").alias("p")).select("frame_id", "hid", "p.*").filter("bp < double('inf')")
+
+
 # ---------------------------------------------------------------------- network
 
 _NAMES = ("'s'||saddle_id AS from_id, CASE WHEN sink<0 THEN 'boundary' ELSE 'm'||sink END AS to_id")
