@@ -24,11 +24,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from terranet.functions.piecewise import INF, pl_height_for_volume
+from terranet.functions.piecewise import INF, pl_eval, pl_height_for_volume
 from terranet.operators.flow import Flow
 from terranet.operators.mesh import DOWN, LEFT, RIGHT, UP
+from terranet.operators.simplify import OUTER, Simplified
 from terranet.operators.stencil import TILE
+from terranet.plans.components import components
+from terranet.plans.forest import follow_local, jump, settle_exits, settled
 from terranet.plans.scratch import cut
+from terranet.plans.tours import intervals, tour, within
 
 FAN = 2  # four by four tiles to the next level
 CORE = -1
@@ -275,21 +279,25 @@ def _settle(limit: float) -> Callable:
     return run
 
 
-def face_tree(fl: Flow, pairs: DataFrame | None = None) -> DataFrame:
-    """(frame_id, w, fid, x, y, corners, hid, far, height) of every face: the half-edge it is paired with, its neighbour there and the height of the edge.
+def face_tree(fl: Flow, simplified: Simplified | None = None, saddles: DataFrame | None = None) -> DataFrame:
+    """(frame_id, w, fid, x, y, corners, hid, twin, far, height) of every face with a maximum.
 
-    All three are NULL for maxima.  ``pairs`` (frame_id, fid, paired_hid) replace the pairs of the gradient.  Faces of
-    outer cells are left out: no finite amount of sand lies on their side of an edge.
+    ``hid`` is the half-edge it is paired with, ``far`` its neighbour there and ``height`` that of the edge, all NULL for
+    maxima.  With a ``simplified`` gradient of the ``saddles`` its pairs are taken.  Faces that drain to an outer cell are
+    left out: no finite amount of sand lies on that side of their edges.
     """
     w, fid = F.col("w").cast("long"), F.col("fid")
     table = fl.table.select("frame_id", "w", F.col("vid").alias("fid"), "x", "y", "h", "rh", "xh", "dh", "fside")
-    faces = table.join(fl.cell_faces().select("frame_id", "fid", "cell"), ["frame_id", "fid"])
-    if pairs is None:
-        faces = faces.withColumn("side", F.when(F.col("fside") >= 0, F.col("fside"))).filter("cell >= 0")
+    faces = table.join(fl.cell_faces().select("frame_id", "fid", "cell"), ["frame_id", "fid"]).filter("cell >= 0")
+    if simplified is None:
+        faces = faces.withColumn("side", F.when(F.col("fside") >= 0, F.col("fside")))
     else:
+        one = lambda c: F.greatest(F.col(c), F.lit(OUTER).cast("long"))
+        merged = saddles.join(simplified.cancelled, ["frame_id", "saddle_id"], "left_semi").select("frame_id", one("cell_a").alias("a"), one("cell_b").alias("b"))
+        outside = components(merged).filter(F.col("component") == OUTER).select("frame_id", F.col("id").alias("cell"))
         way = F.col("paired_hid") % 4
         side = F.when(way == RIGHT, 0).when(way == DOWN, 1).when(way == LEFT, 2).when(way == UP, 3)
-        faces = faces.join(pairs, ["frame_id", "fid"], "left").withColumn("side", side)
+        faces = faces.join(outside, ["frame_id", "cell"], "left_anti").join(simplified.pairs, ["frame_id", "fid"], "left").withColumn("side", side)
     by_side = lambda *of: F.when(F.col("side") == 0, of[0]).when(F.col("side") == 1, of[1]).when(F.col("side") == 2, of[2]).when(F.col("side") == 3, of[3])
     hid = by_side(fid * 4 + RIGHT, (fid + 1) * 4 + DOWN, (fid + w + 1) * 4 + LEFT, (fid + w) * 4 + UP).cast("long")
     twin = by_side((fid + 1) * 4 + LEFT, (fid + w + 1) * 4 + UP, (fid + w) * 4 + RIGHT, fid * 4 + DOWN).cast("long")
@@ -307,12 +315,8 @@ def _shared(rows: DataFrame) -> DataFrame:
     return shared.select(*[F.col(c).alias(c) for c in ("frame_id", "gy", "gx", "v")])
 
 
-def edge_volumes(tree: DataFrame, limit: float = INF, tile: int = TILE) -> DataFrame:
-    """(frame_id, hid, volume): the sand on the face's side of both half-edges of every edge of ``tree`` (``face_tree``, materialised).
-
-    ``volume`` is a piecewise linear function of height.  Where it would reach ``limit`` it is
-    only known to do so.
-    """
+def _volumes(tree: DataFrame, limit: float, tile: int) -> DataFrame:
+    """(frame_id, fid, inner, f): sand on the side of ``fid`` of its paired edge if ``inner``, else on the other side."""
     nothing = F.array().cast(_ROWS)
     corner = F.transform("corners", lambda c: F.struct(c.alias("bp"), (0.25 * c).alias("d0"), F.lit(-0.25).alias("d1"))).cast(_ROWS)
     row = lambda b, cap, ab: F.struct(b.cast("long").alias("b"), cap.cast("double").alias("cap"), ab.alias("ab"))
@@ -331,6 +335,83 @@ def edge_volumes(tree: DataFrame, limit: float = INF, tile: int = TILE) -> DataF
     heard = tree.sparkSession.createDataFrame([], _OUTSIDE)
     for above in reversed(levels[1:]):
         heard = cut(above.groupBy(*group).cogroup(heard.groupBy(*group)).applyInArrow(_tell(limit), _OUTSIDE), "heard")
-    settled = placed.groupBy(*group).cogroup(heard.groupBy(*group)).applyInArrow(_settle(limit), _VOLUMES)
-    return settled.join(tree.select("frame_id", "fid", "hid", "twin"), ["frame_id", "fid"]).select(
+    return placed.groupBy(*group).cogroup(heard.groupBy(*group)).applyInArrow(_settle(limit), _VOLUMES)
+
+
+def edge_volumes(tree: DataFrame, limit: float = INF, tile: int = TILE) -> DataFrame:
+    """(frame_id, hid, volume): the sand on the face's side of both half-edges of every edge of ``tree`` (``face_tree``, materialised).
+
+    ``volume`` is a piecewise linear function of height.  Where it would reach ``limit`` it is
+    only known to do so.
+    """
+    return _volumes(tree, limit, tile).join(tree.select("frame_id", "fid", "hid", "twin"), ["frame_id", "fid"]).select(
         "frame_id", F.when(F.col("inner"), F.col("hid")).otherwise(F.col("twin")).alias("hid"), F.col("f").alias("volume"))
+
+
+@dataclass
+class Spurs:
+    """``leaves`` (frame_id, leaf, hid, flanking_height, volume, significant); the faces and the ``outline`` of the spurs are computed when asked for.
+
+    ``hid`` is the top edge of a leaf, with the side of the leaf beside it; ``volume`` is the sand there above the highest
+    corner of the leaf, which is at most known to reach the threshold.  Leaves may share a top edge, and so a spur.
+    """
+
+    tree: DataFrame
+    leaves: DataFrame
+
+    def edges(self) -> DataFrame:
+        """(frame_id, hid): top edges of significant leaves."""
+        return self.leaves.filter("significant").select("frame_id", "hid").distinct()
+
+    def faces(self) -> DataFrame:
+        """(frame_id, hid, fid): the faces on the leaf's side of the top edges."""
+        places = cut(intervals(tour(cut(self.tree.select("frame_id", F.col("fid").alias("id"), F.col("far").alias("parent")), "tree"))), "places")
+        points = places.select("frame_id", "tail", F.col("node").alias("fid"), F.col("high").alias("at"))
+        ways = self.tree.filter("far is not null").select("frame_id", F.col("fid").alias("node"), F.explode(F.array(
+            F.struct(F.col("hid").alias("hid"), F.lit(True).alias("inner")), F.struct(F.col("twin").alias("hid"), F.lit(False).alias("inner")))).alias("d"))
+        tops = ways.select("frame_id", "node", "d.*").join(self.edges(), ["frame_id", "hid"]).join(places, ["frame_id", "node"])
+        span = lambda low, high: F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"))
+        last = places.groupBy("frame_id", "tail").agg(F.max("high").alias("last"))
+        # beyond the edge lies a subtree, on this side of it the rest of the tree
+        spans = F.when(F.col("inner"), F.array(span(F.col("low"), F.col("high")))).otherwise(
+            F.array(span(F.lit(0), F.col("low") - 1), span(F.col("high") + 1, F.col("last"))))
+        ranges = tops.join(last, ["frame_id", "tail"]).select("frame_id", "tail", "hid", F.explode(spans).alias("s")).select(
+            "frame_id", "tail", "hid", "s.*").filter("low <= high")
+        return within(points, "at", ranges, "low", "high", ["frame_id", "tail"]).select("frame_id", "hid", "fid")
+
+
+def _follow(rows: pa.Table) -> pa.Table:
+    ref, _, _ = follow_local(rows["id"].to_numpy(), rows["nxt"].to_numpy())
+    return rows.select(["frame_id", "id", "edge"]).append_column("ref", pa.array(ref))
+
+
+def spurs(tree: DataFrame, threshold: float, tile: int = TILE) -> Spurs:
+    """Top edges of the leaves of ``tree`` (``face_tree``, materialised), and whether ``threshold`` sand lies above the leaves.
+
+    An edge is as high as the lower of the two heights above which its sides hold ``threshold`` sand.  From a leaf, the
+    edge of a face with a single tree edge, one climbs as long as the next face has one higher edge and no more.
+    """
+    volumes = cut(_volumes(tree, threshold, tile).withColumn("height", pl_height_for_volume(F.col("f"), F.lit(threshold))), "volumes")
+    heights = volumes.groupBy("frame_id", "fid").agg(F.min("height").alias("height"))
+    edges = tree.filter("far is not null").select("frame_id", "w", "fid", "far").join(heights, ["frame_id", "fid"])
+    # a directed edge is twice the paired face, and one more if it leads into it; a face has four sides at most
+    out = lambda face, by: F.struct(F.col(face).alias("face"), (F.col("fid") * 2 + by).alias("id"), "height")
+    sides = edges.select("frame_id", "w", F.explode(F.array(out("fid", 0), out("far", 1))).alias("o")).select("frame_id", "w", "o.*")
+    around = cut(sides.groupBy("frame_id", "w", "face").agg(F.collect_list(F.struct("height", "id")).alias("ways")), "around")
+    arrives = around.select("frame_id", "w", "face", "ways", F.explode("ways").alias("way"))
+    higher = F.filter("ways", lambda o: o["height"] > F.col("way.height"))
+    back = F.col("way.id").bitwiseXOR(F.lit(1).cast("long"))
+    x, y = F.col("face") % F.col("w"), F.expr("face div w")
+    edge = (x % tile).isin(0, tile - 1) | (y % tile).isin(0, tile - 1)
+    steps = arrives.select("frame_id", F.expr(f"face % w div {tile}").alias("tx"), F.expr(f"face div w div {tile}").alias("ty"), back.alias("id"),
+                           F.when(F.size(higher) == 1, F.get(higher, F.lit(0))["id"]).otherwise(back).alias("nxt"), edge.alias("edge"))
+    ends = cut(steps.groupBy("frame_id", "tx", "ty").applyInArrow(_follow, "frame_id string, id long, edge boolean, ref long"), "ends")
+    exits = settle_exits(ends.filter("edge").select("frame_id", "id", "ref", F.lit(0).alias("hops")))
+    leaf = around.filter(F.size("ways") == 1).select("frame_id", F.col("face").alias("leaf"), F.col("ways")[0]["id"].alias("id"))
+    tops = jump(leaf.join(ends, ["frame_id", "id"]).select("frame_id", "leaf", "ref"), exits, "ref").select("frame_id", "leaf", settled("ref").alias("id"))
+    tops = tops.select("frame_id", "leaf", F.expr("id div 2").alias("fid"), (F.col("id") % 2 == 0).alias("inner"))
+    top_of = tree.select("frame_id", F.col("fid").alias("leaf"), F.array_max("corners").alias("top"))
+    known = tops.join(volumes, ["frame_id", "fid", "inner"]).join(tree.select("frame_id", "fid", "hid", "twin"), ["frame_id", "fid"]).join(top_of, ["frame_id", "leaf"])
+    volume = pl_eval(F.col("f"), F.col("top"))
+    return Spurs(tree, cut(known.select("frame_id", "leaf", F.when(F.col("inner"), F.col("hid")).otherwise(F.col("twin")).alias("hid"),
+                                        F.col("height").alias("flanking_height"), volume.alias("volume"), (volume >= threshold).alias("significant")), "leaves"))

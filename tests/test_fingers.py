@@ -2,11 +2,13 @@ import math
 
 import pytest
 
-from terranet.operators.fingers import edge_volumes, face_tree
+from terranet.operators.fingers import edge_volumes, face_tree, spurs
+from terranet.operators.simplify import simplified_gradient
 from terranet.plans.extract import extract_network
 from terranet.plans.scratch import cut
 from tests.helpers import random_grid, to_tables
 from tests.model import Model
+from tests.test_simplify import simplify
 
 GRIDS = {"a": random_grid(19, 14, 1000, 1), "b": random_grid(12, 21, 3, 2), "c": random_grid(4, 4, 9, 3), "d": random_grid(11, 6, 0, 4), "e": random_grid(15, 15, 60, 9),
          "f": [[float(x + (40 if y % 4 == 3 and x != (0 if y % 8 == 3 else 21) else 0)) for x in range(22)] for y in range(20)]}
@@ -77,3 +79,72 @@ def test_edge_volumes_match_a_walk_from_every_edge(spark, tile, limit):
                 assert (want == have) or (want >= limit and have >= limit)
             n += 1
     assert n == len(got)
+
+
+def height_for(found, volume):
+    """Greatest height above which there is so much sand."""
+    best, heights = -math.inf, sorted({b for b, _ in found}, reverse=True)
+    for k, b in enumerate(heights):
+        if value(found, b) >= volume:
+            return max(best, b)
+        n = [c for s, c in found if s >= b]
+        t = (volume - 0.25 * sum(n)) / (-0.25 * len(n))
+        if k + 1 == len(heights) or t > heights[k + 1]:
+            return t
+
+
+def walk(edges, rises, leaf):
+    """Top edge of a leaf, step by step."""
+    at = next(h for h, (f, _, _) in edges.items() if f == leaf)
+    while True:
+        g = edges[at][1]
+        higher = [h for h, (f, _, _) in edges.items() if f == g and rises[h] > rises[at]]
+        if len(higher) != 1:
+            return at
+        at = higher[0]
+
+
+def spur_faces(edges, hid):
+    f, g, _ = edges[hid]
+    found, todo = {f}, [(f, g)]
+    while todo:
+        face, came = todo.pop()
+        for a, b, _ in edges.values():
+            if a == face and b != came:
+                found.add(b)
+                todo.append((b, face))
+    return found
+
+
+@pytest.mark.parametrize("tile,threshold,simple", [(256, 20.0, True), (4, 200.0, True), (3, 5.0, False)])
+def test_spurs_match_a_walk_from_every_leaf(spark, tile, threshold, simple):
+    net = extract_network(*to_tables(spark, GRIDS), tile=tile)
+    short = simplified_gradient(net.flow, net.saddles, net.tree, threshold, tile) if simple else None
+    delta = {(r.frame_id, r.saddle_id): r.delta for r in net.saddles.collect()}
+    found = spurs(cut(face_tree(net.flow, short, net.saddles)), threshold, tile)
+    got = {(r.frame_id, r.leaf): r for r in found.leaves.collect()}
+    sets = {}
+    for r in found.faces().collect():
+        sets.setdefault((r.frame_id, r.hid), []).append(r.fid)
+    n, tops = 0, set()
+    for name, grid in GRIDS.items():
+        m = Model(grid)
+        pair = simplify(m, {k[1]: d for k, d in delta.items() if k[0] == name}, threshold)[0] if simple else m.fpair
+        edges = tree_edges(m, pair)
+        sand = {h: changes(m, edges, h) for h in edges}
+        reach = {h: height_for(sand[h], threshold) for h in edges}
+        twin = {h: next(t for t, (f, g, _) in edges.items() if (g, f) == edges[h][:2]) for h in edges}
+        rises = {h: min(reach[h], reach[twin[h]]) for h in edges}
+        for leaf in {f for f, _, _ in edges.values()}:
+            if sum(f == leaf for f, _, _ in edges.values()) != 1:
+                continue
+            n += 1
+            hid, row = walk(edges, rises, leaf), got[name, m.vid(leaf)]
+            volume = value(sand[hid], max(m.hgt[v] for v in m.corners(leaf)))
+            assert (row.hid, row.significant) == (hid, volume >= threshold)
+            assert row.flanking_height == pytest.approx(reach[hid])
+            if row.significant:
+                tops.add((name, hid))
+                assert sorted(sets[name, hid]) == sorted(map(m.vid, spur_faces(edges, hid)))
+    assert n == len(got) and tops == set(sets)
+    assert tops or threshold > 100
