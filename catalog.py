@@ -13,7 +13,7 @@ from terranet.functions import piecewise as PL, points as P
 from terranet.functions.piecewise import corner_function, corner_volume, pl_scale, pl_sum
 from terranet.functions.points import to_real_volume
 from terranet.operators import gradient as G, mergetree as MT, mesh as M, network as N, raster as R, region as B
-from terranet.operators.fingers import edge_volumes, face_tree
+from terranet.operators.fingers import Spurs, edge_volumes, face_tree, spurs
 from terranet.operators.simplify import simplified_gradient
 from terranet.plans.components import bfs_distance
 from terranet.plans.extract import Network, extract_network
@@ -24,6 +24,7 @@ RASTER = {"emb": tables.embeddings_raster, "evt": tables.events_raster, "li": ta
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 _NETWORKS: dict[tuple, Network] = {}
+_SPURS_OF: dict[tuple, Spurs] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -46,6 +47,7 @@ def network(spark: SparkSession, sf_dir: str, raster: str) -> Network:
 
 def forget_networks() -> None:
     _NETWORKS.clear()
+    _SPURS_OF.clear()
 
 
 def finite(column: str) -> list[Column]:
@@ -334,11 +336,11 @@ def _(spark, sf):
 
 # trees of faces with a maximum of their own: both directions of every edge, and what a walk from each reaches
 _TREES = """tree AS MATERIALIZED (SELECT p.frame_id, p.fid, p.hid, p.other, p.hi.h AS e FROM fp p JOIN cellof c USING (frame_id, fid) WHERE c.cell >= 0)"""
-_SIDES = """ways AS MATERIALIZED (SELECT frame_id, hid, fid AS f, other AS g, e FROM tree
+_SIDES = """arcs AS MATERIALIZED (SELECT frame_id, hid, fid AS f, other AS g, e FROM tree
     UNION ALL SELECT t.frame_id, CASE hid % 4 WHEN 0 THEN (fid+1)*4+2 WHEN 3 THEN (fid+1+w)*4+1 WHEN 2 THEN (fid+w)*4 ELSE fid*4+3 END, other, fid, e
       FROM tree t JOIN frames USING (frame_id)),
-  side AS (SELECT frame_id, hid, f, g AS came, e FROM ways
-    UNION ALL SELECT s.frame_id, s.hid, n.f, s.f, least(s.e, n.e) FROM side s JOIN ways n ON n.frame_id=s.frame_id AND n.g=s.f AND n.f<>s.came),
+  side AS (SELECT frame_id, hid, f, g AS came, e FROM arcs
+    UNION ALL SELECT s.frame_id, s.hid, n.f, s.f, least(s.e, n.e) FROM side s JOIN arcs n ON n.frame_id=s.frame_id AND n.g=s.f AND n.f<>s.came),
   chg AS MATERIALIZED (SELECT s.frame_id, s.hid, least(s.e, c.h) AS bp, sum(0.25*c.h) AS d0, sum(CAST(-0.25 AS DOUBLE)) AS d1
     FROM side s JOIN fc c ON c.frame_id=s.frame_id AND c.fid=s.f GROUP BY 1,2,3),
   vols AS MATERIALIZED (SELECT frame_id, hid, bp, sum(d0) OVER down AS c0, sum(d1) OVER down AS c1 FROM chg WINDOW down AS (PARTITION BY frame_id, hid ORDER BY bp DESC))"""
@@ -351,6 +353,52 @@ def _(spark, sf):
     return volumes.select("frame_id", "hid", F.explode("volume").alias("p")).select("frame_id", "hid", "p.*").filter("bp < double('inf')")
 
 
+_SPURS = _TURNED + """,
+  sp AS MATERIALIZED (SELECT frame_id, fid, hid FROM new UNION ALL
+    SELECT frame_id, fid, hid FROM fp WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.frame_id=fp.frame_id AND n.fid=fp.fid)),
+  st AS MATERIALIZED (SELECT s.frame_id, s.fid, s.hid, b.fid AS other, a.hi.h AS e FROM sp s JOIN fe a USING (frame_id, fid, hid)
+    LEFT JOIN fe b ON b.frame_id=a.frame_id AND b.eid=a.eid AND b.fid<>a.fid),
+  away AS (SELECT frame_id, fid FROM st WHERE other IS NULL UNION SELECT s.frame_id, s.fid FROM away a JOIN st s ON s.frame_id=a.frame_id AND s.other=a.fid),
+  tree AS MATERIALIZED (SELECT * FROM st WHERE NOT EXISTS (SELECT 1 FROM away a WHERE a.frame_id=st.frame_id AND a.fid=st.fid)),
+  """ + _SIDES + """,
+  pieces AS MATERIALIZED (SELECT *, lead(bp) OVER (PARTITION BY frame_id, hid ORDER BY bp DESC) AS low FROM vols),
+  rise AS MATERIALIZED (SELECT frame_id, hid, max(least(bp, (20000 - c0)/c1)) AS flank FROM pieces WHERE low IS NULL OR (20000 - c0)/c1 > low GROUP BY 1,2),
+  hop AS MATERIALIZED (SELECT w.frame_id, w.hid, w.f, w.g, r.flank, least(r.flank, t.flank) AS height FROM arcs w JOIN rise r USING (frame_id, hid)
+    JOIN arcs b ON b.frame_id=w.frame_id AND b.f=w.g AND b.g=w.f JOIN rise t ON t.frame_id=b.frame_id AND t.hid=b.hid),
+  nexts AS MATERIALIZED (SELECT a.frame_id, a.hid, min(b.hid) AS nxt FROM hop a JOIN hop b ON b.frame_id=a.frame_id AND b.f=a.g AND b.height>a.height
+    GROUP BY 1,2 HAVING count(*)=1),
+  rising AS (SELECT frame_id, f AS leaf, min(hid) AS hid FROM arcs GROUP BY 1,2 HAVING count(*)=1
+    UNION ALL SELECT c.frame_id, c.leaf, n.nxt FROM rising c JOIN nexts n ON n.frame_id=c.frame_id AND n.hid=c.hid),
+  crest AS (SELECT frame_id, fid AS leaf, max(h) AS top FROM fc GROUP BY 1,2),
+  leaves AS MATERIALIZED (SELECT r.frame_id, r.leaf, r.hid, h.flank AS flanking_height, coalesce(p.c0 + p.c1*c.top, 0) AS volume FROM rising r
+    JOIN hop h ON h.frame_id=r.frame_id AND h.hid=r.hid JOIN crest c ON c.frame_id=r.frame_id AND c.leaf=r.leaf
+    LEFT JOIN pieces p ON p.frame_id=r.frame_id AND p.hid=r.hid AND p.bp>=c.top AND (p.low IS NULL OR p.low<c.top)
+    WHERE NOT EXISTS (SELECT 1 FROM nexts n WHERE n.frame_id=r.frame_id AND n.hid=r.hid))"""
+
+
+def spurs_of(spark: SparkSession, sf_dir: str, raster: str, threshold: float):
+    """Spurs of the simplified gradient, shared by the queries of a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, raster, threshold)
+    if key not in _SPURS_OF:
+        net = network(spark, sf_dir, raster)
+        tree = cut(face_tree(net.flow, simplified(spark, sf_dir, raster, threshold), net.saddles), "tree")
+        _SPURS_OF[key] = spurs(tree, threshold, net.tile)
+    return _SPURS_OF[key]
+
+
+@query("spur_leaves_evt", mesh_sql("evt", ["sads", "clean", "sidevol", "fp"], """SELECT frame_id, leaf, hid, flanking_height, volume >= 20000 AS significant,
+    CASE WHEN volume < 20000 THEN volume END AS volume FROM leaves""", _SPURS))
+def _(spark, sf):
+    leaves = spurs_of(spark, sf, "evt", 20_000.0).leaves
+    return leaves.withColumn("volume", F.when(~F.col("significant"), F.col("volume")))
+
+
+@query("spur_faces_evt", mesh_sql("evt", ["sads", "clean", "sidevol", "fp"], """SELECT DISTINCT s.frame_id, s.hid, s.f AS fid
+    FROM side s JOIN leaves l ON l.frame_id=s.frame_id AND l.hid=s.hid WHERE l.volume >= 20000""", _SPURS))
+def _(spark, sf):
+    return spurs_of(spark, sf, "evt", 20_000.0).faces()
+
+
 # ---------------------------------------------------------------------- network
 
 _NAMES = ("'s'||saddle_id AS from_id, CASE WHEN sink<0 THEN 'boundary' ELSE 'm'||sink END AS to_id")
