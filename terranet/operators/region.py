@@ -6,7 +6,6 @@ The first and last position of a boundary are the same point.  ``regions``
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from terranet.functions.points import half, squared_distance
@@ -14,9 +13,9 @@ from terranet.operators.mesh import DOWN, LEFT, RIGHT, UP, impermeable  # noqa:
 from terranet.operators.stencil import TILE
 from terranet.plans.components import grid_components
 from terranet.plans.lists import rank_rings
+from terranet.plans.ordered import following, sums_before
 from terranet.plans.scratch import cut, is_empty
-
-BOUNDARY = "boundary_id string, pos int, x int, y int"
+from terranet.plans.words import walked, without_backtracks
 
 
 def default_boundary(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -70,29 +69,16 @@ def rasterize_segments(segs: DataFrame) -> DataFrame:
                        F.col("x2").alias("x"), F.col("y2").alias("y"))
 
 
-def drop_spikes(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Path without repeats (A A) and spikes (A B A), whatever they enclose."""
-    kept: list[tuple[int, int]] = []
-    for p in points:
-        if kept and kept[-1] == p:
-            continue
-        if len(kept) > 1 and kept[-2] == p:
-            kept.pop()
-        else:
-            kept.append(p)
-    return kept
-
-
-def _without_spikes(path: pd.DataFrame) -> pd.DataFrame:
-    path = path.sort_values("pos")
-    kept = drop_spikes(list(zip(path["x"], path["y"])))
-    out = pd.DataFrame(kept, columns=["x", "y"])
-    return out.assign(boundary_id=path["boundary_id"].iloc[0], pos=range(len(kept)))[["boundary_id", "pos", "x", "y"]]
-
-
 def remove_spikes(boundary: DataFrame) -> DataFrame:
-    """Remove repeated points and back-and-forth spikes; one small group per boundary."""
-    return boundary.select("boundary_id", "pos", "x", "y").groupBy("boundary_id").applyInPandas(_without_spikes, BOUNDARY)
+    """Boundaries without repeated points (A A) and spikes (A B A), whatever they enclose; boundaries may be of any length."""
+    points = cut(boundary.select("boundary_id", "pos", F.struct("x", "y").alias("here")), "points")
+    ahead = following(points, ["boundary_id"], [F.col("pos").asc()], "here", "ahead")
+    steps = ahead.filter("ahead is not null").select("boundary_id", "pos", "here.*", F.col("ahead.x").alias("x2"), F.col("ahead.y").alias("y2"))
+    kept = without_backtracks(walked(steps, ["boundary_id"], "pos"), ["boundary_id"], "pos")
+    first = points.groupBy("boundary_id").agg(F.min_by("here", "pos").alias("here")).select("boundary_id", F.lit(None).cast("long").alias("pos"), "here.*")
+    rows = kept.select("boundary_id", F.col("pos").cast("long").alias("pos"), F.col("x2").alias("x"), F.col("y2").alias("y")).unionByName(first)
+    counted = sums_before(cut(rows.withColumn("n", F.lit(1).cast("long")), "kept"), ["boundary_id"], [F.col("pos").asc_nulls_first()], ["n"])
+    return counted.select("boundary_id", F.col("n_before").cast("int").alias("pos"), "x", "y")
 
 
 def _nearest(targets: DataFrame, points: DataFrame, squared: bool, limit: float | None) -> DataFrame:

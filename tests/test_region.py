@@ -24,13 +24,34 @@ def listed(path):
     return out
 
 
-def test_spikes():
+def drop_spikes(points):
+    kept = []
+    for p in points:
+        if kept and kept[-1] == p:
+            continue
+        if len(kept) > 1 and kept[-2] == p:
+            kept.pop()
+        else:
+            kept.append(p)
+    return kept
+
+
+def test_spikes(spark):
     cases = [([(2, 3), (6, 1), (2, 3)], [(2, 3)]), ([(0, 0), (1, 0), (1, 0), (2, 0)], [(0, 0), (1, 0), (2, 0)]),
              ([(0, 0), (1, 0), (1, 0), (0, 0)], [(0, 0)]),
              ([(0, 0), (1, 0), (2, 0), (1, 0), (0, 0), (0, 1)], [(0, 0), (0, 1)]),
-             ([(0, 0), (1, 0), (0, 0), (1, 0), (0, 0)], [(0, 0)])]
-    for given, want in cases:
-        assert B.drop_spikes(given) == want
+             ([(0, 0), (1, 0), (0, 0), (1, 0), (0, 0)], [(0, 0)]), ([(7, 7)], [(7, 7)])]
+    rng = random.Random(5)
+    for n in (30, 400, 3000):  # few points, so that walks turn back often and pass the same places again
+        cases.append(([(rng.randint(0, 2), rng.randint(0, 1)) for _ in range(n)], None))
+    there = [(i, i % 7) for i in range(2000)]
+    cases.append((there + there[::-1], [(0, 0)]))
+    cases.append((there + [(-1, -1)] + there[::-1], None))
+    got = listed(B.remove_spikes(path_of(spark, **{f"b{k}": given for k, (given, _) in enumerate(cases)})))
+    for k, (given, want) in enumerate(cases):
+        assert got[f"b{k}"] == drop_spikes(given)
+        assert want is None or got[f"b{k}"] == want
+    assert B.remove_spikes(path_of(spark, a=[(0, 0)]).limit(0)).count() == 0
 
 
 def test_rasterize(spark):
