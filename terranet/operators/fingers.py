@@ -31,8 +31,11 @@ from terranet.operators.simplify import OUTER, Simplified
 from terranet.operators.stencil import TILE
 from terranet.plans.components import components
 from terranet.plans.forest import follow_local, jump, settle_exits, settled
+from terranet.plans.lists import rank_lists
+from terranet.plans.ordered import sums_before
 from terranet.plans.scratch import cut
 from terranet.plans.tours import intervals, tour, within
+from terranet.plans.words import times, walked, without_backtracks
 
 FAN = 2  # four by four tiles to the next level
 CORE = -1
@@ -380,6 +383,75 @@ class Spurs:
         return within(points, "at", ranges, "low", "high", ["frame_id", "tail"]).select("frame_id", "hid", "fid")
 
 
+    def outline(self) -> DataFrame:
+        """(frame_id, hid, pos, vid): vertices around the spur from the end of its top edge to the start, without backtracks.
+
+        The half-edges around a tree of faces form a ring, of which a spur is a part; a spur
+        that encloses faces of others is led to them and back.
+        """
+        contour = cut(_contour(self.tree), "contour")
+        darts = contour.select("frame_id", "hid", "tail", "to_end")
+        tops = self.edges().join(darts, ["frame_id", "hid"]).join(
+            self.tree.filter("far is not null").select("frame_id", F.explode(F.array(
+                F.struct(F.col("hid").alias("hid"), F.col("twin").alias("twin")), F.struct(F.col("twin").alias("hid"), F.col("hid").alias("twin")))).alias("d")
+            ).select("frame_id", "d.*"), ["frame_id", "hid"]).join(
+            darts.select("frame_id", F.col("hid").alias("twin"), F.col("to_end").alias("enter")), ["frame_id", "twin"])
+        ends = contour.groupBy("frame_id", "tail").agg(F.max("to_end").alias("last"), F.max_by("after", F.col("place")).alias("whole"))
+        span = lambda low, high, turn: F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"), F.lit(turn).alias("turn"))
+        # from behind the twin of the top edge to before itself, maybe over the place where the ring was cut
+        spans = F.when(F.col("enter") > F.col("to_end"), F.array(span(F.col("to_end") + 1, F.col("enter") - 1, 0))).otherwise(
+            F.array(span(F.lit(0), F.col("enter") - 1, 0), span(F.col("to_end") + 1, F.col("last"), 1)))
+        ranges = tops.join(ends, ["frame_id", "tail"]).select("frame_id", "tail", F.col("hid").alias("top"), "last", "whole", F.explode(spans).alias("s")).select(
+            "frame_id", "tail", "top", "last", "whole", "s.*").filter("low <= high")
+        points = contour.filter("a <> b").select("frame_id", "tail", "to_end", "a", "b", "before", "after")
+        inside = within(points, "to_end", ranges, "low", "high", ["frame_id", "tail"])
+        turned = lambda c: F.when(F.col("turn") == 1, times(F.col("whole"), F.col(c))).otherwise(F.col(c))
+        walk = cut(inside.select("frame_id", F.col("top").alias("hid"), (F.col("turn") * (F.col("last") + 1) - F.col("to_end")).cast("long").alias("place"),
+                                 "a", "b", turned("before").alias("before"), turned("after").alias("after")), "around")
+        first = walk.groupBy("frame_id", "hid").agg(F.min_by("a", "place").alias("vid")).select("frame_id", "hid", F.lit(None).cast("long").alias("place"), "vid")
+        kept = without_backtracks(walk, ["frame_id", "hid"], "place").select("frame_id", "hid", "place", F.col("b").alias("vid")).unionByName(first)
+        counted = sums_before(cut(kept.withColumn("n", F.lit(1).cast("long")), "outline"), ["frame_id", "hid"], [F.col("place").asc_nulls_first()], ["n"])
+        return counted.select("frame_id", "hid", F.col("n_before").cast("long").alias("pos"), "vid")
+
+    def fingers(self, heights: DataFrame, outline: DataFrame | None = None) -> DataFrame:
+        """(frame_id, hid, pos, vid): the part of every outline from its first to its last vertex below the flanking height.
+
+        ``heights`` (frame_id, vid, h).  Spurs without such a vertex have no finger.
+        """
+        outline = cut(self.outline() if outline is None else outline, "outline")
+        flanks = self.leaves.filter("significant").select("frame_id", "hid", "flanking_height").distinct()
+        low = outline.join(flanks, ["frame_id", "hid"]).join(heights.select("frame_id", "vid", "h"), ["frame_id", "vid"]).filter("h < flanking_height")
+        part = low.groupBy("frame_id", "hid").agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
+        return outline.join(part, ["frame_id", "hid"]).filter("pos between _first and _last").select("frame_id", "hid", (F.col("pos") - F.col("_first")).alias("pos"), "vid")
+
+
+def _contour(tree: DataFrame) -> DataFrame:
+    """Half-edges of all faces in their order around the trees: (frame_id, hid, tail, to_end, place, a, b, before, after).
+
+    ``a`` and ``b`` are the ends, equal for the edges of the tree, which are crossed; ``before`` and ``after`` nodes of the walk.
+    """
+    fid, w = F.col("fid"), F.col("w").cast("long")
+    side = lambda hid, at, to: F.struct(hid.cast("long").alias("hid"), at.cast("long").alias("a"), to.cast("long").alias("b"))
+    sides = F.array(side(fid * 4 + RIGHT, fid, fid + 1), side((fid + 1) * 4 + DOWN, fid + 1, fid + w + 1),
+                    side((fid + w + 1) * 4 + LEFT, fid + w + 1, fid + w), side((fid + w) * 4 + UP, fid + w, fid))
+    darts = tree.select("frame_id", "fid", "w", F.col("far").isNull().alias("root"), F.posexplode(sides).alias("k", "s"), sides.alias("sides"))
+    darts = darts.select("frame_id", "w", "root", "k", "s.*", F.get("sides", (F.col("k") + 1) % 4)["hid"].alias("next"))
+    crossed = tree.filter("far is not null").select("frame_id", F.explode(F.array(
+        F.struct(F.col("hid").alias("hid"), F.col("twin").alias("twin")), F.struct(F.col("twin").alias("hid"), F.col("hid").alias("twin")))).alias("d")).select("frame_id", "d.*")
+    known = cut(darts.join(crossed, ["frame_id", "hid"], "left"), "darts")
+    # behind an edge of the tree comes what follows its twin
+    behind = known.filter("twin is not null").select("frame_id", F.col("twin").alias("hid"), F.col("next").alias("_over"))
+    # the ring is cut before the top of the root
+    heads = known.filter("root and k = 0").select("frame_id", F.col("hid").alias("_nxt"), F.lit(True).alias("_head"))
+    links = known.join(behind, ["frame_id", "hid"], "left").withColumn("_nxt", F.coalesce("_over", "next")).join(heads, ["frame_id", "_nxt"], "left")
+    ranked = rank_lists(cut(links.select("frame_id", F.col("hid").alias("id"), F.when(F.col("_head").isNull(), F.col("_nxt")).alias("nxt")), "links"))
+    end = F.when(F.col("twin").isNotNull(), F.col("a")).otherwise(F.col("b"))
+    at = lambda v, name: [(F.col(v) % F.col("w")).alias(f"x{name}"), F.expr(f"{v} div w").alias(f"y{name}")]
+    rows = ranked.withColumnRenamed("id", "hid").join(known, ["frame_id", "hid"]).withColumn("b", end)
+    steps = rows.select("frame_id", "hid", "tail", "to_end", (-F.col("to_end")).alias("place"), "a", "b", *at("a", ""), *at("b", "2"))
+    return walked(cut(steps, "steps"), ["frame_id", "tail"], "place").drop("x", "y", "x2", "y2")
+
+
 def _follow(rows: pa.Table) -> pa.Table:
     ref, _, _ = follow_local(rows["id"].to_numpy(), rows["nxt"].to_numpy())
     return rows.select(["frame_id", "id", "edge"]).append_column("ref", pa.array(ref))

@@ -81,6 +81,35 @@ def test_edge_volumes_match_a_walk_from_every_edge(spark, tile, limit):
     assert n == len(got)
 
 
+def contour(m, edges, top):
+    """Vertices around the faces beside a half-edge, by a walk that turns into every edge of the tree; without backtracks."""
+    kept, todo = [], []
+    half_edges = {f: [half(m, f, s) for s in range(4)] for f, _, _ in edges.values()}
+    twin = {h: next(t for t, (f, g, _) in edges.items() if (g, f) == edges[h][:2]) for h in edges}
+
+    def step(v):
+        if kept and kept[-1] == v:
+            return
+        if len(kept) > 1 and kept[-2] == v:
+            kept.pop()
+        else:
+            kept.append(v)
+
+    def following(h, f):
+        ring = half_edges[f]
+        return ring[(ring.index(h) + 1) % 4]
+
+    face = edges[top][0]
+    at = following(top, face)
+    while at != top:
+        step(at // 4)
+        if at in edges:
+            face, at = edges[at][1], twin[at]
+        at = following(at, face)
+    step(top // 4)
+    return kept
+
+
 def height_for(found, volume):
     """Greatest height above which there is so much sand."""
     best, heights = -math.inf, sorted({b for b, _ in found}, reverse=True)
@@ -126,7 +155,13 @@ def test_spurs_match_a_walk_from_every_leaf(spark, tile, threshold, simple):
     sets = {}
     for r in found.faces().collect():
         sets.setdefault((r.frame_id, r.hid), []).append(r.fid)
-    n, tops = 0, set()
+    outline = cut(found.outline())
+    lines, fingers = {}, {}
+    heights = net.flow.table.select("frame_id", "vid", "h")
+    for rows, lists in ((outline, lines), (found.fingers(heights, outline), fingers)):
+        for r in rows.orderBy("frame_id", "hid", "pos").collect():
+            lists.setdefault((r.frame_id, r.hid), []).append((r.pos, r.vid))
+    n, tops, with_finger = 0, set(), set()
     for name, grid in GRIDS.items():
         m = Model(grid)
         pair = simplify(m, {k[1]: d for k, d in delta.items() if k[0] == name}, threshold)[0] if simple else m.fpair
@@ -146,5 +181,11 @@ def test_spurs_match_a_walk_from_every_leaf(spark, tile, threshold, simple):
             if row.significant:
                 tops.add((name, hid))
                 assert sorted(sets[name, hid]) == sorted(map(m.vid, spur_faces(edges, hid)))
-    assert n == len(got) and tops == set(sets)
+                around = contour(m, edges, hid)
+                assert lines[name, hid] == list(enumerate(around))
+                low = [k for k, v in enumerate(around) if grid[v // m.w][v % m.w] < row.flanking_height]
+                if low:
+                    with_finger.add((name, hid))
+                    assert fingers[name, hid] == list(enumerate(around[low[0]:low[-1] + 1]))
+    assert n == len(got) and tops == set(sets) == set(lines) and with_finger == set(fingers)
     assert tops or threshold > 100
