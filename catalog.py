@@ -376,6 +376,17 @@ _SPURS = _TURNED + """,
     WHERE NOT EXISTS (SELECT 1 FROM nexts n WHERE n.frame_id=r.frame_id AND n.hid=r.hid))"""
 
 
+_OUTLINES = _SPURS + """,
+  nx AS MATERIALIZED (SELECT a.frame_id, a.hid, b.hid AS nxt FROM fe a JOIN fe b ON b.frame_id=a.frame_id AND b.fid=a.fid AND b.k=(a.k+1)%4),
+  turn AS MATERIALIZED (SELECT n.frame_id, n.hid, coalesce(m.nxt, n.nxt) AS nxt FROM nx n LEFT JOIN (SELECT a.frame_id, a.hid, b.hid AS twin
+    FROM arcs a JOIN arcs b ON b.frame_id=a.frame_id AND b.f=a.g AND b.g=a.f) t USING (frame_id, hid) LEFT JOIN nx m ON m.frame_id=t.frame_id AND m.hid=t.twin),
+  around AS (SELECT t.frame_id, t.hid, n.nxt AS dart, 0 AS k FROM (SELECT DISTINCT frame_id, hid FROM leaves WHERE volume >= 20000) t JOIN nx n USING (frame_id, hid)
+    UNION ALL SELECT a.frame_id, a.hid, u.nxt, k+1 FROM around a JOIN turn u ON u.frame_id=a.frame_id AND u.hid=a.dart WHERE a.dart <> a.hid),
+  reduced AS (SELECT frame_id, hid, list_reduce(list([dart//4] ORDER BY k), lambda kept, v: CASE WHEN kept[-1]=v[1] THEN kept
+    WHEN len(kept)>1 AND kept[-2]=v[1] THEN kept[:-2] ELSE list_concat(kept, v) END) AS vs FROM around GROUP BY 1,2),
+  outlines AS MATERIALIZED (SELECT frame_id, hid, unnest(vs) AS vid, generate_subscripts(vs, 1)-1 AS pos FROM reduced)"""
+
+
 def spurs_of(spark: SparkSession, sf_dir: str, raster: str, threshold: float):
     """Spurs of the simplified gradient, shared by the queries of a session."""
     key = (spark.sparkContext.applicationId, sf_dir, raster, threshold)
@@ -399,6 +410,19 @@ def _(spark, sf):
     return spurs_of(spark, sf, "evt", 20_000.0).faces()
 
 
+@query("spur_outlines_evt", mesh_sql("evt", ["sads", "clean", "sidevol", "fp"], "SELECT frame_id, hid, pos, vid FROM outlines", _OUTLINES))
+def _(spark, sf):
+    return spurs_of(spark, sf, "evt", 20_000.0).outline()
+
+
+@query("fingers_evt", mesh_sql("evt", ["sads", "clean", "sidevol", "fp"], """SELECT frame_id, hid, pos-lo AS pos, vid FROM outlines JOIN (
+    SELECT o.frame_id, o.hid, min(o.pos) AS lo, max(o.pos) AS hi FROM outlines o JOIN v USING (frame_id, vid)
+    JOIN (SELECT DISTINCT frame_id, hid, flanking_height FROM leaves) l ON l.frame_id=o.frame_id AND l.hid=o.hid WHERE v.h < flanking_height GROUP BY 1,2
+    ) USING (frame_id, hid) WHERE pos BETWEEN lo AND hi""", _OUTLINES))
+def _(spark, sf):
+    return spurs_of(spark, sf, "evt", 20_000.0).fingers(network(spark, sf, "evt").flow.table)
+
+
 # ---------------------------------------------------------------------- network
 
 _NAMES = ("'s'||saddle_id AS from_id, CASE WHEN sink<0 THEN 'boundary' ELSE 'm'||sink END AS to_id")
