@@ -874,6 +874,19 @@ def _(spark, sf):
     return B.concat_paths(rows.filter("pos <= 2").drop("key"), rest)
 
 
+@query("walks_without_spikes_li", """WITH walks AS (SELECT 's'||l_suppkey AS boundary_id,
+    list([{'x': CAST(l_linenumber % 3 AS INTEGER), 'y': CAST(l_orderkey % 2 AS INTEGER)}] ORDER BY l_orderkey, l_linenumber) AS ps FROM lineitem GROUP BY 1),
+  reduced AS (SELECT boundary_id, list_reduce(ps, lambda kept, p: CASE WHEN kept[-1]=p[1] THEN kept
+    WHEN len(kept)>1 AND kept[-2]=p[1] THEN kept[:-2] ELSE list_concat(kept, p) END) AS ps FROM walks),
+  points AS (SELECT boundary_id, CAST(generate_subscripts(ps, 1)-1 AS INTEGER) AS pos, unnest(ps) AS p FROM reduced)
+  SELECT boundary_id, pos, p.x AS x, p.y AS y FROM points""")
+def _(spark, sf):
+    """Every supplier's items in order, as a walk between six points that often turns back; items with equal keys are at the same point."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return B.remove_spikes(items.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("boundary_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"),
+                                        (F.col("l_linenumber") % 3).cast("int").alias("x"), (F.col("l_orderkey") % 2).cast("int").alias("y")))
+
+
 @query("boundary_without_spikes", sql_of_tables("SELECT boundary_id, pos, x, y FROM rect", _RECTANGLES))
 def _(spark, sf):
     """Each rectangle with a spike out of its second corner and its third corner twice."""
