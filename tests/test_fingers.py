@@ -189,3 +189,14 @@ def test_spurs_match_a_walk_from_every_leaf(spark, tile, threshold, simple):
                     assert fingers[name, hid] == list(enumerate(around[low[0]:low[-1] + 1]))
     assert n == len(got) and tops == set(sets) == set(lines) and with_finger == set(fingers)
     assert tops or threshold > 100
+
+
+def test_a_single_face_has_no_edges(spark):
+    net = extract_network(*to_tables(spark, {"one": [[1.0, 2.0], [3.0, 4.0]]}))
+    tree = cut(face_tree(net.flow))
+    assert tree.filter("far is not null").count() == 0
+    assert edge_volumes(tree).count() == 0
+    found = spurs(tree, 1.0)
+    assert found.leaves.count() == found.faces().count() == found.outline().count() == 0
+    nobody = cut(tree.limit(0))
+    assert edge_volumes(nobody).count() == 0 and spurs(nobody, 1.0).leaves.count() == 0
