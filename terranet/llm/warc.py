@@ -5,6 +5,10 @@ number, bytes) of at most CHUNK bytes.  The writer streams the rows of a record
 into one gzip member of a .warc.gz file; the reader streams members back into
 such rows, each with the SHA-256 of the payload up to and with its chunk.
 
+Pages are read once, in a stage that only writes them again in row groups of
+GROUP_BYTES: a reader holds a whole row group, however large, and next to the
+sorted shuffle of the payloads, which takes all execution memory, that is too much.
+
 Of the records with equal payloads of at least ``least`` bytes the one with the
 smallest page_id is a response, the others are revisits of it without payload
 (the HTTP header they carry tells its length).  A null html is an empty payload, a
@@ -34,6 +38,7 @@ from terranet.plans.scratch import cut, scratch_path
 
 CHUNK = 1 << 16
 FILE_BYTES = 64 << 20
+GROUP_BYTES = 16 << 20
 LEAST_REVISIT = 100
 # Fixed values of the WARC 1.1 format
 _VERSION = b"WARC/1.1\r\n"
@@ -48,14 +53,26 @@ def _store(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if urlsplit(folder).scheme else (fs.LocalFileSystem(), folder)
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with its scheme; one without is where Spark's own tables of that path are."""
+    if urlsplit(folder).scheme:
+        return folder
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+
+
 def record_chunks(pages: DataFrame, least: int = LEAST_REVISIT, chunk: int = CHUNK) -> DataFrame:
-    """Rows (page_id, url, record_type, refers_to, payload_digest, payload_bytes, chunk_no, chunk) in record order."""
+    """Rows (page_id, url, record_type, refers_to, payload_digest, payload_bytes, chunk_no, chunk) in record order.
+
+    Payloads are joined with their revisits without a shuffle where these are few enough for a broadcast.
+    """
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("body"))
     rows = rows.withColumns({"payload_digest": F.sha2("body", 256), "payload_bytes": F.octet_length("body").cast("long")})
+    rows = cut(rows, "warc-payloads", "zstd", GROUP_BYTES)
     keys = rows.filter(F.col("payload_bytes") >= least).select("page_id", "payload_digest")
     firsts = keys.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"))
-    revisits = keys.join(firsts, "payload_digest").filter("page_id > refers_to").distinct()
+    revisits = cut(keys.join(firsts, "payload_digest").filter("page_id > refers_to").distinct(), "warc-revisits")
     rows = rows.join(revisits, ["page_id", "payload_digest"], "left")
     rows = rows.withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
     parts = F.when(F.col("refers_to").isNull(), F.greatest(F.ceil(F.col("payload_bytes") / chunk), F.lit(1))).otherwise(1).cast("int")
@@ -108,9 +125,10 @@ def _write(folder: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                         done.append((name, records, size + len(data)))
                         out, data, size, records = None, b"", 0, 0
                     if out is None:
-                        name = f"{root}/{task.partitionId():06d}-{task.taskAttemptId()}-{files:05d}.warc.gz"
+                        leaf = f"{task.partitionId():06d}-{task.taskAttemptId()}-{files:05d}.warc.gz"
+                        name = f"{folder}/{leaf}"
                         files += 1
-                        out = store.open_output_stream(name, compression=None)
+                        out = store.open_output_stream(f"{root}/{leaf}", compression=None)
                     member = zlib.compressobj(1, zlib.DEFLATED, 31)
                     data += member.compress(_head(row))
                     records += 1
@@ -244,9 +262,7 @@ def archived_pages(pages: DataFrame, least: int = LEAST_REVISIT, folder: str | N
     revisit from its header.  Other columns are ignored.
     """
     spark = pages.sparkSession
-    folder = folder or scratch_path(spark, "warc")
-    if not urlsplit(folder).scheme and not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"on a cluster archives need a folder with its scheme, as file:// or hdfs://: {folder}")
+    folder = _qualified(spark, folder or scratch_path(spark, "warc"))
     files = write_archives(record_chunks(pages, least), folder)
     rows = read_archives(files, with_data=False).filter("last")
     return rows.select("page_id", "payload_bytes", F.when(F.col("record_type") == "response", F.col("digest_so_far")).otherwise(

@@ -1,6 +1,10 @@
 import gzip
 import hashlib
 import os
+import random
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from terranet.llm import warc as W
 from terranet.plans.scratch import scratch_path
@@ -50,3 +54,41 @@ def test_chunks_carry_running_digests_and_files_are_gzip(spark):
 
 def test_no_pages(spark):
     assert W.archived_pages(pages(spark)[0].limit(0)).count() == 0
+
+
+def test_large_row_groups_are_read_once_and_apart_from_shuffles(spark, tmp_path):
+    rng = random.Random(1)
+    html = [rng.randbytes(20_000).hex() for _ in range(1000)]
+    html[500:] = html[:500]
+    pq.write_table(pa.table({"page_id": range(1000), "url": ["u"] * 1000, "html": html}), tmp_path / "pages.parquet", row_group_size=1000)
+    chunks = W.record_chunks(spark.read.parquet(str(tmp_path / "pages.parquet")))
+    read = chunks.inputFiles()
+    assert not any(str(tmp_path) in f for f in read)
+    sizes = []
+    for f in (f for f in read if "warc-payloads" in f):
+        found = pq.ParquetFile(f.removeprefix("file://")).metadata
+        groups = [found.row_group(i) for i in range(found.num_row_groups)]
+        sizes += [sum(g.column(k).total_compressed_size for k in range(g.num_columns)) for g in groups]
+    assert len(sizes) > 1 and max(sizes) <= 1.2 * W.GROUP_BYTES
+    got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in chunks.select("page_id", "record_type", "refers_to").collect()}
+    assert got == {(k, "response", None) for k in range(500)} | {(k, "revisit", k - 500) for k in range(500, 1000)}
+
+
+def test_payloads_move_only_if_revisits_are_many(spark):
+    frame, _ = pages(spark)
+    want = sorted(map(tuple, W.record_chunks(frame).collect()), key=str)
+    assert "SortMergeJoin" not in W.record_chunks(frame)._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, W.record_chunks(frame).collect()), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_folders_without_a_scheme_are_those_of_spark(spark, tmp_path):
+    assert W._qualified(spark, f"{tmp_path}/a b") == f"file://{tmp_path}/a%20b" and W._qualified(spark, "hdfs://h/a") == "hdfs://h/a"
+    frame, found = pages(spark)
+    assert W.archived_pages(frame, folder=f"{tmp_path}/a b").count() == len(found)
+    files = W.write_archives(W.record_chunks(frame), f"file:{tmp_path}/c%20d")
+    assert all(r["file"].startswith(f"file:{tmp_path}/c%20d/") for r in files.collect()) and W.read_archives(files).filter("last").count() == len(found)
